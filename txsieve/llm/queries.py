@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality
+from . import fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 #: Target weights of the mix; every other source has weight 1.
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json").replace(".json", ".tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_mod("doc_id", 4) == 2
@@ -32,10 +36,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = crc_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels, "toxic", ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digest(pii.spans_of(docs, pii.fit(docs)))
@@ -45,6 +64,11 @@ def op9_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -52,15 +76,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_quality_gam": op2_quality_gam,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op5_pfair_mixing": op5_pfair_mixing,
-    "op8_pii_semi_markov": op8_pii_semi_markov,
-    "op9_bayes_jaccard_join": op9_bayes_jaccard_join,
-    "pipeline": pipeline,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_quality_gam,
+        op3_best_fit_packing,
+        op4_url_filter,
+        op5_pfair_mixing,
+        op6_weighted_fingerprint,
+        op7_subword_toxicity,
+        op8_pii_semi_markov,
+        op9_bayes_jaccard_join,
+        op10_pivot_top_k,
+        pipeline,
+    )
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.oracle(),
     "op5_pfair_mixing": mixing.mix_oracle(MIX_WEIGHTS),
     "op9_bayes_jaccard_join": ngram_join.ORACLE,
+    "op10_pivot_top_k": topk_search.ORACLE,
 }
