@@ -110,18 +110,20 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> tuple[list, Co
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, n_shared, n_template, containment and first_word of each match."""
     _, patterns, all_keys, minima = _templates(docs.sparkSession, templates or TEMPLATES)
+    none = F.array().cast("array<bigint>")
+    # plain selects, no filters on computed columns: a filter would be pushed below and compute them again
     hit = (
         docs.where("text is not null")
         .select("doc_id", words(F.col("text")).alias("w"))
-        .select("doc_id", shingles_of(F.col("w")).alias("sh"))
-        .where(F.arrays_overlap("sh", minima))
+        .select("doc_id", shingles_of(F.col("w")).alias("all"))
+        .select("doc_id", F.when(F.arrays_overlap("all", minima), F.col("all")).otherwise(none).alias("sh"))
     )
-    starts = F.sequence(F.lit(1), F.size("sh"), F.lit(STRIDE))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("sh"), F.lit(1)), F.lit(STRIDE))
     keys = F.flatten(F.transform(starts, lambda i: F.array(*bands_of(F.slice("sh", i, WINDOW)))))
+    met = F.when(F.size("sh") > 0, F.array_intersect(keys, all_keys)).otherwise(none)
     shared = lambda t: F.size(F.array_intersect(t.shingles, F.col("sh")))
     found = (
-        hit.withColumn("met", F.array_intersect(keys, all_keys))
-        .where(F.size("met") > 0)
+        hit.withColumn("met", met)
         .withColumn(
             "match",
             F.explode(

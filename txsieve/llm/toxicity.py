@@ -2,7 +2,7 @@
 
 A word is its character n-grams (three to five, with marks at both ends) and itself, hashed to
 ``buckets`` rows of an embedding table; its vector is their mean, so an unseen misspelling shares most
-of it. A window of ``window`` words is the mean of its words, and a linear softmax gives its two
+of it. A window of ``window`` words is the mean of its words (a shorter text is padded with zeros), and a linear softmax gives its two
 classes. A text is as toxic as its most toxic window, which keeps a few words from drowning in a long
 text; embeddings and softmax are trained together by gradient descent on windows. At first every
 window of a toxic text counts as toxic, then only the one that scores highest.
@@ -32,11 +32,15 @@ from .common import labelled_sample, prepare
 from .text import mix
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAMS, BUCKETS, WINDOW, CACHE = (3, 4, 5), 1 << 16, 32, 300_000
+GRAMS, BUCKETS, WINDOW, CACHE = (3, 4, 5), 1 << 16, 16, 300_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters of the lower-cased text; a word that repeats the one before it counts once."""
+    if not text:
+        return []
+    w = WORD.findall(text.lower())
+    return [x for x, y in zip(w, [None, *w], strict=False) if x != y]
 
 
 def subwords(vocabulary: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +75,9 @@ class SubwordSoftmax:
     buckets: int = BUCKETS
     dim: int = 8
     window: int = WINDOW
-    epochs: int = 40
-    rate: float = 0.02
+    epochs: int = 60
+    rate: float = 1000.0
+    least_texts: int = 8
     seed: int = 3
     constant: float | None = None
     per_bucket: np.ndarray = field(default=None, repr=False)
@@ -80,68 +85,88 @@ class SubwordSoftmax:
     scale: tuple = (1.0, 0.0)
 
     def fit(self, groups: list[list[list[str]]], labels: np.ndarray) -> SubwordSoftmax:
-        """``groups``: the windows of each text."""
+        """``groups``: the windows of each text. Every fifth text only sets the scale of the scores."""
         if not len(labels) or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
+        learn = np.arange(len(labels)) % 5 != 4
+        if len(set(labels[learn])) < 2 or len(set(labels[~learn])) < 2:
+            learn[:] = True
+        self._descend([g for g, k in zip(groups, learn, strict=True) if k], labels[learn])
+        rest = ~learn if not learn.all() else learn
+        self._set_scale(np.array([self._top_of(g) for g, k in zip(groups, rest, strict=True) if k]), labels[rest])
+        return self
+
+    def _descend(self, groups: list[list[list[str]]], labels: np.ndarray) -> None:
+        """Full-batch gradient descent with momentum on E, W and b together.
+
+        Steps follow the plain gradient, so what many texts share moves first; subwords of fewer than
+        ``least_texts`` texts stay at zero, as they could only single out texts.
+        """
         windows = [w for g in groups for w in g if w]
         text_of = np.array([i for i, g in enumerate(groups) for w in g if w])
         vocabulary = sorted({w for win in windows for w in win})
         at = {w: i for i, w in enumerate(vocabulary)}
-        occ = np.array([at[w] for win in windows for w in win])
-        size = np.array([len(w) for w in windows])
-        first = np.cumsum(size) - size
-        in_window = np.repeat(np.arange(len(windows)), size)
+        occ = np.array([at[w] for win in windows for w in win], np.int32)
+        length = np.array([len(w) for w in windows])
+        first = np.cumsum(length) - length
+        in_window = np.repeat(np.arange(len(windows)), length)
         ids, start = subwords(vocabulary, self.buckets)
         count = np.diff(np.r_[start, len(ids)])
-        owner = np.repeat(np.arange(len(vocabulary)), count)
+        # in how many texts each bucket occurs
+        pairs = np.unique(text_of[in_window].astype(np.int64) * len(vocabulary) + occ)
+        texts, used = pairs // len(vocabulary), pairs % len(vocabulary)
+        reps = count[used]
+        flat = np.repeat(start[used] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+        seen = np.bincount(np.unique(np.repeat(texts, reps) * self.buckets + ids[flat]) % self.buckets, minlength=self.buckets)
+        del flat, pairs
+        kept = (seen >= min(self.least_texts, max(1, len(groups) // 50)))[ids]
+        owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), count)[kept]
+        ids = ids[kept]
         rng = np.random.default_rng(self.seed)
-        e = rng.normal(0, 0.1, (self.buckets, self.dim)).astype(np.float32)
-        w = rng.normal(0, 0.5, (self.dim, 2)).astype(np.float32)
-        b = np.zeros(2, np.float32)
-        params = [e, w, b]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+        e = np.zeros((self.buckets, self.dim))
+        e[np.unique(ids)] = rng.normal(0, 0.01, (len(np.unique(ids)), self.dim))
+        w, b = rng.normal(0, 0.5, (self.dim, 2)), np.zeros(2)
+        speed = [np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)]
         y = labels[text_of]
         n_of = np.bincount(text_of, minlength=len(labels))
         for step in range(1, self.epochs + 1):
-            vec = np.add.reduceat(e[ids], start, 0) / count[:, None]
-            x = np.add.reduceat(vec[occ], first, 0) / size[:, None]
+            vec = np.stack([np.bincount(owner, e[ids, k], len(vocabulary)) for k in range(self.dim)], 1) / count[:, None]
+            x = np.add.reduceat(vec[occ], first, 0) / self.window  # short windows are padded with zeros
             logit = x @ w + b
             p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -30, 30)))
-            if step <= self.epochs // 4:
-                weight = np.where(y == 1, 1 / np.maximum(1, n_of[text_of]), 1.0)
+            if step <= self.epochs // 3:
+                weight = 1 / n_of[text_of]
             else:
-                weight = np.where(y == 1, 0.0, 1.0)
                 order = np.lexsort((p, text_of))
-                top = order[np.r_[np.flatnonzero(np.diff(text_of[order])), len(order) - 1]]
-                weight[top] = 1.0
+                weight = np.where(y == 1, 0.0, 0.1)
+                weight[order[np.r_[np.flatnonzero(np.diff(text_of[order])), len(order) - 1]]] = 1.0
             for c in (0, 1):
                 weight[y == c] /= max(1e-9, weight[y == c].sum())
-            d = (weight * (p - y)).astype(np.float32)
+            d = weight * (p - y)
             dl = np.stack([-d, d], 1)
-            gw, gb = x.T @ dl, dl.sum(0)
-            dx = (dl @ w.T) / size[:, None]
+            dx = (dl @ w.T) / self.window
             ge = np.empty_like(e)
             for k in range(self.dim):
                 dv = np.bincount(occ, dx[in_window, k], len(vocabulary)) / count
                 ge[:, k] = np.bincount(ids, dv[owner], self.buckets)
-            for prm, g, (m, v) in zip(params, (ge, gw, gb), moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                prm -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.per_bucket = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
+            for prm, g, v, rate in zip((e, w, b), (ge, x.T @ dl, dl.sum(0)), speed, (self.rate, 0.05, 0.05), strict=True):
+                v *= 0.9
+                v -= rate * g
+                prm += v
+        self.per_bucket = e @ (w[:, 1] - w[:, 0])
         self.bias = float(b[1] - b[0])
-        top = np.array([self._top_of(g) for g in groups])
+
+    def _set_scale(self, top: np.ndarray, labels: np.ndarray) -> None:
+        """Logistic regression of the label on the top window, both classes weighing the same."""
         a, c = 1.0, 0.0
         balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
         mean, spread = top.mean(), top.std() + 1e-9
         z = (top - mean) / spread
-        for _ in range(500):
-            q = 1 / (1 + np.exp(-(a * z + c)))
-            g = balance * (labels - q)
+        for _ in range(2000):
+            g = balance * (labels - 1 / (1 + np.exp(-(a * z + c))))
             a, c = a + 2.0 * ((g * z).mean() - 1e-4 * a), c + 2.0 * g.mean()
         self.scale = (a / spread, c - a * mean / spread)
-        return self
 
     def word_scores(self, vocabulary: list[str]) -> np.ndarray:
         if not vocabulary:
@@ -150,13 +175,13 @@ class SubwordSoftmax:
         return np.add.reduceat(self.per_bucket[ids], start) / np.diff(np.r_[start, len(ids)])
 
     def _top_of(self, windows: list[list[str]]) -> float:
-        return max((float(self.word_scores(w).mean()) + self.bias for w in windows if w), default=self.bias)
+        return max((float(self.word_scores(w).sum()) / self.window for w in windows if w), default=0.0)
 
     def top(self, values: np.ndarray) -> float:
         """The highest window mean of a text's word scores; windows overlap by half."""
         n = len(values)
         if n <= self.window:
-            return float(values.mean()) if n else 0.0
+            return float(values.sum()) / self.window
         run = np.r_[0.0, np.cumsum(values)]
         starts = np.arange(0, n, self.window // 2)
         starts = np.minimum(starts, n - self.window)
@@ -166,16 +191,13 @@ class SubwordSoftmax:
         if self.constant is not None:
             return np.full(len(tops), self.constant)
         a, c = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * (tops + self.bias) + c, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * tops + c, -30, 30)))
 
 
 def cut(text: str | None, window: int) -> list[list[str]]:
-    """Windows of a text, overlapping by half, the last one flush with the end."""
+    """Windows of a text, one after the other."""
     w = words(text)
-    if len(w) <= window:
-        return [w]
-    starts = np.minimum(np.arange(0, len(w), window // 2), len(w) - window)
-    return [w[s : s + window] for s in sorted(set(starts.tolist()))]
+    return [w[s : s + window] for s in range(0, max(1, len(w)), window)]
 
 
 def training_windows(rows: DataFrame, window: int, most: int) -> DataFrame:
@@ -197,7 +219,7 @@ def training_windows(rows: DataFrame, window: int, most: int) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, windows array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 600, windows_each: int = 40, **settings) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1000, windows_each: int = 40, **settings) -> SubwordSoftmax:
     """Fit on at most per_class labelled texts of each class."""
     prepare(docs.sparkSession)
     model = SubwordSoftmax(**settings)
