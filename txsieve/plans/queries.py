@@ -150,3 +150,164 @@ def d_rule_detectors(spark, sf_dir):
 def s_detection_records(spark, sf_dir):
     df = detectors.detection_records(full_features(spark, sf_dir))
     return df.select(*KEYS, *[rnd(f"{k}_score", 4).alias(f"{k}_score") for k in ("structural", "temporal", "network")], *[f"{d}_triggered" for d in detectors.DETECTORS])
+
+
+# ---- graph ----
+
+from txsieve.operators import alerts, forest, fusion, graph, graph_query  # noqa: E402
+from txsieve.plans import analyze as plan  # noqa: E402
+
+#: SQL of the graph on the fixture, where txids are unique and addresses are never blank.
+GRAPH = {
+    "gc": "select *, case when src_ip <> 'unknown_ip' then src_ip end as gip from c",
+    "inp": "select txid, ts_us, 'INPUT_TO:' || txid || '->' || a as edge_id, txid as source_id, a as target_id, 'INPUT_TO' as edge_type, round(sum(amount), 8) as amount, min(i) - 1 as idx from (select txid, ts_us, unnest(ins) as a, generate_subscripts(ins, 1) as i, (raw_out + fee) / n_in as amount from gc) group by txid, ts_us, a",
+    "outp": "select txid, ts_us, 'OUTPUT_TO:' || txid || '->' || a as edge_id, txid as source_id, a as target_id, 'OUTPUT_TO' as edge_type, round(sum(v), 8) as amount, min(i) - 1 as idx from (select txid, ts_us, unnest(outs) as a, unnest(amts) as v, generate_subscripts(outs, 1) as i from gc) group by txid, ts_us, a",
+    "neti": "select 'OBSERVED_WITH:' || txid || '->' || gip as edge_id, txid as source_id, gip as target_id, 'OBSERVED_WITH' as edge_type, ts_us from gc where gip is not null",
+    "neta": "select 'SAME_ASN:' || gip || '->' || asn as edge_id, gip as source_id, asn as target_id, 'SAME_ASN' as edge_type, max(ts_us) as ts_us from gc where gip is not null group by gip, asn",
+    "netc": "select 'OBSERVED_WITH:' || gip || '->COUNTRY:' || upper(geo_country) as edge_id, gip as source_id, 'COUNTRY:' || upper(geo_country) as target_id, 'OBSERVED_WITH' as edge_type, max(ts_us) as ts_us from gc where gip is not null group by gip, geo_country",
+    "spent": "select distinct txid, unnest(ins) as a from gc",
+    "pairs": "select x.a, y.a as b, list_sort(list(x.txid)) as supporting_txids, count(*) as support_count from spent x join spent y on x.txid = y.txid and x.a < y.a group by 1, 2",
+    "reach(a, b)": "select a, a from (select a from pairs union select b from pairs) union select r.a, case when p.a = r.b then p.b else p.a end from reach r join pairs p on p.a = r.b or p.b = r.b",
+    "member": "select a as address, 'candidate_entity:' || min(b) as cluster from reach group by 1",
+    "tk": "select distinct txid, ts_us, event_id, unnest(list_concat(list_transform(list_concat(ins, outs), lambda a: 'a:' || a), case when gip is not null then ['i:' || gip] else [] end)) as k from gc",
+    "near": "select n.txid, n.ts_us, p.txid as past_txid, p.ts_us as past_ts, list_sort(list_filter(list(substr(n.k, 3) || substr(n.k, 1, 1)), lambda z: z like '%a')) as sa, max(case when n.k like 'i:%' then 1 else 0 end) as ip from tk n join tk p on n.k = p.k and (p.ts_us, p.txid) < (n.ts_us, n.txid) and n.ts_us - p.ts_us <= 300000000 group by 1, 2, 3, 4",
+    "link": "select * from (select *, row_number() over (partition by txid order by past_ts desc, past_txid desc) as rn from near) where rn <= 5",
+    "edge": "select edge_id, source_id, target_id, edge_type, amount from inp union all select edge_id, source_id, target_id, edge_type, amount from outp union all select edge_id, source_id, target_id, edge_type, null from neti union all select edge_id, source_id, target_id, edge_type, null from neta union all select edge_id, source_id, target_id, edge_type, null from netc union all select 'TEMPORALLY_ASSOCIATED:' || past_txid || '->' || txid, past_txid, txid, 'TEMPORALLY_ASSOCIATED', null from link union all select 'CANDIDATE_SAME_ENTITY:' || a || '<->' || b, a, b, 'CANDIDATE_SAME_ENTITY', null from pairs union all select 'CANDIDATE_SAME_ENTITY:' || cluster || '->' || address, cluster, address, 'CANDIDATE_SAME_ENTITY', null from member",
+    "ends": "select source_id as node_id, target_id as other, edge_id, edge_type, amount from edge union all select target_id, source_id, edge_id, edge_type, amount from edge where source_id <> target_id",
+    "deg": "select node_id, count(*) as degree, round(sum(coalesce(amount, 1.0)), 8) as weighted_degree from ends group by 1",
+}
+_BASE = oracle._FEATURE_CHAIN
+
+
+def gsql(last: str, final: str) -> str:
+    """The graph steps up to ``last``, and the statement."""
+    names = list(GRAPH)
+    need = names[: names.index(last) + 1]
+    return sql(_BASE, final, **{k: GRAPH[k] for k in need})
+
+
+def tx_of(spark, sf_dir):
+    return cut(graph.cleaned(fixture.transactions(prepare(spark), sf_dir)))
+
+
+def graph_of(spark, sf_dir):
+    return graph.build(fixture.transactions(prepare(spark), sf_dir))
+
+
+@query("b_address_edges", gsql("outp", "select edge_id, source_id, target_id, edge_type, ts_us, " + rnd_sql("amount", 6) + " as amount, cast(idx as integer) as idx from inp union all select edge_id, source_id, target_id, edge_type, ts_us, " + rnd_sql("amount", 6) + ", cast(idx as integer) from outp"))
+def b_address_edges(spark, sf_dir):
+    tx = tx_of(spark, sf_dir)
+    e = graph.address_edges(tx, "ins").unionByName(graph.address_edges(tx, "outs"))
+    return e.select("edge_id", "source_id", "target_id", "edge_type", "ts_us", rnd("amount", 6).alias("amount"), "idx")
+
+
+@query("b_network_edges", gsql("netc", "select * from neti union all select * from neta union all select * from netc"))
+def b_network_edges(spark, sf_dir):
+    a, b, c = graph.network_edges(tx_of(spark, sf_dir))
+    return a.unionByName(b).unionByName(c).select("edge_id", "source_id", "target_id", "edge_type", "ts_us")
+
+
+@query("b_common_input_pairs", gsql("pairs", "select a, b, support_count, array_to_string(supporting_txids, ',') as supporting_txids, " + rnd_sql("least(0.95, 0.50 + 0.10 * support_count)", 2) + " as confidence from pairs"))
+def b_common_input_pairs(spark, sf_dir):
+    p = graph.common_input_pairs(tx_of(spark, sf_dir))
+    return p.select("a", "b", "support_count", F.array_join("supporting_txids", ",").alias("supporting_txids"), rnd("confidence", 2).alias("confidence"))
+
+
+@query("b_entity_clusters", gsql("member", "select address, cluster from member"))
+def b_entity_clusters(spark, sf_dir):
+    return graph.clusters(tx_of(spark, sf_dir))
+
+
+@query("b_temporal_links", gsql("link", "select txid, past_txid, " + rnd_sql("(ts_us - past_ts) / 1e6", 4) + " as time_delta_seconds, cast(len(sa) as bigint) as n_addresses, cast(ip as bigint) as n_ips from link"))
+def b_temporal_links(spark, sf_dir):
+    df = graph.temporal_links(tx_of(spark, sf_dir))
+    return df.select("txid", "past_txid", rnd("time_delta_seconds", 4).alias("time_delta_seconds"), F.size("shared_addresses").cast("long").alias("n_addresses"), F.size("shared_ips").cast("long").alias("n_ips"))
+
+
+@query("b_graph_counts", gsql("edge", "select edge_type, count(*) as n from edge group by 1"))
+def b_graph_counts(spark, sf_dir):
+    return graph_of(spark, sf_dir)[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x_degrees", gsql("deg", "select node_id, degree, " + rnd_sql("weighted_degree", 4) + " as weighted_degree from deg"))
+def x_degrees(spark, sf_dir):
+    return graph_query.degrees(graph_of(spark, sf_dir)[1]).select("node_id", "degree", rnd("weighted_degree", 4).alias("weighted_degree"))
+
+
+@query("x_counterparties", gsql("ends", """select s.node_id, count(distinct s.other) as unique_counterparties from ends s where s.edge_type in ('INPUT_TO', 'OUTPUT_TO') and s.node_id like 'tx%' group by 1
+  union all select node_id, count(*) from (select distinct a.node_id, b.other from ends a join ends b on a.other = b.node_id where a.node_id like 'a%' and a.other like 'tx%' and b.other like 'a%' and a.node_id <> b.other) group by 1
+  union all select node_id, count(distinct other) from ends where node_id like '10.%' and other like 'tx%' group by 1
+  union all select node_id, count(distinct other) from ends where node_id like 'AS%' or node_id like 'COUNTRY%' or node_id like 'candidate%' group by 1"""))
+def x_counterparties(spark, sf_dir):
+    return graph_query.counterparties(*graph_of(spark, sf_dir))
+
+
+@query("x_local_density", gsql("ends", """select node_id, """ + rnd_sql("coalesce(m, 0) / (n * (n - 1))", 6) + """ as local_density from (
+  select r.node_id, count(*) as n from (select distinct node_id, other from ends where node_id like 'tx%' union select distinct node_id, node_id from ends where node_id like 'tx%') r group by 1) left join (
+  select a.node_id, count(distinct e.edge_id) as m from edge e join (select distinct node_id, other from ends where node_id like 'tx%' union select distinct node_id, node_id from ends where node_id like 'tx%') a on a.other = e.source_id
+    join (select distinct node_id, other from ends where node_id like 'tx%' union select distinct node_id, node_id from ends where node_id like 'tx%') b on b.node_id = a.node_id and b.other = e.target_id group by 1) using (node_id)"""))
+def x_local_density(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    df = graph_query.local_density(edges, nodes.where("node_type = 'TRANSACTION'"))
+    return df.select("node_id", rnd("local_density", 6).alias("local_density"))
+
+
+@query("x_transactions_of_addresses", gsql("outp", "select target_id as address, array_to_string(list_sort(list(distinct source_id) filter (edge_type = 'INPUT_TO')), ',') as as_input, array_to_string(list_sort(list(distinct source_id) filter (edge_type = 'OUTPUT_TO')), ',') as as_output, array_to_string(list_sort(list(distinct source_id)), ',') as all_txids from (select source_id, target_id, edge_type from inp union all select source_id, target_id, edge_type from outp) group by 1"))
+def x_transactions_of_addresses(spark, sf_dir):
+    df = graph_query.transactions_of_addresses(graph_of(spark, sf_dir)[1])
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return df.select("address", text("as_input").alias("as_input"), text("as_output").alias("as_output"), text("all").alias("all_txids"))
+
+
+@query("x_addresses_of_transactions", sql(_BASE, "select txid, array_to_string(ins, ',') as inputs, coalesce(array_to_string(outs, ','), '') as outputs from c"))
+def x_addresses_of_transactions(spark, sf_dir):
+    df = graph_query.addresses_of_transactions(tx_of(spark, sf_dir))
+    return df.select("txid", F.array_join("inputs", ",").alias("inputs"), F.array_join("outputs", ",").alias("outputs"))
+
+
+@query("x_transactions_of_ips", gsql("neti", "select target_id as ip, count(*) as n, md5(array_to_string(list_sort(list(source_id)), ',')) as txids_md5 from neti group by 1"))
+def x_transactions_of_ips(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    df = graph_query.transactions_of_ips(edges, nodes)
+    return df.select("ip", F.size("txids").cast("long").alias("n"), F.md5(F.array_join("txids", ",")).alias("txids_md5"))
+
+
+def hub_tx(edges):
+    """A transaction to look up: the first one with an edge."""
+    return edges.where("edge_type = 'INPUT_TO'").agg(F.min("source_id")).first()[0] or ""
+
+
+@query("x_k_hop", gsql("ends", """select o.node_id, min(hop) as hop from (
+  select e.other as node_id, 1 as hop from ends e where e.node_id = (select min(source_id) from inp)
+  union all select b.other, 2 from ends a join ends b on a.other = b.node_id where a.node_id = (select min(source_id) from inp)) o where o.node_id <> (select min(source_id) from inp) group by 1"""))
+def x_k_hop(spark, sf_dir):
+    edges = graph_of(spark, sf_dir)[1]
+    return graph_query.k_hop(edges, hub_tx(edges), 2)
+
+
+@query("x_induced_subgraph", gsql("ends", """select e.edge_id, e.edge_type from edge e where e.source_id in (select other from ends where node_id = (select min(source_id) from inp) union select min(source_id) from inp)
+  and e.target_id in (select other from ends where node_id = (select min(source_id) from inp) union select min(source_id) from inp)"""))
+def x_induced_subgraph(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    return graph_query.subgraph(nodes, edges, hub_tx(edges), 1)[1].select("edge_id", "edge_type")
+
+
+@query("x_component_sizes")
+def x_component_sizes(spark, sf_dir):
+    return graph_query.component_sizes(*graph_of(spark, sf_dir))
+
+
+@query("x_related_entities")
+def x_related_entities(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    return graph_query.related_entities(nodes, edges, hub_tx(edges))
+
+
+@query("x_graph_evidence")
+def x_graph_evidence(spark, sf_dir):
+    return graph_query.graph_evidence(tx_of(spark, sf_dir), *graph_of(spark, sf_dir))
+
+
+@query("m_isolation_forest")
+def m_isolation_forest(spark, sf_dir):
+    return forest.anomaly_scores(full_features(spark, sf_dir))
