@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """Write a DataFrame to a table in the checkpoint folder and read it back.
+
+    Like checkpoint(), this ends the lineage in storage that all executors share, but the rows are computed
+    once, and later reads prune columns. Tables of a session lie in one folder, cut-<application id>.
+    """
+    spark = prepare(df.sparkSession)
+    sc = spark.sparkContext
+    path = f"{sc.getCheckpointDir()}/cut-{sc.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -311,3 +311,159 @@ def x_graph_evidence(spark, sf_dir):
 @query("m_isolation_forest")
 def m_isolation_forest(spark, sf_dir):
     return forest.anomaly_scores(full_features(spark, sf_dir))
+
+
+# ---- scores, alerts, evaluation, lookups ----
+
+from txsieve.operators import evaluation, explore  # noqa: E402
+
+NO_FOREST = plan.Config(with_forest=False)
+_DET = oracle.DETECT
+_ISB = "(event_type <> 'error')"
+EVAL = {
+    "lab": f"select 'tx_' || lpad(cast(event_id as varchar), 8, '0') as txid, {_ISB} as is_benign, case when {_ISB} then 'benign' else (['fan_in', 'fan_out', 'peeling_like', 'mixing_like', 'rapid_hop', 'network_cluster'])[1 + event_id % 6] end as scenario from events",
+    "rec": "select d.*, 0.0::double as ml_anomaly_score, greatest(structural_score, temporal_score, network_score) as overall_score, is_benign, scenario from det d join lab using (txid)",
+    "tall": " union all ".join(f"select txid, is_benign, scenario, '{c}' as category, cast({c} as double) as score from rec" for c in ("structural_score", "temporal_score", "network_score", "ml_anomaly_score", "overall_score")),
+}
+
+
+def esql(final: str) -> str:
+    return sql(_DET, final, **EVAL)
+
+
+def records_of(spark, sf_dir):
+    return detectors.detection_records(full_features(spark, sf_dir))
+
+
+def labelled(spark, sf_dir):
+    return cut(evaluation.overall_score(records_of(spark, sf_dir)).join(fixture.labels(spark, sf_dir), "txid"))
+
+
+_METRICS = ["precision", "recall", "f1", "accuracy", "false_positive_rate"]
+_METRIC_SQL = "tp, fp, tn, fn, " + ", ".join(f"{rnd_sql(x, 4)} as {n}" for n, x in zip(_METRICS, ["tp / nullif(tp + fp, 0)", "tp / nullif(tp + fn, 0)", "2 * tp / nullif(2 * tp + fp + fn, 0)", "(tp + tn) / nullif(tp + fp + tn + fn, 0)", "fp / nullif(fp + tn, 0)"], strict=True))
+
+
+def _metrics(df, keys):
+    return df.select(*keys, "tp", "fp", "tn", "fn", *[rnd(m, 4).alias(m) for m in _METRICS])
+
+
+def _conf_sql(pred: str) -> str:
+    return f"count(*) filter ({pred} and not is_benign) as tp, count(*) filter ({pred} and is_benign) as fp, count(*) filter (not {pred} and is_benign) as tn, count(*) filter (not {pred} and not is_benign) as fn"
+
+
+@query("v_align", esql("select (select count(*) from det) as records, (select count(*) from lab) as labels, cast(0 as bigint) as duplicate_records, cast(0 as bigint) as duplicate_labels, cast(0 as bigint) as missing_labels, cast(0 as bigint) as extra_labels, (select count(*) from rec) as aligned, cast(0 as bigint) as leaked_columns"))
+def v_align(spark, sf_dir):
+    return evaluation.align(cut(records_of(spark, sf_dir)), fixture.labels(spark, sf_dir))[1]
+
+
+@query("v_threshold_sweep", esql(f"select category, cast(t as double) as threshold, {_METRIC_SQL} from (select category, t, {_conf_sql('(score >= t)')} from tall, (values (0.25), (0.5), (0.75)) v(t) group by 1, 2)"))
+def v_threshold_sweep(spark, sf_dir):
+    return _metrics(evaluation.sweep(labelled(spark, sf_dir)), ["category", "threshold"])
+
+
+@query("v_detector_metrics", esql(f"select detector, {_METRIC_SQL} from (select detector, {_conf_sql('hit')} from (" + " union all ".join(f"select is_benign, '{d}' as detector, {d}_triggered as hit from rec" for d in oracle.DETECTORS) + " union all select is_benign, 'isolation_forest', false from rec) group by 1)"))
+def v_detector_metrics(spark, sf_dir):
+    return _metrics(evaluation.detector_metrics(labelled(spark, sf_dir)), ["detector"])
+
+
+@query("v_areas", esql(f"select category, {rnd_sql('u / (p_all * n_all)', 3)} as roc_auc, {rnd_sql('ap / p_all', 3)} as pr_auc " + """from (select category, sum(p * (below + n / 2)) as u, sum(p) as p_all, sum(n) as n_all, sum(p * tp / (tp + fp)) as ap from (
+  select *, coalesce(sum(n) over (partition by category order by score rows between unbounded preceding and 1 preceding), 0) as below, sum(p) over (partition by category order by score desc) as tp, sum(n) over (partition by category order by score desc) as fp
+  from (select category, score, cast(count(*) filter (not is_benign) as double) as p, cast(count(*) filter (is_benign) as double) as n from tall group by 1, 2)) group by 1)"""))
+def v_areas(spark, sf_dir):
+    return evaluation.category_areas(labelled(spark, sf_dir)).select("category", rnd("roc_auc", 3).alias("roc_auc"), rnd("pr_auc", 3).alias("pr_auc"))
+
+
+@query("v_class_distributions", esql(f"select category, benign_n, anomalous_n, {_r(['benign_mean', 'anomalous_mean', 'benign_p95', 'anomalous_max'], 3)} from (select category, count(*) filter (is_benign) as benign_n, count(*) filter (not is_benign) as anomalous_n, avg(score) filter (is_benign) as benign_mean, avg(score) filter (not is_benign) as anomalous_mean, quantile_cont(score, 0.95) filter (is_benign) as benign_p95, max(score) filter (not is_benign) as anomalous_max from tall group by 1)"))
+def v_class_distributions(spark, sf_dir):
+    df = evaluation.class_distributions(labelled(spark, sf_dir))
+    return df.select("category", "benign_n", "anomalous_n", *[rnd(c, 3).alias(c) for c in ("benign_mean", "anomalous_mean", "benign_p95", "anomalous_max")])
+
+
+@query("v_scenario_recall", esql(f"select scenario, total, triggered, {_r(['mean_score', 'median_score', 'recall'], 3)} from (select scenario, count(*) as total, count(*) filter (overall_score >= 0.5) as triggered, avg(overall_score) as mean_score, quantile_cont(overall_score, 0.5) as median_score, count(*) filter (overall_score >= 0.5) / count(*) as recall from rec group by 1)"))
+def v_scenario_recall(spark, sf_dir):
+    df = evaluation.scenario_recall(labelled(spark, sf_dir))
+    return df.select("scenario", "total", "triggered", *[rnd(c, 3).alias(c) for c in ("mean_score", "median_score", "recall")])
+
+
+@query("v_scenario_matrix", esql("select detector, " + ", ".join(rnd_sql(f"coalesce(avg(cast(hit as double)) filter (scenario = '{s}'), 0)", 4) + f" as {s}" for s in evaluation.SCENARIOS) + " from (" + " union all ".join(f"select scenario, '{d}' as detector, {d}_triggered as hit from rec" for d in evaluation.SCENARIO_DETECTORS if d != "isolation_forest") + " union all select scenario, 'isolation_forest', false from rec) group by 1"))
+def v_scenario_matrix(spark, sf_dir):
+    df = evaluation.scenario_matrix(labelled(spark, sf_dir))
+    return df.select("detector", *[rnd(s, 4).alias(s) for s in evaluation.SCENARIOS])
+
+
+@query("v_top_benign", esql(f"select category, txid, cast(rank as integer) as rank, {rnd_sql('score', 4)} as score from (select *, row_number() over (partition by category order by score desc, txid) as rank from tall where is_benign and score > 0 and category not in ('overall_score')) where rank <= 5"))
+def v_top_benign(spark, sf_dir):
+    return evaluation.top_benign(labelled(spark, sf_dir)).select("category", "txid", "rank", rnd("score", 4).alias("score"))
+
+
+@query("v_ground_truth", esql("select scenario, count(*) as n from lab group by 1"))
+def v_ground_truth(spark, sf_dir):
+    return evaluation.scenario_counts(fixture.labels(spark, sf_dir))
+
+
+def analysis(spark, sf_dir):
+    return plan.analyze(fixture.transactions(prepare(spark), sf_dir), NO_FOREST)
+
+
+@query("u_investigations")
+def u_investigations(spark, sf_dir):
+    return analysis(spark, sf_dir)["investigations"]
+
+
+@query("a_ranked_alerts")
+def a_ranked_alerts(spark, sf_dir):
+    return analysis(spark, sf_dir)["alerts"]
+
+
+@query("a_top_alerts")
+def a_top_alerts(spark, sf_dir):
+    return alerts.top_k(analysis(spark, sf_dir)["alerts"], 20, "MEDIUM+")
+
+
+@query("i_full_analysis")
+def i_full_analysis(spark, sf_dir):
+    return plan.analyze(fixture.transactions(prepare(spark), sf_dir))["alerts"]
+
+
+@query("i_run_summary")
+def i_run_summary(spark, sf_dir):
+    return analysis(spark, sf_dir)["summary"]
+
+
+@query("p_alert_search")
+def p_alert_search(spark, sf_dir):
+    return explore.alert_search(analysis(spark, sf_dir)["alerts"], "ALL", "network_cluster", "tx_")
+
+
+@query("p_alert_kpis")
+def p_alert_kpis(spark, sf_dir):
+    return explore.alert_kpis(analysis(spark, sf_dir)["alerts"])
+
+
+@query("p_detector_hits", sql(_DET, "select detector, case when detector in ('fan_in', 'fan_out', 'equal_output', 'peeling_like', 'mixing_like') then 'structural' when detector in ('ip_reuse', 'network_cluster', 'endpoint_recurrence') then 'network' when detector = 'isolation_forest' then 'ml' else 'temporal' end as family, count(*) filter (hit) as alerts from (" + " union all ".join(f"select '{d}' as detector, {d} >= 0.5 as hit from det" for d in oracle.DETECTORS) + " union all select 'isolation_forest', false from det) group by 1"))
+def p_detector_hits(spark, sf_dir):
+    return explore.detector_hits(analysis(spark, sf_dir)["alerts"])
+
+
+@query("p_risk_distribution")
+def p_risk_distribution(spark, sf_dir):
+    return explore.risk_distribution(analysis(spark, sf_dir)["alerts"])
+
+
+@query("p_transaction_kpis")
+def p_transaction_kpis(spark, sf_dir):
+    r = analysis(spark, sf_dir)
+    return explore.transaction_kpis(explore.transaction_summary(fixture.transactions(spark, sf_dir), r["investigations"]))
+
+
+@query("p_entity_rollup")
+def p_entity_rollup(spark, sf_dir):
+    r = analysis(spark, sf_dir)
+    tx = fixture.transactions(spark, sf_dir)
+    return explore.entity_rollup(graph.clusters(cut(graph.cleaned(tx))), r["edges"], r["alerts"], tx)
+
+
+@query("p_facets", sql(_DET, "select distinct 'asn' as facet, asn as value from c union select 'detector', d from (" + " union all ".join(f"select '{d}' as d from det where {d} >= 0.5" for d in oracle.DETECTORS) + ")"))
+def p_facets(spark, sf_dir):
+    return explore.facets(analysis(spark, sf_dir)["alerts"], fixture.transactions(spark, sf_dir))
+
