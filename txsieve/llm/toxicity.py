@@ -75,7 +75,7 @@ class SubwordSoftmax:
     buckets: int = BUCKETS
     dim: int = 8
     window: int = WINDOW
-    epochs: int = 60
+    epochs: int = 90
     rate: float = 1000.0
     least_texts: int = 8
     seed: int = 3
@@ -100,7 +100,8 @@ class SubwordSoftmax:
     def _descend(self, groups: list[list[list[str]]], labels: np.ndarray) -> None:
         """Full-batch gradient descent with momentum on E, W and b together.
 
-        Steps follow the plain gradient, so what many texts share moves first; subwords of fewer than
+        Steps follow the plain gradient, so what many texts share moves first; a step that raises the
+        loss is taken back, and the pace halved. Subwords of fewer than
         ``least_texts`` texts stay at zero, as they could only single out texts.
         """
         windows = [w for g in groups for w in g if w]
@@ -130,7 +131,10 @@ class SubwordSoftmax:
         speed = [np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)]
         y = labels[text_of]
         n_of = np.bincount(text_of, minlength=len(labels))
+        best, pace, saved = np.inf, 1.0, [prm.copy() for prm in (e, w, b)]
         for step in range(1, self.epochs + 1):
+            if step == self.epochs // 3 + 1:
+                best = np.inf  # the windows that count change here, and so does the loss
             vec = np.stack([np.bincount(owner, e[ids, k], len(vocabulary)) for k in range(self.dim)], 1) / count[:, None]
             x = np.add.reduceat(vec[occ], first, 0) / self.window  # short windows are padded with zeros
             logit = x @ w + b
@@ -143,6 +147,17 @@ class SubwordSoftmax:
                 weight[order[np.r_[np.flatnonzero(np.diff(text_of[order])), len(order) - 1]]] = 1.0
             for c in (0, 1):
                 weight[y == c] /= max(1e-9, weight[y == c].sum())
+            loss = -float((weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
+            if loss > 1.02 * best:  # too far: back to the last good step, at half the pace
+                pace /= 2
+                for prm, old, v in zip((e, w, b), saved, speed, strict=True):
+                    prm[:] = old
+                    v[:] = 0
+                best *= 1.02
+                continue
+            best = min(best, loss)
+            for prm, old in zip((e, w, b), saved, strict=True):
+                old[:] = prm
             d = weight * (p - y)
             dl = np.stack([-d, d], 1)
             dx = (dl @ w.T) / self.window
@@ -152,7 +167,7 @@ class SubwordSoftmax:
                 ge[:, k] = np.bincount(ids, dv[owner], self.buckets)
             for prm, g, v, rate in zip((e, w, b), (ge, x.T @ dl, dl.sum(0)), speed, (self.rate, 0.05, 0.05), strict=True):
                 v *= 0.9
-                v -= rate * g
+                v -= pace * rate * g
                 prm += v
         self.per_bucket = e @ (w[:, 1] - w[:, 0])
         self.bias = float(b[1] - b[0])
