@@ -36,6 +36,13 @@ def cumulative(*keys):
     return so_far(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def median(xs: Column) -> Column:
+    """Median of an array; null for an empty one."""
+    s = F.sort_array(xs)
+    n = F.size(xs)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
 def first_seen(keys: list, value: Column) -> Column:
     """1 where ``value`` occurs for the first time within the keys."""
     return F.when(F.row_number().over(Window.partitionBy(*keys, value).orderBy(*ORDER)) == 1, 1).otherwise(0)
@@ -118,10 +125,11 @@ def with_temporal(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "_mean": F.avg("_gap").over(last100),
-            "_median": F.percentile("_gap", F.lit(0.5)).over(last100),
+            "_gaps": F.collect_list("_gap").over(last100),
             "_h0": F.first(inherited).over(cumulative("entity")),
         }
     )
+    df = df.withColumn("_median", median(F.col("_gaps")))
     chain = F.when(F.col("chain_interval") > 0, F.col("chain_interval")).otherwise(0.0)
     n5 = F.when(near, F.greatest(F.col("_n5"), F.col("chain_hops"))).otherwise(F.col("_n5")).cast("double")
     n1, v1 = F.col("_n1").cast("double"), F.greatest(F.col("_v1"), F.lit(0.0))
@@ -138,7 +146,7 @@ def with_temporal(df: DataFrame) -> DataFrame:
             "history_count": history,
             "baseline_stability": F.round(F.least(F.lit(1.0), history / 15), 4),
         }
-    ).drop("_n5", "_n1", "_n24", "_v5", "_v1", "_v24", "_gap", "_k", "_mean", "_median", "_h0")
+    ).drop("_n5", "_n1", "_n24", "_v5", "_v1", "_v24", "_gap", "_gaps", "_k", "_mean", "_median", "_h0")
 
 
 def trailing_distinct(df: DataFrame, key: str, value: str, span: int, name: str) -> DataFrame:
@@ -176,23 +184,37 @@ def running_count(df: DataFrame, key: Column, name: str) -> DataFrame:
     )
 
 
+def trailing_counts(df: DataFrame, key: str, spans: dict[str, int]) -> DataFrame:
+    """(event_id, name, ...): rows of the same key in [ts_us - span, ts_us], up to each row.
+
+    Arrivals less departures, summed up in order: a hot key costs a sort, not a scan of its window per row.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(*ORDER, F.col(key).alias("k"))
+    come = rows.select(*ORDER, "k", F.lit(0).alias("late"), *[F.lit(1).alias(n) for n in spans])
+    both = come
+    for name, span in spans.items():
+        steps = [F.lit(-1 if n == name else 0).alias(n) for n in spans]
+        both = both.unionByName(rows.select((F.col("ts_us") + span).alias("ts_us"), "txid", "event_id", "k", F.lit(1).alias("late"), *steps))
+    order = Window.partitionBy("k").orderBy("ts_us", "late", "txid", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = both.withColumns({n: F.sum(n).over(order).cast("double") for n in spans})
+    return sums.where("late = 0").select("event_id", *spans)
+
+
 def with_network(df: DataFrame) -> DataFrame:
     """Reuse of addresses and endpoints, distinct entities behind an IP, lifetime counts."""
     base = df.withColumns({"_ip": usable_ip(F.col("src_ip")), "_cc": F.coalesce("geo_country", F.lit("unknown"))})
-    df = df.withColumns({"_ip": usable_ip(F.col("src_ip")), "_dst": usable_ip(F.col("dst_ip")), "_asn": F.coalesce("asn", F.lit("unknown_asn")), "_cc": F.coalesce("geo_country", F.lit("unknown"))})
-    ends = F.col("_ip").isNotNull() & F.col("_dst").isNotNull()
+    df = df.withColumns({"_ip": usable_ip(F.col("src_ip")), "_asn": F.coalesce("asn", F.lit("unknown_asn")), "_cc": F.coalesce("geo_country", F.lit("unknown"))})
     ok = F.col("_ip").isNotNull()
-    # rows without a usable key get keys of their own, so they neither count nor pile up in one task
-    alone = F.coalesce("_ip", F.concat(F.lit("?"), F.col("event_id")))
-    pair = F.when(ends, F.concat_ws("|", "_ip", "_dst")).otherwise(F.concat(F.lit("?"), F.col("event_id")))
-    df = df.withColumns({"_ipk": alone, "_pair": pair})
-    count = lambda k, span: trailing([k], span).cast("double")
+    base = base.withColumn("_pair", F.when(ok & usable_ip(F.col("dst_ip")).isNotNull(), F.concat_ws("|", "_ip", "dst_ip")))
+    by_ip = trailing_counts(base, "_ip", {"_i1": HOUR, "_i24": DAY})
+    by_pair = trailing_counts(base, "_pair", {"_e1": HOUR, "_e24": DAY})
+    df = df.join(by_ip, "event_id", "left").join(by_pair, "event_id", "left")
     df = df.withColumns(
         {
-            "ip_reuse_count": F.when(ok, count("_ipk", HOUR) - 1).otherwise(0.0),
-            "ip_reuse_count_24h": F.when(ok, count("_ipk", DAY) - 1).otherwise(0.0),
-            "endpoint_recurrence": F.when(ends, count("_pair", HOUR)).otherwise(1.0),
-            "endpoint_recurrence_24h": F.when(ends, count("_pair", DAY)).otherwise(1.0),
+            "ip_reuse_count": F.coalesce(F.col("_i1") - 1, F.lit(0.0)),
+            "ip_reuse_count_24h": F.coalesce(F.col("_i24") - 1, F.lit(0.0)),
+            "endpoint_recurrence": F.coalesce("_e1", F.lit(1.0)),
+            "endpoint_recurrence_24h": F.coalesce("_e24", F.lit(1.0)),
             "_fa": first_seen(["entity"], F.col("_asn")),
             "_fc": first_seen(["entity"], F.col("_cc")),
             "_rn": F.row_number().over(Window.partitionBy("entity", "_asn").orderBy(*ORDER)),
@@ -211,7 +233,7 @@ def with_network(df: DataFrame) -> DataFrame:
         df = df.join(trailing_distinct(base, "_ip", "entity", span, name), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
     for name, key in (("country_count", F.col("_cc")), ("src_port_frequency", F.coalesce("src_port", F.lit(0))), ("dst_port_frequency", F.coalesce("dst_port", F.lit(0)))):
         df = df.join(running_count(base, key, name), "event_id")
-    return df.drop("_ip", "_dst", "_asn", "_cc", "_ipk", "_pair", "_fa", "_fc", "_rn", "_k")
+    return df.drop("_ip", "_asn", "_cc", "_i1", "_i24", "_e1", "_e24", "_fa", "_fc", "_rn", "_k")
 
 
 def with_entity(df: DataFrame) -> DataFrame:
@@ -229,14 +251,11 @@ def with_entity(df: DataFrame) -> DataFrame:
             "unique_counterparties": F.sum(F.coalesce("_new", F.lit(0))).over(cumulative("entity")).cast("double"),
             "unique_ips": F.sum("_ip1").over(cumulative("entity")).cast("double"),
             "_list": F.collect_list(x).over(prior),
-            "_med": F.percentile(x, F.lit(0.5)).over(prior),
         }
     )
-    gaps = F.array_sort(F.transform("_list", lambda v: F.abs(v - F.col("_med"))))
-    df = df.withColumns({"_gaps": gaps, "_n": F.size("_list")})
-    half = F.floor(F.col("_n") / 2).cast("int")
-    mad = (F.get("_gaps", half) + F.get("_gaps", F.floor((F.col("_n") - 1) / 2).cast("int"))) / 2
-    df = df.withColumn("_mad", F.when(F.col("_n") >= 2, mad).otherwise(0.0)).withColumn("_med", F.coalesce("_med", x))
+    df = df.withColumn("_med", median(F.col("_list")))
+    df = df.withColumn("_gaps", F.transform("_list", lambda v: F.abs(v - F.col("_med"))))
+    df = df.withColumn("_mad", F.when(F.size("_list") >= 2, median(F.col("_gaps"))).otherwise(0.0)).withColumn("_med", F.coalesce("_med", x))
     scale = 1.4826 * F.col("_mad")
     done, age = F.col("entity_tx_count") - 1, F.col("entity_age_seconds")
     rate = done * 3600 / age
@@ -249,4 +268,4 @@ def with_entity(df: DataFrame) -> DataFrame:
                 F.when((age >= 3600) & (done >= 2), F.when(rate > 1e-4, F.col("tx_count_1h") / rate).otherwise(1.0)).otherwise(1.0), 4
             ),
         }
-    ).drop("_new", "_ip1", "_list", "_med", "_gaps", "_n", "_mad")
+    ).drop("_new", "_ip1", "_list", "_med", "_gaps", "_mad")
