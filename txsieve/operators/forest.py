@@ -42,7 +42,7 @@ def fit(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int
         return features.sparkSession.createDataFrame([], NODES)
     # about four samples' worth of rows pass for each tree; the smallest ``size`` of them are taken
     share = min(1.0, (4 * size + 64) / n)
-    limit = int(-(2**63) + share * (2**64 - 1))
+    limit = min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))
     tried = features.select(
         "event_id", "x",
         F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("event_id", t, F.lit(seed)).alias("h"))), lambda s: s.h <= limit)).alias("s"),
