@@ -58,9 +58,10 @@ def fit(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int
         out: list[tuple] = []
 
         def grow(node, rows, depth):
-            low, high = x[rows].min(0), x[rows].max(0)
-            open_ = np.flatnonzero(high > low)
-            if depth >= height or len(rows) <= 1 or not len(open_):
+            spread = len(rows) > 1 and depth < height
+            low, high = (x[rows].min(0), x[rows].max(0)) if spread else (x[:0], x[:0])
+            open_ = np.flatnonzero(high > low) if spread else ()
+            if not len(open_):
                 out.append((tree, node, -1, 0.0, depth + _c(len(rows))))
                 return
             f = int(rng.choice(open_))

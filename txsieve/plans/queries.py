@@ -47,13 +47,24 @@ def _r(names, digits: int = 4, t: str = "") -> str:
 
 
 
+_shared: dict = {}
+
+
+def shared(name: str, spark: SparkSession, sf_dir: str, make):
+    """Tables that many queries read are written once per session and input."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.with_row_features(rows.with_order(fixture.transactions(prepare(spark), sf_dir)))
 
 
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, as several branches read it."""
-    return cut(features.with_features(fixture.transactions(prepare(spark), sf_dir)))
+    return shared("features", spark, sf_dir, lambda: cut(features.with_features(fixture.transactions(prepare(spark), sf_dir))))
 
 
 KEYS = ["event_id", "txid", "ts_us"]
@@ -187,11 +198,11 @@ def gsql(last: str, final: str) -> str:
 
 
 def tx_of(spark, sf_dir):
-    return cut(graph.cleaned(fixture.transactions(prepare(spark), sf_dir)))
+    return shared("cleaned", spark, sf_dir, lambda: cut(graph.cleaned(fixture.transactions(prepare(spark), sf_dir))))
 
 
 def graph_of(spark, sf_dir):
-    return graph.build(fixture.transactions(prepare(spark), sf_dir))
+    return shared("graph", spark, sf_dir, lambda: graph.build(fixture.transactions(prepare(spark), sf_dir)))
 
 
 @query("b_address_edges", gsql("outp", "select edge_id, source_id, target_id, edge_type, ts_us, " + rnd_sql("amount", 6) + " as amount, cast(idx as integer) as idx from inp union all select edge_id, source_id, target_id, edge_type, ts_us, " + rnd_sql("amount", 6) + ", cast(idx as integer) from outp"))
@@ -336,7 +347,7 @@ def records_of(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    return cut(evaluation.overall_score(records_of(spark, sf_dir)).join(fixture.labels(spark, sf_dir), "txid"))
+    return shared("labelled", spark, sf_dir, lambda: cut(evaluation.overall_score(records_of(spark, sf_dir)).join(fixture.labels(spark, sf_dir), "txid")))
 
 
 _METRICS = ["precision", "recall", "f1", "accuracy", "false_positive_rate"]
@@ -402,7 +413,11 @@ def v_ground_truth(spark, sf_dir):
 
 
 def analysis(spark, sf_dir):
-    return plan.analyze(fixture.transactions(prepare(spark), sf_dir), NO_FOREST)
+    def make():
+        tables = plan.analyze(fixture.transactions(prepare(spark), sf_dir), NO_FOREST)
+        return tables | {"alerts": cut(tables["alerts"])}
+
+    return shared("analysis", spark, sf_dir, make)
 
 
 @query("u_investigations")
