@@ -104,7 +104,7 @@ def with_scores(features: DataFrame, threshold: float = 0.50) -> DataFrame:
     df = features.withColumns(raw)
     out = {}
     for k in DETECTORS:
-        out[f"{k}_score"] = F.round(f"_raw_{k}", 4)
+        out[f"{k}_score"] = F.round(F.col(f"_raw_{k}") + 1e-9, 4)  # decimal ties go up, however they are stored
         out[f"{k}_triggered"] = F.col(f"_raw_{k}") >= threshold
     return df.withColumns(out).drop(*raw)
 

@@ -129,9 +129,9 @@ CATEGORY = {
 STEPS["raw"] = "select event_id, txid, ts_us, history_count, baseline_stability, " + ", ".join(f"{clamp(x)} as raw_{k}" for k, x in DETECTORS.items()) + " from feat"
 STEPS["det"] = (
     "select event_id, txid, ts_us, "
-    + ", ".join(f"round(raw_{k}, 4) as {k}, raw_{k} >= 0.5 as {k}_triggered" for k in DETECTORS)
+    + ", ".join(f"round(raw_{k} + 1e-9, 4) as {k}, raw_{k} >= 0.5 as {k}_triggered" for k in DETECTORS)
     + ", "
-    + ", ".join("greatest(" + ", ".join(f"round(raw_{d}, 4)" for d in ds) + f") as {c}_score" for c, ds in CATEGORY.items())
+    + ", ".join("greatest(" + ", ".join(f"round(raw_{d} + 1e-9, 4)" for d in ds) + f") as {c}_score" for c, ds in CATEGORY.items())
     + " from raw"
 )
 _FEATURE_CHAIN = ["lines", "ev", "c0", "c"]
