@@ -90,7 +90,7 @@ STEPS = {
   case when len(coalesce(hist, [])) >= 2 then list_aggregate(list_transform(hist, lambda v: abs(v - med0)), 'median') else 0 end as mad from ent1""",
     "feat": """select g.event_id, g.txid, g.ts_us, g.entity, g.ni as input_count, g.no as output_count, g.fan_in_ratio, g.fan_out_ratio, g.output_concentration, g.equal_output_ratio,
   g.round_amount_ratio, g.amount_cv, g.is_peeling_structure, g.is_consolidation_structure, g.is_dispersion_structure, g.is_equal_split_structure, g.raw_out,
-  t.tx_count_5m, t.tx_count_1h, t.median_interarrival, round(t.burst_score, 4) as burst_score, t.velocity_ratio, t.history_count, round(t.baseline_stability, 4) as baseline_stability,
+  t.tx_count_5m, t.tx_count_1h, round(t.median_interarrival + 1e-9, 2) as median_interarrival, round(t.burst_score, 4) as burst_score, t.velocity_ratio, t.history_count, round(t.baseline_stability, 4) as baseline_stability,
   n.ip_reuse_count, n.unique_addresses_per_ip, n.endpoint_recurrence, n.src_port_frequency, round(n.asn_concentration, 4) as asn_concentration,
   round(case when 1.4826 * e.mad > 1e-6 then abs(e.raw_out - e.med) / (1.4826 * e.mad) else 0 end, 4) as baseline_deviation,
   round(case when round(e.age, 2) >= 3600 and e.entity_tx_count >= 3 then case when (e.entity_tx_count - 1) * 3600 / round(e.age, 2) > 1e-4 then t.tx_count_1h / ((e.entity_tx_count - 1) * 3600 / round(e.age, 2)) else 1.0 end else 1.0 end, 4) as activity_change
