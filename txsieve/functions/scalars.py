@@ -65,3 +65,8 @@ def combine(*scores: Column) -> Column:
     """s1 + (1 - s1) s2 / 4 of the two highest scores."""
     s = F.sort_array(F.array(*[F.coalesce(x, F.lit(0.0)) for x in scores], F.lit(0.0)), asc=False)
     return clamp_01(s[0] + (1 - s[0]) * 0.25 * s[1])
+
+
+def round_up4(x: Column) -> Column:
+    """Four digits; decimal ties go up, however they are stored."""
+    return F.round(x + 1e-9, 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txsieve.functions.scalars import round_up4
 from txsieve.functions.session import cut
 
 TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -13,13 +14,13 @@ TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 def evidence_strength(evidence: Column) -> Column:
     """Half for the number of items (four are full), half for their severity, which items don't carry: 0.5."""
     n = F.size(evidence)
-    return F.when(n > 0, F.round(0.5 * F.least(F.lit(1.0), n / 4) + 0.25, 4)).otherwise(0.0)
+    return F.when(n > 0, round_up4(0.5 * F.least(F.lit(1.0), n / 4) + 0.25)).otherwise(0.0)
 
 
 def with_priority(df: DataFrame) -> DataFrame:
     df = df.withColumn("evidence_strength", evidence_strength(F.col("evidence")))
     p = 0.60 * F.col("risk_score") + 0.20 * F.col("confidence_score") + 0.10 * F.col("signal_count") / 4 + 0.10 * F.col("evidence_strength")
-    return df.withColumn("priority_score", F.round(p, 4))
+    return df.withColumn("priority_score", round_up4(p))
 
 
 ORDER = ("priority_score", "risk_score", "confidence_score")
@@ -39,7 +40,8 @@ def rank(df: DataFrame) -> DataFrame:
     ranked = dealt.withColumn("_i", F.row_number().over(within)).join(F.broadcast(before), "_part")
     ranked = ranked.withColumn("rank", (F.col("_before") + F.col("_i")).cast("long")).drop("_part", "_i", "_before")
     name = F.coalesce(F.nullif(F.substring("txid", 1, 16), F.lit("")), F.lit("UNKNOWN"))
-    return ranked.withColumn("alert_id", F.concat(F.lit("ALT_"), name, F.lit("_"), F.lpad(F.col("rank").cast("string"), 4, "0")))
+    number = F.when(F.col("rank") < 10000, F.lpad(F.col("rank").cast("string"), 4, "0")).otherwise(F.col("rank").cast("string"))  # lpad cuts longer ones
+    return ranked.withColumn("alert_id", F.concat(F.lit("ALT_"), name, F.lit("_"), number))
 
 
 def filter_tier(df: DataFrame, tier: str) -> DataFrame:

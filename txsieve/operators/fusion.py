@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txsieve.functions.scalars import clamp_01, combine, ratio
+from txsieve.functions.scalars import clamp_01, combine, ratio, round_up4
 
 from .detectors import CATEGORY, FAMILY, SCORED, evidence_of
 
@@ -42,7 +42,7 @@ def investigations(records: DataFrame, use_flags: bool = False) -> DataFrame:
     tag = lambda d: F.transform(evidence_of(d, F.col(f"{d}_score")), lambda e: F.struct(F.lit(d).alias("detector"), F.lit(COMPONENT[FAMILY[d]]).alias("category"), e.feature.alias("metric"), e.value.alias("value"), e.reason.alias("reason")))
     rules = [F.when(F.array_contains("triggers", d), tag(d)).otherwise(F.filter(tag(d), lambda x: F.lit(False))) for d in SCORED if d != "isolation_forest"]
     graph = F.transform("graph_items", lambda e: F.struct(F.lit("graph").alias("detector"), F.lit("graph").alias("category"), e.metric.alias("metric"), e.value.alias("value"), e.reason.alias("reason")))
-    df = df.withColumns({"risk_score": F.round(risk, 4), "triggers": fired})
+    df = df.withColumns({"risk_score": round_up4(risk), "triggers": fired})
     df = df.withColumns({"categories": F.array_sort(F.array_union(family, strong)), "_items": F.flatten(F.array(*rules, F.coalesce(graph, F.filter(rules[0], lambda x: F.lit(False)))))})
     # the first item of each metric stays
     first = F.filter("_items", lambda x, i: F.array_position(F.transform("_items", lambda y: y.metric), x.metric) == i + 1)
@@ -55,6 +55,6 @@ def investigations(records: DataFrame, use_flags: bool = False) -> DataFrame:
     support = F.coalesce(F.col("graph_support_score"), motifs, part["graph"])
     explained = F.when(t > 0, ratio(F.size(F.filter("evidence", lambda x: F.coalesce(x.reason, F.lit("")) != "")).cast("double"), F.size("evidence").cast("double"))).otherwise(1.0)
     confidence = clamp_01(0.25 * clamp_01(data) + 0.30 * clamp_01(agree) + 0.20 * clamp_01(stable) + 0.15 * clamp_01(support) + 0.10 * clamp_01(explained))
-    return df.withColumns({"confidence_score": F.round(confidence, 4), "risk_level": risk_level(F.col("risk_score"))}).select(
+    return df.withColumns({"confidence_score": round_up4(confidence), "risk_level": risk_level(F.col("risk_score"))}).select(
         "event_id", "txid", "ts_us", "risk_score", "confidence_score", "risk_level", *[f"component_{k}" for k in WEIGHTS], "triggers", "categories", "signal_count", "cross_category", "evidence"
     )

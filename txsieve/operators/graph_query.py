@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txsieve.functions.scalars import clamp_01
+from txsieve.functions.scalars import clamp_01, round_up4
 from txsieve.functions.session import cut
 
 from .components import components
@@ -190,11 +190,11 @@ def graph_evidence(tx: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     }
     df = df.withColumns(norm)
     top = F.sort_array(F.array(*[F.col(k) for k in norm if k != "norm_counterparties"]), asc=False)
-    df = df.withColumn("composite_graph_score", F.round(top[0] + (1 - top[0]) * 0.25 * top[1], 4))
+    df = df.withColumn("composite_graph_score", round_up4(top[0] + (1 - top[0]) * 0.25 * top[1]))
     known = F.least(F.lit(1.0), F.col("nodes_2hop") / 4)
     df = df.withColumn(
         "graph_support_score",
-        F.round(clamp_01(0.50 * known + 0.30 * F.col("composite_graph_score") + 0.20 * F.least(F.lit(1.0), F.col("degree") / 4)), 4),
+        round_up4(clamp_01(0.50 * known + 0.30 * F.col("composite_graph_score") + 0.20 * F.least(F.lit(1.0), F.col("degree") / 4))),
     )
     items = [
         _item("degree", F.col("degree"), "%.0f edges meet here"), _item("connected_component_size", F.col("component_size"), "part of a component of %.0f nodes"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from txsieve.functions.session import cut, prepare
 from txsieve.operators import detectors, features, rolling, rows
 
-from . import fixture, oracle
+from . import fixture, oracle, scores_sql
 from .oracle import sql
 
 QUERIES: dict = {}
@@ -303,20 +303,36 @@ def x_induced_subgraph(spark, sf_dir):
     return graph_query.subgraph(nodes, edges, hub_tx(edges), 1)[1].select("edge_id", "edge_type")
 
 
-@query("x_component_sizes")
+def xsql(final: str) -> str:
+    """The graph's steps and those of its evidence, and the statement."""
+    return sql(_BASE, final, **GRAPH, **scores_sql.EVIDENCE)
+
+
+@query("x_component_sizes", sql(_BASE, "select n as node_id, (select min(n) from conn) as component, (select count(*) from conn) as component_size from conn", **GRAPH, **{k: scores_sql.EVIDENCE[k] for k in ("conn(n)",)}))
 def x_component_sizes(spark, sf_dir):
-    return graph_query.component_sizes(*graph_of(spark, sf_dir))
+    return graph_query.component_sizes(*graph_of(spark, sf_dir)).select("node_id", "component", "component_size")
+
+
+_HUB = "(select min(source_id) from inp)"
+_HUB_IN = f"(select target_id from inp where source_id = {_HUB})"
 
 
-@query("x_related_entities")
+@query("x_related_entities", gsql("ends", f"""select distinct cluster as related_id, 'cluster' as relation from member where address in {_HUB_IN}
+  union select b, 'pair' from pairs where a in {_HUB_IN} union select a, 'pair' from pairs where b in {_HUB_IN}
+  union select address, 'member' from member where cluster in (select cluster from member where address in {_HUB_IN})"""))
 def x_related_entities(spark, sf_dir):
     nodes, edges = graph_of(spark, sf_dir)
-    return graph_query.related_entities(nodes, edges, hub_tx(edges))
+    return graph_query.related_entities(nodes, edges, hub_tx(edges)).select("related_id", "relation")
 
 
-@query("x_graph_evidence")
+@query("x_graph_evidence", xsql("select txid, degree, component_size, unique_counterparties, temporal_links, cast(common_input_support as bigint) as common_input_support, " + _r(["local_density", "composite", "support"], 4) + ", cast(n_items as integer) as n_items from evid"))
 def x_graph_evidence(spark, sf_dir):
-    return graph_query.graph_evidence(tx_of(spark, sf_dir), *graph_of(spark, sf_dir))
+    df = graph_query.graph_evidence(tx_of(spark, sf_dir), *graph_of(spark, sf_dir))
+    names = {"local_density": "local_density", "composite": "composite_graph_score", "support": "graph_support_score"}
+    return df.select(
+        "txid", *[F.col(k).cast("long").alias(k) for k in ("degree", "component_size", "unique_counterparties", "temporal_links", "common_input_support")],
+        *[rnd(v, 4).alias(k) for k, v in names.items()], F.size("graph_items").alias("n_items"),
+    )
 
 
 @query("m_isolation_forest")
@@ -420,19 +436,41 @@ def analysis(spark, sf_dir):
     return shared("analysis", spark, sf_dir, make)
 
 
-@query("u_investigations")
+def fsql(final: str) -> str:
+    """All steps up to ranked alerts (table inv), and the statement."""
+    return sql(_DET, final, **GRAPH, **scores_sql.EVIDENCE, **scores_sql.FUSION)
+
+
+_SCORES = ["risk_score", "confidence_score"]
+_TEXTS = "array_to_string(triggers, ',') as triggers, array_to_string(categories, ',') as categories"
+
+
+def _texts(*columns: str):
+    return [F.array_join(c, ",").alias(c) for c in columns]
+
+
+def _alert(df):
+    return df.select("alert_id", "txid", "rank", "risk_level", *[rnd(c, 4).alias(c) for c in ("priority_score", *_SCORES, "evidence_strength")], *_texts("triggers"))
+
+
+_ALERT_SQL = "'ALT_' || substr(txid, 1, 16) || '_' || case when rank < 10000 then lpad(cast(rank as varchar), 4, '0') else cast(rank as varchar) end as alert_id, txid, rank, risk_level, " + _r(["priority_score", *_SCORES, "evidence_strength"], 4) + ", array_to_string(triggers, ',') as triggers"
+
+
+@query("u_investigations", fsql(f"select event_id, txid, ts_us, {_r([*_SCORES], 4)}, risk_level, " + _r({"component_graph": "c_graph", "component_temporal": "c_temporal", "component_network": "c_network"}, 3) + f", {_TEXTS}, signal_count, cast(n_evidence as integer) as n_evidence from inv"))
 def u_investigations(spark, sf_dir):
-    return analysis(spark, sf_dir)["investigations"]
+    df = analysis(spark, sf_dir)["investigations"]
+    parts = [rnd(f"component_{k}", 3).alias(f"component_{k}") for k in ("graph", "temporal", "network")]
+    return df.select(*KEYS, *[rnd(c, 4).alias(c) for c in _SCORES], "risk_level", *parts, *_texts("triggers", "categories"), "signal_count", F.size("evidence").alias("n_evidence"))
 
 
-@query("a_ranked_alerts")
+@query("a_ranked_alerts", fsql(f"select {_ALERT_SQL} from inv"))
 def a_ranked_alerts(spark, sf_dir):
-    return analysis(spark, sf_dir)["alerts"]
+    return _alert(analysis(spark, sf_dir)["alerts"])
 
 
-@query("a_top_alerts")
+@query("a_top_alerts", fsql(f"select * replace (row_number() over (order by rank) as rank) from (select {_ALERT_SQL} from inv where risk_level <> 'LOW' order by rank limit 20)"))
 def a_top_alerts(spark, sf_dir):
-    return alerts.top_k(analysis(spark, sf_dir)["alerts"], 20, "MEDIUM+")
+    return _alert(alerts.top_k(analysis(spark, sf_dir)["alerts"], 20, "MEDIUM+"))
 
 
 @query("i_full_analysis")
@@ -440,19 +478,22 @@ def i_full_analysis(spark, sf_dir):
     return plan.analyze(fixture.transactions(prepare(spark), sf_dir))["alerts"]
 
 
-@query("i_run_summary")
+_TIERS = ", ".join(f"(select count(*) from inv where risk_level = '{t}') as {t.lower()}" for t in alerts.TIERS)
+
+
+@query("i_run_summary", fsql(f"select (select count(*) from c) as transactions, (select count(*) from inv) as alerts, {_TIERS}, (select count(*) from conn) as nodes, (select count(*) from edge) as edges"))
 def i_run_summary(spark, sf_dir):
     return analysis(spark, sf_dir)["summary"]
 
 
-@query("p_alert_search")
+@query("p_alert_search", fsql(f"select {_ALERT_SQL} from inv where list_contains(triggers, 'network_cluster')"))
 def p_alert_search(spark, sf_dir):
-    return explore.alert_search(analysis(spark, sf_dir)["alerts"], "ALL", "network_cluster", "tx_")
+    return _alert(explore.alert_search(analysis(spark, sf_dir)["alerts"], "ALL", "network_cluster", "tx_"))
 
 
-@query("p_alert_kpis")
+@query("p_alert_kpis", fsql("select count(*) as total, count(*) filter (risk_level in ('HIGH', 'CRITICAL')) as high, count(*) filter (risk_level <> 'LOW') as medium_up, " + rnd_sql("avg(confidence_score) * 100", 3) + " as mean_confidence from inv"))
 def p_alert_kpis(spark, sf_dir):
-    return explore.alert_kpis(analysis(spark, sf_dir)["alerts"])
+    return explore.alert_kpis(analysis(spark, sf_dir)["alerts"]).withColumn("mean_confidence", rnd("mean_confidence", 3))
 
 
 @query("p_detector_hits", sql(_DET, "select detector, case when detector in ('fan_in', 'fan_out', 'equal_output', 'peeling_like', 'mixing_like') then 'structural' when detector in ('ip_reuse', 'network_cluster', 'endpoint_recurrence') then 'network' when detector = 'isolation_forest' then 'ml' else 'temporal' end as family, count(*) filter (hit) as alerts from (" + " union all ".join(f"select '{d}' as detector, {d} >= 0.5 as hit from det" for d in oracle.DETECTORS) + " union all select 'isolation_forest', false from det) group by 1"))
@@ -460,22 +501,25 @@ def p_detector_hits(spark, sf_dir):
     return explore.detector_hits(analysis(spark, sf_dir)["alerts"])
 
 
-@query("p_risk_distribution")
+@query("p_risk_distribution", fsql("select risk_level, count(inv.txid) as n from (values " + ", ".join(f"('{t}')" for t in alerts.TIERS) + ") v(risk_level) left join inv using (risk_level) group by 1"))
 def p_risk_distribution(spark, sf_dir):
     return explore.risk_distribution(analysis(spark, sf_dir)["alerts"])
 
 
-@query("p_transaction_kpis")
+@query("p_transaction_kpis", fsql("select count(*) as total, count(*) filter (len(triggers) > 0) as flagged, " + rnd_sql("sum(raw_out)", 2) + " as value, " + rnd_sql("avg(confidence_score)", 4) + " as mean_confidence from inv join c using (event_id)"))
 def p_transaction_kpis(spark, sf_dir):
     r = analysis(spark, sf_dir)
-    return explore.transaction_kpis(explore.transaction_summary(fixture.transactions(spark, sf_dir), r["investigations"]))
+    kpis = explore.transaction_kpis(explore.transaction_summary(fixture.transactions(spark, sf_dir), r["investigations"]))
+    return kpis.withColumns({"value": rnd("value", 2), "mean_confidence": rnd("mean_confidence", 4)})
 
 
-@query("p_entity_rollup")
+@query("p_entity_rollup", fsql("""select cluster, count(distinct address) as addresses, """ + rnd_sql("sum(amount)", 2) + """ as volume, min(ts_us) as first_seen, max(ts_us) as last_seen,
+  count(distinct case when flagged then txid end) as alerts from (select member.cluster, address, m.source_id as txid, amount, m.ts_us, len(inv.triggers) > 0 as flagged
+  from member join (select source_id, target_id, amount, ts_us from inp union all select source_id, target_id, amount, ts_us from outp) m on m.target_id = address join inv on inv.txid = m.source_id) group by 1"""))
 def p_entity_rollup(spark, sf_dir):
     r = analysis(spark, sf_dir)
     tx = fixture.transactions(spark, sf_dir)
-    return explore.entity_rollup(graph.clusters(cut(graph.cleaned(tx))), r["edges"], r["alerts"], tx)
+    return explore.entity_rollup(graph.clusters(cut(graph.cleaned(tx))), r["edges"], r["alerts"], tx).withColumn("volume", rnd("volume", 2))
 
 
 @query("p_facets", sql(_DET, "select distinct 'asn' as facet, asn as value from c union select 'detector', d from (" + " union all ".join(f"select '{d}' as d from det where {d} >= 0.5" for d in oracle.DETECTORS) + ")"))
