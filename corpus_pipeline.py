@@ -6,7 +6,7 @@ again as the next stage's ``docs``. All stages but the last return the columns o
 1. quality: documents that the classifier rejects (score under 0.7) go; 2. near copies: one
 document of each group of linked documents stays; 3. personal data is replaced by its kind;
 4. mixing lays the documents out in the order of the target weights; 5. packing cuts them into
-sequences of 2048 tokens.
+sequences of 2048 tokens, whose ids rise in that order.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and offset."""
-    return packing.pack(docs, vocabulary())
+    """One row per piece of a document, with its sequence and offset; sequence ids rise with the mix."""
+    return packing.pack(mixing.laid_out(docs), vocabulary(), order=F.col("mix_position"))
 
 
 STAGES = [

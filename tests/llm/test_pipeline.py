@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,32 @@ def test_stages(spark, tmp_path):
     for parts in seqs.values():
         parts.sort()
         assert [o for o, _ in parts] == list(np.cumsum([0, *[n for _, n in parts]])[:-1])
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Documents of one source are most of the rows; sequence ids rise with the weights' order."""
+    from txsieve.llm import mixing, queries
+
+    n = {"src0": 4400, "src1": 900, "src2": 700, "src3": 700}
+    rows = [(s, "word " * (60 if s == "src0" else 8), "en") for s, k in n.items() for _ in range(k)]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t)) for i, (s, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", docs.doc_id - 1).withColumn("text", F.repeat(F.lit("long "), 9000)))
+    corpus_pipeline.mixing_stage(spark, docs, SF).write.option("maxRecordsPerFile", 900).parquet(str(tmp_path / "mixing"))
+    mixed = spark.read.parquet(str(tmp_path / "mixing"))
+    want = {r.doc_id: r.mix_position for r in mixing.mix(docs, queries.MIX_WEIGHTS).collect()}
+    assert {r.doc_id: r.mix_position for r in mixing.laid_out(mixed).collect()} == want
+    packed = corpus_pipeline.packing_stage(spark, mixed, SF).collect()
+    first = {}
+    for r in sorted(packed, key=lambda r: r.sequence_id):
+        first.setdefault(r.doc_id, r.sequence_id)
+    order = sorted(first, key=first.get)
+    assert len(order) == len(want)
+    source = {i: s for i, (s, _, _) in enumerate(rows)} | {-1: "src0"}
+    for lo, hi in ((0, 2048), (2048, 3000)):
+        share = [sum(source[d] == s for d in order[lo:hi]) / (hi - lo) for s in n]
+        assert lo or all(abs(x - q / 11) < 0.03 for x, q in zip(share, (4, 3, 2, 2), strict=True)), share
+    ranges = {}
+    for r in packed:
+        ranges.setdefault(want[r.doc_id] // 2048, []).append(r.sequence_id)
+    for k in range(max(ranges)):
+        assert max(ranges[k]) < min(ranges[k + 1])

@@ -168,6 +168,24 @@ def mixed(docs: DataFrame, weights: dict[str, int], **settings) -> DataFrame:
     return rows.repartitionByRange("_spot").sortWithinPartitions("_spot").drop("_spot").select(*docs.columns)
 
 
+def laid_out(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the Parquet files that mixed() was written to, with ``mix_position``.
+
+    Spark reads files by size, not by name, so the order comes from the names: part numbers follow
+    the range partitions, and rows of a file keep their order. Only the files' row counts are added up.
+    """
+    file, number = F.col("_metadata.file_path"), lambda p: F.regexp_extract("_file", p, 1).try_cast("long")
+    totals = docs.groupBy(file.alias("_file")).agg((F.max("_metadata.row_index") + 1).alias("_n"))
+    before = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/]*$"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rows = docs.select("*", file.alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    return (
+        rows.join(F.broadcast(starts), F.col("_path") == F.col("_file"))
+        .withColumn("mix_position", F.col("_start") + F.col("_index"))
+        .select(*docs.columns, "mix_position")
+    )
+
+
 def mix_oracle(weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS) -> str:
     """DuckDB SQL for (doc_id, source, mix_block, mix_slot, mix_position): EDF slot by slot."""
     cases = " ".join(f"when source = '{s}' then {w}" for s, w in weights.items())

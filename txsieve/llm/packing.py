@@ -7,6 +7,10 @@ shuffled: they are dealt by a hash of their place into blocks of about ``block_r
 block is packed in one task, longest first, into the open window with the least room that
 suffices. A segment tree over remaining capacities finds that window.
 
+With an order (the positions of a mix), a block is ``block_rows`` consecutive positions instead,
+full windows included. Sequence ids rise with the blocks, and within a block with the first
+position that a sequence holds, so any range of ids has the sources of a range of positions.
+
 Documents are never cut to fill gaps: the padding is what best-fit decreasing leaves.
 
 Defined cases: a null text is an empty one and gives the end id alone; repeated ids and rows are
@@ -22,7 +26,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, prepare
@@ -107,26 +111,29 @@ def best_fit_decreasing(lengths, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, order: Column | None = None) -> DataFrame:
     """Full windows and leftovers of each document. ``place`` numbers the rows of a split.
 
-    Full windows have their sequence id, odd, and offset 0; leftovers have none yet.
+    Full windows have their sequence id, odd, and offset 0; leftovers have none yet. With an order,
+    ``place`` is the order's value, and no piece has a sequence id yet.
     """
     prepare(docs.sparkSession)
+    ordered = order is not None
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         full = row
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = token_ids(text, vocabulary)
+                place = place if ordered else row
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
-                    whole = len(part) == window
+                    whole = len(part) == window and not ordered
                     out.append(
                         (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids),
-                         2 * full + 1 if whole else None, 0 if whole else None, row)
+                         2 * full + 1 if whole else None, 0 if whole else None, place)
                     )
                     full += whole
                 row += 1
@@ -134,25 +141,40 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    place = F.lit(None) if order is None else order
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.cast("long")).mapInArrow(run, PIECES)
+
 
+def pack(
+    docs: DataFrame, vocabulary: str, window: int = WINDOW, block_rows: int = BLOCK_ROWS, order: Column | None = None
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    blocks = max(1, -(-docs.count() // block_rows))
-    cut = pieces(docs, vocabulary, window).withColumn(
-        "block",
-        F.when(F.col("sequence_id").isNull(), F.pmod(F.xxhash64("place"), F.lit(blocks))),
-    )
+    ``order``: positions of the rows, from 0 without gaps or repeats, that sequence ids shall follow.
+    """
+    ordered = order is not None
+    cut = pieces(docs, vocabulary, window, order)
+    if ordered:
+        block = F.floor(F.col("place") / block_rows).cast("long")
+    else:
+        blocks = max(1, -(-docs.count() // block_rows))
+        block = F.when(F.col("sequence_id").isNull(), F.pmod(F.xxhash64("place"), F.lit(blocks)))
+    cut = cut.withColumn("block", block)
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("place")
+        part = part.sort_by([("place", "ascending"), ("start", "ascending")])
         where, offset = best_fit_decreasing(part.column("length").to_numpy(), window)
         block = part.column("block")[0].as_py()
+        if ordered:  # number the windows by the first piece that each holds
+            first = np.full(where.max() + 1, len(where))
+            np.minimum.at(first, where, np.arange(len(where)))
+            where = np.argsort(np.argsort(first))[where]
         for name, values in (("sequence_id", ((block << 32) + where) * 2), ("offset", offset)):
             part = part.set_column(part.schema.get_field_index(name), name, pa.array(values, pa.int64()))
         return part
 
+    if ordered:
+        return cut.groupBy("block").applyInArrow(run, cut.schema).drop("block", "place")
     # full windows and leftovers come from one pass: it is written once, and read by both branches
     cut = checkpoint(cut)
     packed = cut.where("block is not null").groupBy("block").applyInArrow(run, cut.schema)
