@@ -303,6 +303,20 @@ def test_field_adds_spans_and_keeps_base(field):
     assert {("email", 5, 11), ("ip", 16, 24)} <= set(spans)
 
 
+def test_field_reads_written_addresses_without_digits(field):
+    for s, part in (
+        ("write to jane (at) example.com", "jane (at) example.com"), ("mail jane [at] example.org now", "jane [at] example.org"),
+        ("reach jane.smith {at} example.net", "jane.smith {at} example.net"), ("Jane At example Dot com", "Jane At example Dot com"),
+    ):
+        base, spans = pii.find(s, field)
+        a = s.index(part)
+        assert not any(base.values())
+        assert any(k == "email" and x <= a and a + len(part) <= y for k, x, y in spans), s
+    # regions are where the patterns are, with or without the quick look for their characters
+    for s in ("meet (AT) home", "x @ y", "name aT host dOt org", "{ At } z", "Dot", "at home", "1 234 5678", "[at", *filter(None, ODD)):
+        assert bool(list(pii.regions(s))) == bool(pii._NUMERIC.search(s) or pii._WRITTEN.search(s)), s
+
+
 def test_decoding_is_the_best_segmentation(field):
     """Dynamic programming against every segmentation of a small region."""
     lat = pii.Lattice("tel 555-123 4567 ok")

@@ -39,7 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 _NUMERIC = re.compile(r"[+(\[]{0,2}[0-9](?:[ ().\[\]/-]{0,3}[0-9]){3,60}")
-_WRITTEN = re.compile(r"(?:@|\( ?(?:at|AT) ?\)|\[ ?(?:at|AT) ?\]|\{ ?(?:at|AT) ?\}|\b(?:at|AT)\b(?= [\w-]{1,40} ?(?:dot|DOT|\(dot\)|\[dot\])))")
+_WRITTEN = re.compile(
+    r"(?:@|\( ?at ?\)|\[ ?at ?\]|\{ ?at ?\}|\bat\b(?= [\w-]{1,40} ?(?:dot|\(dot\)|\[dot\])))", re.IGNORECASE
+)
 _CUES = {
     "email": ("mail", "email", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "from"),
@@ -312,9 +314,11 @@ def train(words: list[str], n: int = 1200, epochs: int = 12, rate: float = 0.15,
 def regions(text: str):
     """Windows round everything that might be personal data, merged where they meet."""
     last = None
+    # each pattern needs a character or word that most texts lack: nothing that matches is passed over
+    numeric = _NUMERIC.finditer(text) if _DIGIT.search(text) else ()
+    written = _WRITTEN.finditer(text) if any(c in text for c in "@([{") or "dot" in text.lower() else ()
     found = sorted(
-        [(m.start(), m.end()) for m in _NUMERIC.finditer(text)]
-        + [(max(0, m.start() - 40), m.end() + 60) for m in _WRITTEN.finditer(text)]
+        [(m.start(), m.end()) for m in numeric] + [(max(0, m.start() - 40), m.end() + 60) for m in written]
     )
     for a, b in found:
         a, b = max(0, a - 24), min(len(text), b + 8)
@@ -335,8 +339,6 @@ def find(text: str | None, w: np.ndarray, margin: float = 1.0) -> tuple[dict, li
     text = text or ""
     base = base_spans(text)
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
-    if "@" not in text and not _DIGIT.search(text) and "dot" not in text and "DOT" not in text:
-        return base, spans
     taken = sorted((a, b) for _, a, b in spans)
     for lo, hi in regions(text):
         for a, b, kind, score in Lattice(text[lo:hi]).decode(w):
