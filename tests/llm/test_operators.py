@@ -343,6 +343,15 @@ def test_pii_query_columns_and_mask(spark, field):
     assert pii.spans_of(docs(spark, []), field).count() == 0 and pii.fit(docs(spark, []), n=50, epochs=1).shape == field.shape
 
 
+def test_field_trains_on_words_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda words, **_: words)
+    texts = [*ODD, *["header " * 60 + prose(240, i) for i in range(20)]]
+    words = pii.fit(docs(spark, texts))
+    assert words == pii.fit(docs(spark, texts).repartition(3)) and all(0 < len(x) <= 30 for x in words)
+    assert len(words) <= 40 * len(texts) and len(words) > 40 * 20
+    assert 0.1 < words.count("header") / len(words) < 0.3
+
+
 # ---- 9 n-gram join
 
 

@@ -353,17 +353,19 @@ def joined(spans) -> str:
 
 
 def fit(docs: DataFrame, sample: int = 500, words_each: int = 40, **settings) -> np.ndarray:
-    """Train on words of at most ``sample`` documents, ``words_each`` from each."""
+    """Train on words of at most ``sample`` documents, ``words_each`` drawn by hash from the whole of each."""
     prepare(docs.sparkSession)
+    usable = F.filter(F.split("text", r"\s+"), lambda x: F.length(x).between(1, 30))
+    drawn = F.array_sort(F.transform(usable, lambda x, i: F.struct(F.xxhash64("doc_id", i).alias("h"), x.alias("x"))))
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = (
         docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-        .select("doc_id", F.slice(F.split("text", r"\s+", words_each + 1), 1, words_each).alias("w"))
+        .select("doc_id", F.slice(drawn, 1, words_each)["x"].alias("w"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "w")
         .limit(sample)
         .collect()
     )
-    words = [x for r in rows for x in r.w if 0 < len(x) <= 30 and not re.search(r"[0-9@|]", x)]
+    words = [x for r in rows for x in r.w if not re.search(r"[0-9@|]", x)]
     return train(words, **settings)
 
 
