@@ -216,6 +216,41 @@ def test_mixing_keeps_all_and_counts(spark):
         mixing.mix(d, {"hot": 0})
 
 
+def test_runs_are_the_period():
+    r = random.Random(6)
+    for _ in range(300):
+        quotas = [r.choice((d := r.randrange(1, 4), d, d, r.randrange(1, 9))) for _ in range(r.randrange(1, 12))]
+        shared = [q == d and r.random() < 0.8 for q in quotas]
+        want = {}
+        for i, _, slot in mixing.period(quotas):
+            want.setdefault(i, []).append(slot)
+        slots, out = mixing.runs(sum(shared), d, [(sum(shared[:i]), q) for i, q in enumerate(quotas) if not shared[i]])
+        assert slots == [want[i] for i in range(len(quotas)) if not shared[i]]
+        for rank, i in enumerate(i for i in range(len(quotas)) if shared[i]):
+            for k in range(d):
+                _, first, slot = max(x for x in out if x[0] == k and x[1] <= rank)
+                assert slot + rank - first == want[i][k]
+
+
+def test_mixing_has_no_limit_on_sources(spark, monkeypatch):
+    n = 3000
+    d = docs(spark, ["t"] * n, None, [f"s{i % 997}" if i % 5 else None for i in range(n)])
+    weights = {"s1": 4, "s500": 2, "gone": 9}
+    names = sorted({r.source for r in d.select("source").distinct().collect()}, key=lambda s: (s is not None, s or ""))
+    quota = [weights.get(s, 2) for s in names]
+    want = {}
+    for i, _, slot in mixing.period(quota):
+        want.setdefault(names[i], []).append(slot)
+    monkeypatch.setattr(mixing, "MAX_PERIOD", 40)  # far fewer than the sources; joins are not broadcast
+    out = mixing.mix(d, weights, default_weight=2, block_rows=2).collect()
+    assert sorted(r.mix_position for r in out) == list(range(n))
+    for r in out:
+        q = len(want[r.source])
+        assert r.mix_slot == r.mix_block // q * sum(quota) + want[r.source][r.mix_block % q]
+    with pytest.raises(ValueError):
+        mixing.mix(d, {"s1": 41})
+
+
 # ---- 6 fingerprints
 
 

@@ -4,14 +4,17 @@ Each source is put into a pseudo-random order (by md5 of the id) and cut into bl
 ``block_rows`` documents. With integer weights q_i of sum Q, block k of source i may start at
 slot floor(k Q / q_i) and is due by slot ceil((k + 1) Q / q_i). Earliest deadline first gives
 every slot a block; after any number of slots each source is less than one block away from its
-share. The schedule repeats every Q slots, so only one period (Q slots, a parameter's size) is
-laid out, and block k of a source takes slot (k div q) Q + slot(k mod q).
+share. The schedule repeats every Q slots, so only one period is laid out, and block k of a source
+takes slot (k div q) Q + slot(k mod q). Sources without a weight of their own have equal windows
+and follow each other, so the period is laid out in runs of them: its size is that of the weights,
+not of the number of sources, which stay a table.
 
 A source that ends early leaves its later slots unused, so the others go on in the proportions
 of their own weights. All documents are kept; ``mix_position`` numbers them without gaps.
 
-Ranks and positions come from two-level counts (bucket totals, then places in a bucket), so that
-no source and no range of slots is gathered in one task.
+Ranks come from range partitions and their counts, positions from two-level counts (totals of
+ranges, then places in a range), so that no source, no repeated or null id and no range of slots
+is gathered in one task.
 
 Defined cases: a null source is a source of its own; sources without a weight get
 ``default_weight``; null ids come first in their source; repeated rows are kept, in any order among
@@ -25,6 +28,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 BLOCK_ROWS, MAX_PERIOD = 16, 1 << 20
 
 
@@ -44,33 +49,91 @@ def period(weights: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def place_in(df: DataFrame, groups: list[str], hexadecimal: str, ties: list[Column], name: str, bucket_rows: int) -> DataFrame:
-    """Number the rows of each group from 0 in the order of a hex string and ``ties``.
+def runs(n: int, quota: int, named: list[tuple[int, int]]) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """The slots of period() where ``n`` sources share one quota: run lengths instead of a slot each.
 
-    Ranges of the string's first eight digits are the buckets; their totals are added up, and
-    rows are numbered within them.
+    ``named`` are the other sources in order: (how many of the n come before it, its quota). Returns
+    the slots of each named source, and runs (k, rank, slot): from that rank of the n on, block k takes
+    consecutive slots, up to the next run of k. Both are as long as the quotas, whatever n is.
     """
-    rows = df.count()
-    buckets = max(1, -(-rows // bucket_rows))
-    first = F.conv(F.substring(hexadecimal, 1, 8), 16, 10).cast("decimal(20,0)")
-    df = df.withColumn("_bucket", F.coalesce((first * buckets / F.lit(1 << 32)).cast("long"), F.lit(-1)))
-    totals = df.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    total = n * quota + sum(q for _, q in named)
+    window = lambda k, q: (k * total // q, -(-(k + 1) * total // q))
+    released = sorted(
+        [(*window(k, q), first, 0, j, k) for j, (first, q) in enumerate(named) for k in range(q)]
+        + [(*window(k, quota), 0, 1, 0, k) for k in range(quota if n else 0)]
     )
-    same = F.col("_bucket") == F.col("_b")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    within = Window.partitionBy(*groups, "_bucket").orderBy(F.col(hexadecimal), *ties)
-    return (
-        df.withColumn("_in", F.row_number().over(within) - 1)
-        .join(starts, same)
-        .withColumn(name, (F.col("_start") + F.col("_in")).cast("long"))
-        .drop("_bucket", "_in", "_b", "_start", *[f"_g{i}" for i in range(len(groups))])
+    slots, out, due, at, slot = [[] for _ in named], [], [], 0, 0
+    while due or at < len(released):
+        while at < len(released) and released[at][0] <= slot:
+            heapq.heappush(due, released[at][1:])
+            at += 1
+        deadline, rank, shared, j, k = heapq.heappop(due)
+        if not shared:
+            slots[j].append(slot)
+            slot += 1
+            continue
+        end = n  # the run ends where a named source is next in order, or where a release may change the choice
+        if due and due[0][0] == deadline:
+            end = min(end, due[0][1])
+        if at < len(released):
+            end = min(end, rank + released[at][0] - slot)
+        out.append((k, rank, slot))
+        slot += end - rank
+        if end < n:
+            heapq.heappush(due, (deadline, end, 1, 0, k))
+    return slots, out
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows sorted by range, with ``_at`` and ``_part``; and a ``_shift`` for each group and part.
+
+    ``_at`` + ``_shift`` numbers the rows of a group from 0. Parts are ranges of groups and ``order``, so
+    with an order that has no ties no group or key gathers in one task; only parts' counts are added up.
+    """
+    keys = [*(F.asc_nulls_first(g) for g in groups), *order]
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    laid = checkpoint(laid).withColumn("_part", F.shiftright("_at", 33))
+    totals = laid.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return laid, totals.select(*groups, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+
+
+def schedule(sources: DataFrame, weights: dict[str, int], default_weight: int = 1) -> tuple[DataFrame, int]:
+    """_source, _quota and _slots (of one period) of each distinct source; and the period.
+
+    Sources stay a table. Those with a weight of their own, a parameter's number, go to the driver.
+    """
+    spark = sources.sparkSession
+    laid, shifts = numbered(sources, [], [F.asc_nulls_first("source")])
+    ranked = checkpoint(laid.join(F.broadcast(shifts), "_part").select("source", (F.col("_at") + F.col("_shift")).alias("_rank")))
+    own = F.coalesce(F.col("source").isin([s for s in weights if s is not None]), F.lit(None in weights))
+    named = [(r.source, r["_rank"], int(weights[r.source])) for r in ranked.where(own).orderBy("_rank").collect()]
+    n = ranked.count() - len(named)
+    quotas = [q for *_, q in named] + [int(default_weight)] * (n > 0)
+    if any(q <= 0 for q in quotas):
+        raise ValueError("weights must be positive")
+    if sum(quotas) > MAX_PERIOD:
+        raise ValueError(f"weights that add up to {sum(quotas)}; at most {MAX_PERIOD}")
+    slots, shared = runs(n, int(default_weight), [(rank - j, q) for j, (_, rank, q) in enumerate(named)])
+    first = spark.createDataFrame([(s, q, x) for (s, _, q), x in zip(named, slots, strict=True)], "_source string, _quota long, _slots array<long>")
+    if not n:
+        return first, max(1, sum(quotas))
+    table = spark.createDataFrame([([rank for _, rank, _ in named], sorted(shared))], "_named array<long>, _runs array<struct<k: long, rank: long, slot: long>>")
+    rank = F.col("_rank") - F.size(F.filter("_named", lambda x: x < F.col("_rank")))
+    run = lambda k: F.element_at(F.filter("_runs", lambda x: (x.k == k) & (x.rank <= F.col("_rank"))), -1)
+    rest = (
+        ranked.where(~own)
+        .crossJoin(F.broadcast(table))
+        .withColumn("_rank", rank)
+        .select(
+            F.col("source").alias("_source"),
+            F.lit(int(default_weight)).cast("long").alias("_quota"),
+            F.transform(
+                F.sequence(F.lit(0), F.lit(int(default_weight) - 1)), lambda k: run(k)["slot"] + F.col("_rank") - run(k)["rank"]
+            ).alias("_slots"),
+        )
     )
+    return first.unionByName(rest), n * int(default_weight) + sum(q for *_, q in named)
 
 
 def mix(
@@ -82,35 +145,31 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, mix_block, mix_slot and mix_position of each row of ``docs``.
 
-    Weights are positive integers. The number of distinct sources times their weights is the
-    period, at most MAX_PERIOD; beyond it, merge rare sources first.
+    Weights are positive integers. Those of the named sources and the default weight add up to
+    MAX_PERIOD at most; the number of sources has no limit.
     """
-    docs = docs.select("doc_id", "source")
-    spark = docs.sparkSession
-    names = sorted(
-        (r[0] for r in docs.select("source").distinct().limit(MAX_PERIOD + 1).collect()),
-        key=lambda s: (s is not None, s or ""),
-    )
-    quota = [int(weights.get(s, default_weight)) for s in names]
-    if sum(quota) > MAX_PERIOD:
-        raise ValueError(f"a period of {sum(quota)} slots; at most {MAX_PERIOD}")
-    if any(q <= 0 for q in quota):
-        raise ValueError("weights must be positive")
-    total = max(1, sum(quota))
-    # one row per source, with the slots of its quota in order
-    slots: dict[int, list[int]] = {}
-    for i, _, slot in period(quota):
-        slots.setdefault(i, []).append(slot)
-    plan = spark.createDataFrame(
-        [(names[i], quota[i], slots[i]) for i in range(len(names))],
-        "_source string, _quota long, _slots array<long>",
-    )
+    rows = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("_row"))
+    return _positions(rows, weights, default_weight, block_rows, bucket_rows).drop("_row")
+
+
+def _positions(rows: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS, bucket_rows: int = 512) -> DataFrame:
+    """The columns of mix() for rows of doc_id, source and ``_row``, a number that no two rows share."""
     key = F.md5(F.col("doc_id").cast("string"))
-    placed = place_in(
-        docs.withColumn("_key", key), ["source"], "_key", [F.col("doc_id")], "_place", bucket_rows
+    order = [F.asc_nulls_first("_key"), F.asc_nulls_first("doc_id"), F.asc("_row")]
+    laid, shifts = numbered(rows.withColumn("_key", key), ["source"], order)
+    shifts = checkpoint(shifts)
+    plan, total = schedule(shifts.select("source").distinct(), weights, default_weight)
+    # the plan goes to the parts of a source, not to its rows: no join gathers the rows of a source
+    parts = checkpoint(
+        shifts.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
+            F.col("_part").alias("_p"), "_source", "_shift", "_quota", "_slots"
+        )
     )
+    if (parts.agg(F.sum("_quota")).first()[0] or 0) <= MAX_PERIOD:
+        parts = F.broadcast(parts)
     placed = (
-        placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
+        laid.join(parts, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("_place", F.col("_at") + F.col("_shift"))
         .withColumn("mix_block", F.floor(F.col("_place") / block_rows).cast("long"))
         .withColumn(
             "mix_slot",
@@ -145,7 +204,7 @@ def mix(
     return (
         placed.join(starts, F.col("mix_slot") == F.col("_s"))
         .withColumn("mix_position", (F.col("_first") + F.col("_in_block")).cast("long"))
-        .drop("_key", "_place", "_source", "_quota", "_slots", "_in_block", "_s", "_first")
+        .select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "_row")
     )
 
 
