@@ -251,6 +251,20 @@ def test_mixing_has_no_limit_on_sources(spark, monkeypatch):
         mixing.mix(d, {"s1": 41})
 
 
+def test_mixing_spreads_null_and_repeated_ids(spark):
+    """Null ids and one id have most rows: no part of the ranks and no list of positions holds them all."""
+    n, merge = 4000, "spark.sql.adaptive.coalescePartitions.enabled"
+    d = docs(spark, [f"t{i}" for i in range(n)], [None if i % 2 else 7 if i % 4 else i for i in range(n)], ["hot"] * n)
+    rows = d.select("doc_id", "source", F.monotonically_increasing_id().alias("_row"))
+    spark.conf.set(merge, "false")  # the table is small
+    laid, _ = mixing.numbered(rows, ["source"], [F.asc_nulls_first("doc_id"), F.asc("_row")])
+    spark.conf.unset(merge)
+    assert max(r["count"] for r in laid.groupBy("_part").count().collect()) < n / 2
+    laid = mixing.mixed(d, {"hot": 2})
+    assert "collect_list" not in laid._jdf.queryExecution().toString()
+    assert sorted(r.text for r in laid.collect()) == sorted(f"t{i}" for i in range(n))
+
+
 # ---- 6 fingerprints
 
 

@@ -211,20 +211,13 @@ def _positions(rows: DataFrame, weights: dict[str, int], default_weight: int = 1
 def mixed(docs: DataFrame, weights: dict[str, int], **settings) -> DataFrame:
     """All columns of ``docs``, with rows laid out in the order of the mix (range-partitioned).
 
-    Positions are joined to the rows by (doc_id, source); rows that share both take the positions
-    of that pair in turn, so repeated rows neither multiply nor vanish.
+    Rows are numbered first, and the numbers fixed in the shared folder; positions are joined to the
+    rows by number, so repeated rows and null ids neither multiply, vanish nor gather in one task.
     """
-    spots = (
-        mix(docs, weights, **settings)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"))
-        .agg(F.sort_array(F.collect_list("mix_position")).alias("_spots"))
-    )
-    turn = Window.partitionBy("doc_id", "source").orderBy(F.lit(0))
-    rows = docs.withColumn("_turn", F.row_number().over(turn)).join(
-        spots, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
-    )
-    rows = rows.withColumn("_spot", F.element_at("_spots", F.col("_turn"))).drop("_id", "_src", "_spots", "_turn")
-    return rows.repartitionByRange("_spot").sortWithinPartitions("_spot").drop("_spot").select(*docs.columns)
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = checkpoint(docs)
+    spots = _positions(rows.select("doc_id", "source", "_row"), weights, **settings).select("_row", F.col("mix_position").alias("_spot"))
+    return rows.join(spots, "_row").repartitionByRange("_spot").sortWithinPartitions("_spot").drop("_row", "_spot")
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
