@@ -70,6 +70,13 @@ def test_license_scan(spark):
         license_scan.scan(docs(spark, ["a"]), {"short": "three little words"})
 
 
+def test_license_scan_misses_no_short_notice(spark):
+    """The MIT notice is one shingle; in a text's first four it lies in one window only."""
+    texts = [f"{' '.join(f'w{i}x{k}' for k in range(i % 4))} Released under the MIT License. {prose(9, i)}" for i in range(6000)]
+    got = {r.doc_id for r in license_scan.scan(docs(spark, texts)).where("license = 'MIT'").collect()}
+    assert got == set(range(6000))
+
+
 # ---- 2 quality
 
 

@@ -4,7 +4,7 @@ Texts and templates are sets of five-word shingles. A text is covered by overlap
 ``WINDOW`` shingles, ``STRIDE`` apart; templates are cut into chunks of up to STRIDE shingles, so a
 chunk that occurs anywhere lies whole in a window. Windows and chunks get ``BANDS`` MinHash values,
 each a band of one row: a chunk with c shingles in a window meets it in some band with probability
-1 - (1 - c / WINDOW) ** BANDS, over 0.998 for a single shingle and over 0.999999 for three. Chunks
+1 - (1 - c / WINDOW) ** BANDS: a single shingle is missed with 4e-8, three with 1e-26. Chunks
 retrieve their templates, and a template is reported if the text holds at least 0.8 of its shingles
 (exact containment, on 64-bit hashes).
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT, MAX_TEMPLATES = 5, 8, 4, 48, 0.8, 2000
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT, MAX_TEMPLATES = 5, 8, 4, 128, 0.8, 2000
 
 #: Short notices of common licences. The wording is the licences' own.
 TEMPLATES = {
