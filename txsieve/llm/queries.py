@@ -15,7 +15,7 @@ MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json").replace(".json", ".tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
