@@ -2,16 +2,21 @@
 
 A word is its character n-grams (three to five, with marks at both ends) and itself, hashed to
 ``buckets`` rows of an embedding table; its vector is their mean, so an unseen misspelling shares most
-of it. A window of ``window`` words is the mean of its words (a shorter text is padded with zeros), and a linear softmax gives its two
-classes. A text is as toxic as its most toxic window, which keeps a few words from drowning in a long
-text; embeddings and softmax are trained together by gradient descent on windows. At first every
-window of a toxic text counts as toxic, then only the one that scores highest.
+of it. A text is the mean of its words' vectors, however many there are, and a linear softmax gives
+its two classes. Embeddings and softmax are trained together on whole texts by accelerated proximal
+gradient steps: each bucket's input is scaled by its spread over the texts, and the length of each
+bucket's vector is penalised, so the table keeps the subwords that set toxic texts apart and is zero
+elsewhere; a few toxic words in a long text then stand out against nothing.
+
+A mean over few words is noisier than one over many, so the score is calibrated by length: a
+logistic map of the logarithms of the mean's toxic part and of the number of words, and their product,
+fitted on margins of texts that the table of their fold was not trained on.
 
 The model is linear after the mean, so scoring needs one number per distinct word; they are kept in a
 bounded table per Python worker.
 
-Labels: a bounded sample (``per_class`` texts of each class, at most ``windows_each`` windows of each,
-in hash order) trains on the driver. Every whole text is scored.
+Labels: a bounded sample (``per_class`` texts of each class, in hash order) trains on the driver, on
+the whole texts' word counts. Every whole text is scored.
 
 Defined cases: null and empty texts, and texts without words, score as the clean class does without
 evidence; with labels of one class or none, the score is the share of 1 among them (0 if none);
@@ -20,7 +25,9 @@ repeated rows and ids are scored one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +39,7 @@ from .common import labelled_sample, prepare
 from .text import mix
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAMS, BUCKETS, WINDOW, CACHE = (3, 4, 5), 1 << 16, 16, 300_000
+GRAMS, BUCKETS, CACHE = (3, 4, 5), 1 << 18, 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -68,120 +75,170 @@ def subwords(vocabulary: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     return ids, np.searchsorted(owner[order], np.arange(len(vocabulary)))
 
 
+class Bags:
+    """Texts as sparse rows over the subword buckets that enough texts share."""
+
+    def __init__(self, bags: list[dict[str, int]], buckets: int, least_texts: int):
+        at: dict[str, int] = {}
+        text, word, count = [], [], []
+        for i, bag in enumerate(bags):
+            for w, n in bag.items():
+                text.append(i)
+                word.append(at.setdefault(w, len(at)))
+                count.append(n)
+        text, word, count = np.array(text, np.int64), np.array(word, np.int64), np.array(count, float)
+        self.n, self.words = len(bags), np.bincount(text, count, len(bags))
+        ids, start = subwords(list(at), buckets)
+        per = np.diff(np.r_[start, len(ids)])
+        share = count / self.words[text] / per[word]
+        keys, values = [], []
+        for lo in range(0, len(bags), 200):  # a few texts at a time, for bounded memory
+            a, b = np.searchsorted(text, (lo, lo + 200))
+            reps = per[word[a:b]]
+            if not reps.sum():
+                continue
+            flat = np.repeat(start[word[a:b]] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+            key, back = np.unique(np.repeat(text[a:b], reps) * buckets + ids[flat], return_inverse=True)
+            keys.append(key)
+            values.append(np.bincount(back, np.repeat(share[a:b], reps)))
+        key, x = np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)])
+        seen = np.bincount(key % buckets, minlength=buckets)
+        kept = seen[key % buckets] >= least_texts
+        self.used, self.col = np.unique(key[kept] % buckets, return_inverse=True)
+        self.row, self.x = key[kept] // buckets, x[kept]
+
+
+class Sparse:
+    """A texts x buckets matrix in both orders, for products from either side."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, x: np.ndarray, n_rows: int, n_cols: int):
+        self.row, self.col, self.x, self.shape = row, col, x, (n_rows, n_cols)
+        self.filled, self.first = np.unique(row, return_index=True)  # rows come in order
+        order = np.argsort(col, kind="stable")
+        self.row_c, self.x_c = row[order], x[order]
+        self.filled_c, self.first_c = np.unique(col[order], return_index=True)
+
+    def times(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        if len(self.x):
+            out[self.filled] = np.add.reduceat(self.x * s[self.col], self.first)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[1])
+        if len(self.x):
+            out[self.filled_c] = np.add.reduceat(self.x_c * g[self.row_c], self.first_c)
+        return out
+
+    def only(self, kept: np.ndarray) -> Sparse:
+        """The kept columns."""
+        at = kept[self.col]
+        return Sparse(self.row[at], (np.cumsum(kept) - 1)[self.col[at]], self.x[at], self.shape[0], int(kept.sum()))
+
+
+def _squared(m: Sparse) -> Sparse:
+    out = copy.copy(m)
+    out.x, out.x_c = m.x**2, m.x_c**2
+    return out
+
+
 @dataclass
 class SubwordSoftmax:
-    """E (buckets x dim), W (dim x 2), b (2), and a logistic map from the top window to a score."""
+    """E (buckets x dim), W (dim x 2), b (2), and a logistic map from mean and length to a score."""
 
     buckets: int = BUCKETS
     dim: int = 8
-    window: int = WINDOW
-    epochs: int = 90
-    rate: float = 1000.0
+    epochs: int = 100
+    penalty: float = 0.025
     least_texts: int = 8
+    folds: int = 3
     seed: int = 3
     constant: float | None = None
     per_bucket: np.ndarray = field(default=None, repr=False)
-    bias: float = 0.0
-    scale: tuple = (1.0, 0.0)
+    map: tuple = (1.0, 0.0, 0.0, 0.0)
+    floor: float = 1.0
 
-    def fit(self, groups: list[list[list[str]]], labels: np.ndarray) -> SubwordSoftmax:
-        """``groups``: the windows of each text. Every fifth text only sets the scale of the scores."""
-        if not len(labels) or labels.min() == labels.max():
-            self.constant = float(labels.mean()) if len(labels) else 0.0
+    def fit(self, bags: list[dict[str, int]], labels: np.ndarray) -> SubwordSoftmax:
+        """``bags``: the word counts of each text. Calibration uses margins from outside the fold."""
+        self.constant = float(labels.mean()) if len(labels) else 0.0
+        if not 0 < self.constant < 1 or not any(bags):
             return self
-        learn = np.arange(len(labels)) % 5 != 4
-        if len(set(labels[learn])) < 2 or len(set(labels[~learn])) < 2:
-            learn[:] = True
-        self._descend([g for g, k in zip(groups, learn, strict=True) if k], labels[learn])
-        rest = ~learn if not learn.all() else learn
-        self._set_scale(np.array([self._top_of(g) for g, k in zip(groups, rest, strict=True) if k]), labels[rest])
+        self.constant = None
+        data = Bags(bags, self.buckets, min(self.least_texts, max(1, len(bags) // 50)))
+        raw = Sparse(data.row, data.col, data.x, data.n, len(data.used))
+        fold = np.arange(len(labels)) % self.folds
+        margin, ok = np.zeros(len(labels)), True
+        for f in range(self.folds):
+            rest = fold != f
+            ok &= 0 < labels[rest].mean() < 1
+            if ok:
+                margin[~rest] = raw.times(self._descend(raw, labels, rest))[~rest]
+        table = self._descend(raw, labels, np.ones(len(labels), bool))
+        self._calibrate(margin if ok else raw.times(table), data.words, labels)
+        self.per_bucket = np.zeros(self.buckets)
+        self.per_bucket[data.used] = table
         return self
 
-    def _descend(self, groups: list[list[list[str]]], labels: np.ndarray) -> None:
-        """Full-batch gradient descent with momentum on E, W and b together.
+    def _descend(self, raw: Sparse, labels: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """The score of each used bucket, E (w1 - w0): proximal gradient with momentum on E, W, b.
 
-        Steps follow the plain gradient, so what many texts share moves first; a step that raises the
-        loss is taken back, and the pace halved. Subwords of fewer than
-        ``least_texts`` texts stay at zero, as they could only single out texts.
+        After the first steps, buckets that are at zero and whose gradient is far from moving them
+        are left out of the rest.
         """
-        windows = [w for g in groups for w in g if w]
-        text_of = np.array([i for i, g in enumerate(groups) for w in g if w])
-        vocabulary = sorted({w for win in windows for w in win})
-        at = {w: i for i, w in enumerate(vocabulary)}
-        occ = np.array([at[w] for win in windows for w in win], np.int32)
-        length = np.array([len(w) for w in windows])
-        first = np.cumsum(length) - length
-        in_window = np.repeat(np.arange(len(windows)), length)
-        ids, start = subwords(vocabulary, self.buckets)
-        count = np.diff(np.r_[start, len(ids)])
-        # in how many texts each bucket occurs
-        pairs = np.unique(text_of[in_window].astype(np.int64) * len(vocabulary) + occ)
-        texts, used = pairs // len(vocabulary), pairs % len(vocabulary)
-        reps = count[used]
-        flat = np.repeat(start[used] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-        seen = np.bincount(np.unique(np.repeat(texts, reps) * self.buckets + ids[flat]) % self.buckets, minlength=self.buckets)
-        del flat, pairs
-        kept = (seen >= min(self.least_texts, max(1, len(groups) // 50)))[ids]
-        owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), count)[kept]
-        ids = ids[kept]
+        y = labels
+        weight = np.where(y == 1, 0.5 / max(1, (y * learn).sum()), 0.5 / max(1, ((1 - y) * learn).sum())) * learn
+        total = raw.back(weight)
+        square = _squared(raw).back(weight)
+        spread = np.sqrt(np.maximum(square - total**2, 1e-16))
+        data = Sparse(raw.row, raw.col, raw.x / spread[raw.col], *raw.shape)
         rng = np.random.default_rng(self.seed)
-        e = np.zeros((self.buckets, self.dim))
-        e[np.unique(ids)] = rng.normal(0, 0.01, (len(np.unique(ids)), self.dim))
-        w, b = rng.normal(0, 0.5, (self.dim, 2)), np.zeros(2)
-        speed = [np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)]
-        y = labels[text_of]
-        n_of = np.bincount(text_of, minlength=len(labels))
-        best, pace, saved = np.inf, 1.0, [prm.copy() for prm in (e, w, b)]
-        for step in range(1, self.epochs + 1):
-            if step == self.epochs // 3 + 1:
-                best = np.inf  # the windows that count change here, and so does the loss
-            vec = np.stack([np.bincount(owner, e[ids, k], len(vocabulary)) for k in range(self.dim)], 1) / count[:, None]
-            x = np.add.reduceat(vec[occ], first, 0) / self.window  # short windows are padded with zeros
-            logit = x @ w + b
-            p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -30, 30)))
-            if step <= self.epochs // 3:
-                weight = 1 / n_of[text_of]
-            else:
-                order = np.lexsort((p, text_of))
-                weight = np.where(y == 1, 0.0, 0.1)
-                weight[order[np.r_[np.flatnonzero(np.diff(text_of[order])), len(order) - 1]]] = 1.0
-            for c in (0, 1):
-                weight[y == c] /= max(1e-9, weight[y == c].sum())
-            loss = -float((weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
-            if loss > 1.02 * best:  # too far: back to the last good step, at half the pace
-                pace /= 2
-                for prm, old, v in zip((e, w, b), saved, speed, strict=True):
-                    prm[:] = old
-                    v[:] = 0
-                best *= 1.02
-                continue
-            best = min(best, loss)
-            for prm, old in zip((e, w, b), saved, strict=True):
-                old[:] = prm
-            d = weight * (p - y)
-            dl = np.stack([-d, d], 1)
-            dx = (dl @ w.T) / self.window
-            ge = np.empty_like(e)
-            for k in range(self.dim):
-                dv = np.bincount(occ, dx[in_window, k], len(vocabulary)) / count
-                ge[:, k] = np.bincount(ids, dv[owner], self.buckets)
-            for prm, g, v, rate in zip((e, w, b), (ge, x.T @ dl, dl.sum(0)), speed, (self.rate, 0.05, 0.05), strict=True):
-                v *= 0.9
-                v -= pace * rate * g
-                prm += v
-        self.per_bucket = e @ (w[:, 1] - w[:, 0])
-        self.bias = float(b[1] - b[0])
-
-    def _set_scale(self, top: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic regression of the label on the top window, both classes weighing the same."""
-        a, c = 1.0, 0.0
+        v = rng.normal(size=data.shape[1])
+        for _ in range(8):  # the curvature, by power iteration
+            v = data.back(weight * data.times(v / np.linalg.norm(v)))
+        pace = 1 / (0.275 * max(np.linalg.norm(v), 1e-12))
+        e = rng.normal(0, 1e-4, (data.shape[1], self.dim))
+        w, b, t = rng.normal(0, 1, (self.dim, 2)), np.zeros(2), 1.0
+        w /= np.linalg.norm(w[:, 1] - w[:, 0])
+        ahead, ahead_b, active = e.copy(), b.copy(), np.arange(data.shape[1])
+        for step in range(self.epochs):
+            d = w[:, 1] - w[:, 0]
+            logit = data.times(ahead @ d) + ahead_b[1] - ahead_b[0]
+            g = weight * (y - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+            back = data.back(g)
+            new = ahead + pace * np.outer(back, d)
+            length = np.linalg.norm(new, axis=1)
+            new *= np.maximum(0, 1 - pace * self.penalty / np.maximum(length, 1e-300))[:, None]
+            new_b = ahead_b + 0.5 * g.sum() * np.array([-1.0, 1.0])
+            pull = e.T @ back
+            w += 0.01 * np.outer(pull / max(1e-12, np.linalg.norm(pull)), [-1.0, 1.0])
+            w /= np.linalg.norm(w[:, 1] - w[:, 0])
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead, ahead_b = new + (t - 1) / t_new * (new - e), new_b + (t - 1) / t_new * (new_b - b)
+            e, b, t = new, new_b, t_new
+            if step == self.epochs // 6:
+                kept = (length > 0) & ((np.abs(back) > 0.5 * self.penalty) | (np.abs(e).max(1, initial=0) > 0))
+                data, active, e, ahead = data.only(kept), active[kept], e[kept], ahead[kept]
+        out = np.zeros(raw.shape[1])
+        out[active] = e @ (w[:, 1] - w[:, 0])
+        return out / spread
+
+    def _inputs(self, margins: np.ndarray, words: np.ndarray) -> np.ndarray:
+        m, n = np.log(np.maximum(margins, 0) / self.floor + 1), np.log1p(words)
+        return np.stack([m, n, m * n, np.ones(len(m))], 1)
+
+    def _calibrate(self, margins: np.ndarray, words: np.ndarray, labels: np.ndarray) -> None:
+        """Logistic regression by Newton steps, both classes weighing the same."""
+        self.floor = max(1e-9, 0.05 * float(np.maximum(margins, 0)[labels == 1].mean()))
+        f = self._inputs(margins, words)
+        scale = np.abs(f).max(0) + 1e-9
+        f = f / scale
         balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-        mean, spread = top.mean(), top.std() + 1e-9
-        z = (top - mean) / spread
-        for _ in range(2000):
-            g = balance * (labels - 1 / (1 + np.exp(-(a * z + c))))
-            a, c = a + 2.0 * ((g * z).mean() - 1e-4 * a), c + 2.0 * g.mean()
-        self.scale = (a / spread, c - a * mean / spread)
+        theta = np.zeros(f.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(f @ theta, -30, 30)))
+            h = (f * (balance * p * (1 - p))[:, None]).T @ f + 1e-2 * np.eye(len(theta))
+            theta += np.linalg.solve(h, f.T @ (balance * (labels - p)) - 1e-2 * theta)
+        self.map = tuple((theta / scale).tolist())
 
     def word_scores(self, vocabulary: list[str]) -> np.ndarray:
         if not vocabulary:
@@ -189,63 +246,42 @@ class SubwordSoftmax:
         ids, start = subwords(vocabulary, self.buckets)
         return np.add.reduceat(self.per_bucket[ids], start) / np.diff(np.r_[start, len(ids)])
 
-    def _top_of(self, windows: list[list[str]]) -> float:
-        return max((float(self.word_scores(w).sum()) / self.window for w in windows if w), default=0.0)
-
-    def top(self, values: np.ndarray) -> float:
-        """The highest window mean of a text's word scores; windows overlap by half."""
-        n = len(values)
-        if n <= self.window:
-            return float(values.sum()) / self.window
-        run = np.r_[0.0, np.cumsum(values)]
-        starts = np.arange(0, n, self.window // 2)
-        starts = np.minimum(starts, n - self.window)
-        return float((run[starts + self.window] - run[starts]).max() / self.window)
-
-    def score(self, tops: np.ndarray) -> np.ndarray:
+    def score(self, margins: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of texts with these means of word scores, and numbers of words."""
         if self.constant is not None:
-            return np.full(len(tops), self.constant)
-        a, c = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * tops + c, -30, 30)))
-
+            return np.full(len(margins), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self._inputs(margins, words) @ np.array(self.map), -30, 30)))
 
-def cut(text: str | None, window: int) -> list[list[str]]:
-    """Windows of a text, one after the other."""
-    w = words(text)
-    return [w[s : s + window] for s in range(0, max(1, len(w)), window)]
 
-
-def training_windows(rows: DataFrame, window: int, most: int) -> DataFrame:
-    """(label, key, windows) of (doc_id, text, label) rows: at most ``most`` windows of a text."""
+def training_bags(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, words, counts) of (doc_id, text, label) rows, from whole texts."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = cut(text, window)
-                if len(w) > most:
-                    pick = np.random.default_rng(abs(int(doc_id))).choice(len(w), most, replace=False)
-                    w = [w[i] for i in sorted(pick.tolist())]
-                out.append([" ".join(x) for x in w])
+            bags = [Counter(words(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "label", "windows"]
-            )
+                [batch.column(0), batch.column(2), pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                 pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))],
+                names=["doc_id", "label", "words", "counts"],
+            )
 
-    return rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, windows array<string>")
+    return rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(
+        run, "doc_id long, label int, words array<string>, counts array<long>"
+    )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1000, windows_each: int = 40, **settings) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1600, **settings) -> SubwordSoftmax:
     """Fit on at most per_class labelled texts of each class."""
     prepare(docs.sparkSession)
     model = SubwordSoftmax(**settings)
     sample = labelled_sample(labels, label, per_class, keep)
     rows = (
-        training_windows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), model.window, windows_each)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "windows")
+        training_bags(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "words", "counts")
         .limit(2 * per_class)
         .collect()
     )
-    return model.fit([[w.split(" ") if w else [] for w in r.windows] for r in rows], np.array([r.label for r in rows], float))
+    return model.fit([dict(zip(r.words, r.counts, strict=True)) for r in rows], np.array([r.label for r in rows], float))
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> DataFrame:
@@ -256,7 +292,7 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> Dat
         known: dict[str, float] = {}
         for batch in batches:
             texts = [words(t) for t in batch.column(1).to_pylist()] if model.constant is None else [[]] * batch.num_rows
-            tops = np.zeros(len(texts))
+            means = np.zeros(len(texts))
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
                 if len(known) > CACHE:
@@ -265,8 +301,8 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> Dat
                 if fresh:
                     known.update(zip(fresh, model.word_scores(fresh).tolist(), strict=True))
                 for i, t in enumerate(part):
-                    tops[lo + i] = model.top(np.array([known[w] for w in t])) if t else 0.0
-            s = model.score(tops)
+                    means[lo + i] = sum(map(known.__getitem__, t)) / len(t) if t else 0.0
+            s = model.score(means, np.array([len(t) for t in texts], float))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
