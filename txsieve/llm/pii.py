@@ -1,24 +1,30 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field beside them.
 
-The base patterns (email, ip, card, phone) always count. Round digits, ``@`` and written-out
-forms of it, permissive regions are cut into tokens, and every span of at most ``MAX_TOKENS``
-tokens is a candidate segment of each kind. Features describe the whole span (how many digits,
-Luhn, four parts up to 255, separators, what touches it, the cue word before it), so dynamic
-programming over segments chooses boundaries and kinds together. Segments that overlap no base
-span are added: addresses written as "name (at) host dot com", numbers without a plus sign,
-spaced or bracketed addresses.
+The base patterns (email, ip, card, phone) always count. Beside them, every span that could be an
+entity is a candidate segment: runs of up to ``MAX_PARTS`` digit groups with at most 19 digits (the
+longest of any kind), and, round ``@`` and the written forms of it, names with up to ``MAX_PARTS``
+domain labels. Features describe the whole span and its edges (how many digits, Luhn, four parts up
+to 255, group sizes, separators, whether more of the same kind follows or stands before, what
+touches it, the cue word before it), so dynamic programming over segments chooses boundaries and
+kinds together. Segments that meet a base span are no candidates. What the field adds are addresses
+written as "name (at) host dot com", numbers without a plus sign, spaced or bracketed addresses.
 
 There are no labelled spans, so the field is trained by maximum likelihood on texts made from
 the corpus: words of a bounded sample of documents (``sample`` rows in hash order) with generated
 personal data, and generated numbers that are none, put between them.
 
+Memory is bounded in very long texts of numbers: candidates are scored a block at a time, and as
+staying outside scores 0, only those above 0 are kept for decoding.
+
 Defined cases: a null text is an empty one and has no spans; positions are code points; repeated
 rows are scored one by one; a corpus without words trains on the generated data alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 
@@ -30,18 +36,21 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 26
+MAX_PARTS, MAX_DIGITS, BLOCK = 10, 19, 2048
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
-_NUMERIC = re.compile(r"[+(\[]{0,2}[0-9](?:[ ().\[\]/-]{0,3}[0-9]){3,60}")
-_WRITTEN = re.compile(
-    r"(?:@|\( ?at ?\)|\[ ?at ?\]|\{ ?at ?\}|\bat\b(?= [\w-]{1,40} ?(?:dot|\(dot\)|\[dot\])))", re.IGNORECASE
-)
+_GROUPS = re.compile(r"[0-9](?:[ ().\[\]/-]{0,3}[0-9]){3,}")  # four digits or more, joined
+_GROUP = re.compile(r"[0-9]+")
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at (?=[A-Za-z0-9-]+ ?(?:dot\b|[(\[{] ?dot))| ?@ ?", re.IGNORECASE)
+_NEXT = re.compile(rf"(?: ?[(\[{{] ?(?:dot|\.) ?[)\]}}] ?| dot |\.)({_LABEL})", re.IGNORECASE)
+_FIRST = re.compile(_LABEL)
+_MORE_BEFORE = re.compile(r"[0-9][ ().\[\]/-]{0,3}[+(]?$")
+_MORE_AFTER = re.compile(r"[ ().\[\]/-]{0,3}[0-9]")
 _CUES = {
     "email": ("mail", "email", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "from"),
@@ -91,132 +100,193 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-FEATURES = (
-    "bias", "tokens", "digits_4_7", "digits_8_9", "digits_10_12", "digits_13_15", "digits_16_19", "digits_more",
-    "luhn_long", "four_parts", "parts_fit", "three_seps", "at_sign", "at_word", "dot_word", "dots_after_at",
-    "letters", "letters_and_at", "plus", "bracketed", "touches", "sep_inside", "mixed_seps", "slash", "cue",
-    "ends_tld", "edge_sep", "space_run", "one_run", "grouped", "comma_or_other",
+NUMERIC = (
+    "digits_4_6", "digits_7", "digits_8_9", "digits_10", "digits_11_12", "digits_13_15", "digits_16", "digits_17_19",
+    "luhn", "no_luhn_16", "four_parts", "parts_fit", "one_group", "fours", "three_three_four", "last_four", "last_three",
+    "first_one", "short_group", "long_group", "many_groups", "plus", "bracket", "zero", "double_zero", "sep_space", "sep_dash", "sep_dot",
+    "sep_boxed", "sep_slash", "sep_mixed", "date", "more_before", "more_after", "touches_before", "touches_after", "sign_before",
+    "brackets_open", "decimal_after", "fit_dots", "fours_luhn", "wide_sep",
+)
+WRITTEN = (
+    "at_sign", "at_boxed", "at_word", "at_spaced", "one_dot", "two_dots", "dots_more", "dot_word", "dot_boxed", "dot_plain",
+    "dot_mixed", "known_end", "end_letters", "end_long", "continues", "part_of_name", "name_short", "name_letters", "touches_after",
 )
+FEATURES = ("bias", "cue", *NUMERIC, *(f"written_{x}" for x in WRITTEN))
+_ENDS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "co"))
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}([-./ ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./ ])[0-9]{1,2}\2(?:1[89]|20)[0-9]{2}|(?:1[89]|20)[0-9]{2} ?- ?(?:1[89]|20)[0-9]{2}")
 _WORD = re.compile(r"[^\W\d_]+")
-_AT = re.compile(r"@|[(\[{] ?at ?[)\]}]|\bat\b", re.IGNORECASE)
-_DOT = re.compile(r"[(\[{] ?dot ?[)\]}]|\bdot\b", re.IGNORECASE)
-_GROUPED = re.compile(r"(?:[+(]*[0-9]{1,4}[)]?[ .-]+)+[0-9]{3,4}")
+_CUE = 1
+_AS_NUMBER = np.array([k != "email" for k in KINDS])
+
 
+def _cues(before: str) -> list[bool]:
+    words = _WORD.findall(before.lower())[-2:]
+    return [any(w in _CUES[k] for w in words) for k in KINDS]
 
-def span_features(s: str, before: str, after: str) -> np.ndarray:
-    """Features of a whole candidate span and what stands round it."""
-    digits = re.sub(r"[^0-9]", "", s)
-    n, letters = len(digits), _WORD.findall(s)
-    parts = re.findall(r"[0-9]+", s)
-    seps = [x for x in re.split(r"[0-9]+", s)[1:-1]]
+
+def numeric_features(s: str, before: str, after: str) -> list:
+    """Of a span of digit groups, and of what stands round it."""
+    groups = _GROUP.findall(s)
+    digits, sizes = "".join(groups), [len(g) for g in groups]
+    n, m = len(digits), len(groups)
+    seps = _GROUP.split(s)[1:-1]
     signs = {x.strip() for x in seps}
-    at, dots = _AT.search(s), _DOT.findall(s)
-    tail = s[at.end() :] if at else ""
-    fits = len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not letters
-    v = [
-        1, min(len(s), 40) / 20, 4 <= n <= 7, 8 <= n <= 9, 10 <= n <= 12, 13 <= n <= 15, 16 <= n <= 19, n > 19,
-        13 <= n <= 19 and luhn(digits), len(parts) == 4 and not letters, fits,
-        fits and len(signs) == 1 and "." in next(iter(signs)), "@" in s, bool(at) and "@" not in s, bool(dots),
-        bool(tail) and (bool(dots) or "." in tail), bool(letters), bool(letters) and bool(at), s[0] == "+",
-        "(" in s, (before[-1:].isalnum() and s[0].isalnum()) or (after[:1].isalnum() and s[-1].isalnum()),
-        bool(seps) and not letters, len(signs) > 1, "/" in s, False,
-        bool(at) and bool(letters) and s.endswith(letters[-1]) and 2 <= len(letters[-1]) <= 6,
-        not s[-1].isalnum() or not (s[0].isalnum() or s[0] in "+(["), bool(re.search(r"\s\s|\n", s)),
-        len(parts) == 1 and not letters, bool(_GROUPED.fullmatch(s)), bool(re.search(r"[^\w\s@.+()\[\]{}-]", s)),
+    one = len(set(seps)) == 1
+    sign = seps[0] if one else ""
+    luhn_ok = n >= 13 and luhn(digits)
+    fits = m == 4 and all(k <= 3 and int(g) <= 255 for k, g in zip(sizes, groups, strict=True))
+    fours = n == 16 and sizes == [4, 4, 4, 4]
+    return [
+        n <= 6, n == 7, 8 <= n <= 9, n == 10, 11 <= n <= 12, 13 <= n <= 15, n == 16, n >= 17,
+        luhn_ok, n == 16 and not luhn_ok, m == 4, fits, m == 1, fours, sizes[-3:] == [3, 3, 4], m > 1 and sizes[-1] == 4, m > 1 and sizes[-1] == 3,
+        m > 1 and groups[0] == "1", m > 1 and min(sizes[1:]) < 3, m > 1 and max(sizes) > 4, m > 5, s[0] == "+", "(" in s and ")" in s, digits[0] == "0", digits[:2] == "00",
+        one and not sign.strip(), one and sign.strip() == "-", one and sign.strip() == ".",
+        one and sign.strip() in ("[.]", "(.)"), any("/" in x for x in signs), len(signs) > 1, bool(_DATE.fullmatch(s)),
+        bool(_MORE_BEFORE.search(before)), bool(_MORE_AFTER.match(after)), before[-1:].isalnum() or before[-1:] == "_", after[:1].isalnum() or after[:1] == "_",
+        before[-1:] in ("+", "#", "$", "-", ":", "/", "("), s.count("(") != s.count(")"), bool(re.match(r"[.,][0-9]", after)),
+        fits and (sign.strip() in (".", "[.]", "(.)")), fours and luhn_ok, any(len(x.strip()) < len(x) and x.strip() for x in seps),
     ]
-    return np.array(v, float)
 
 
-_CUE = FEATURES.index("cue")
-_LENIENT = re.compile(r"[0-9]{4}|[0-9][^\w]{0,3}[0-9]|@|at\b", re.IGNORECASE)
+def written_features(at: str, dots: list[str], labels: list[str], name: str, before: str, after: str) -> list:
+    """Of a name, a form of ``@`` and dotted labels, and of what stands round them."""
+    kinds = {"plain" if d == "." else "boxed" if d.strip()[0] in "([{" else "word" for d in dots}
+    sign = at.strip()
+    return [
+        at == "@", sign[0] in "([{", sign.lower() == "at", at != sign, len(dots) == 1, len(dots) == 2, len(dots) > 2,
+        "word" in kinds, "boxed" in kinds, "plain" in kinds, len(kinds) > 1, labels[-1].lower() in _ENDS,
+        labels[-1].isalpha() and 2 <= len(labels[-1]) <= 6, len(labels[-1]) > 6, bool(_NEXT.match(after)),
+        before[-1:] in _LOCAL and bool(before), len(name) < 2, name.isalpha(), after[:1].isalnum() or after[:1] == "-",
+    ]
+
+
+def candidates(text: str):
+    """(start, end, is a number, features, cues) of every candidate segment, by pattern and start."""
+    if _DIGIT.search(text):
+        for run in _GROUPS.finditer(text):
+            groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, *run.span())]
+            for i, (a, _) in enumerate(groups):
+                starts, n = [a], 0
+                while starts[-1] and text[starts[-1] - 1] in "+(" and len(starts) < 3:
+                    starts.append(starts[-1] - 1)
+                before = [text[max(0, x - 24) : x] for x in starts]
+                cues = [_cues(b) for b in before]
+                for k, (x, y) in enumerate(groups[i : i + MAX_PARTS], 1):
+                    n += y - x
+                    if n > MAX_DIGITS:
+                        break
+                    if n >= 7 or k == 4:  # no kind has fewer digits, but for four short parts
+                        after = text[y : y + 24]
+                        for start, b, c in zip(starts, before, cues, strict=True):
+                            yield start, y, True, numeric_features(text[start:y], b, after), c
+    if "@" in text or "at" in text.lower():
+        low = 0
+        for m in _AT.finditer(text):
+            first = _FIRST.match(text, m.end())
+            start = m.start()
+            while start > low and text[start - 1] in _LOCAL:
+                start -= 1
+            low = m.end()
+            if not first or start == m.start():
+                continue
+            starts = [start, *[k + 1 for k in range(start, m.start() - 1) if text[k] in "._%+-"][-MAX_PARTS:]]
+            labels, dots, end = [first[0]], [], first.end()
+            while len(labels) < MAX_PARTS and (more := _NEXT.match(text, end)):
+                labels.append(more[1])
+                dots.append(text[end : more.start(1)])
+                end = more.end()
+                after = text[end : end + 80]
+                for x in starts:
+                    before = text[max(0, x - 24) : x]
+                    yield x, end, False, written_features(m[0], dots, labels, text[x : m.start()], before, after), _cues(before)
 
 
 class Lattice:
-    """Tokens of a region and its candidate segments with their features."""
+    """The candidate segments of a text and their features."""
 
-    def __init__(self, window: str):
-        spans = [m.span() for m in _TOKEN.finditer(window)]
-        self.starts = [a for a, _ in spans] + [len(window)]
-        self.n = len(spans)
-        rows: list[np.ndarray] = []
+    def __init__(self, found):
         self.segments: list[tuple[int, int]] = []
-        cue_rows: list[str] = []
-        first = [window[a] for a, _ in spans]
-        for i in range(self.n):
-            if not (first[i].isalnum() or first[i] in "+(["):
-                continue
-            before = window[max(0, self.starts[i] - 24) : self.starts[i]]
-            words = _WORD.findall(before.lower())
-            for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1):
-                last = window[self.starts[j] - 1]
-                if not (last.isalnum() or last in "])"):
-                    continue
-                s = window[self.starts[i] : self.starts[j]]
-                if len(s) > 64:
-                    break
-                if len(s) < 7 or not _LENIENT.search(s):
-                    continue
-                rows.append(span_features(s, before, window[self.starts[j] : self.starts[j] + 1]))
-                cue_rows.append(" ".join(words[-2:]))
-                self.segments.append((i, j))
-        self.x = np.array(rows).reshape(len(rows), len(FEATURES))
-        self.cues = np.array(
-            [[any(w in _CUES[k] for w in c.split()) for k in KINDS] for c in cue_rows], float
-        ).reshape(len(rows), len(KINDS))
+        rows, cues, numbers = [], [], []
+        none_n, none_w = [0] * len(NUMERIC), [0] * len(WRITTEN)
+        for a, b, number, features, cue in found:
+            self.segments.append((a, b))
+            rows.append([1, 0, *features, *none_w] if number else [1, 0, *none_n, *features])
+            cues.append(cue)
+            numbers.append(number)
+        self.x = np.array(rows, float).reshape(len(rows), len(FEATURES))
+        self.cues = np.array(cues, float).reshape(len(rows), len(KINDS))
+        self.barred = np.array(numbers, bool)[:, None] != _AS_NUMBER[None, :]  # numbers are no emails, and the reverse
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        """Of each segment as each kind; staying outside scores 0 a token."""
-        return self.x @ w.T + self.cues * w[:, _CUE]
-
-    def _ending(self, by: int) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in range(self.n + 1)]
-        for k, s in enumerate(self.segments):
-            out[s[by]].append(k)
-        return out
-
-    def decode(self, w: np.ndarray) -> list[tuple[int, int, str, float]]:
-        """The best segmentation's entities: start and end in characters, kind, score."""
-        if not self.segments:
-            return []
-        sc = self.scores(w)
-        kind, top = sc.argmax(1), sc.max(1)
-        best, back, ends = [0.0] * (self.n + 1), [-1] * (self.n + 1), self._ending(1)
-        for j in range(1, self.n + 1):
-            best[j] = best[j - 1]
-            for k in ends[j]:
-                v = best[self.segments[k][0]] + top[k]
-                if v > best[j]:
-                    best[j], back[j] = v, k
-        out, j = [], self.n
-        while j:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i = self.segments[back[j]][0]
-                out.append((self.starts[i], self.starts[j], KINDS[kind[back[j]]], float(top[back[j]])))
-                j = i
-        return out[::-1]
+        """Of each segment as each kind; staying outside scores 0."""
+        s = self.x @ w.T + self.cues * w[:, _CUE]
+        s[self.barred] = -1e9
+        return s
 
     def gradient(self, w: np.ndarray, gold: set[tuple[int, int, int]]) -> np.ndarray:
-        """Of the log-likelihood of ``gold``, a set of (segment start, end, kind)."""
+        """Of the log-likelihood of ``gold``, a set of (start, end, kind), by forward and backward sums."""
         if not self.segments:
             return np.zeros_like(w)
         sc = self.scores(w)
         total = np.logaddexp.reduce(sc, 1)
-        ends, starts = self._ending(1), self._ending(0)
-        fwd, bwd = np.zeros(self.n + 1), np.zeros(self.n + 1)
-        for j in range(1, self.n + 1):
-            fwd[j] = np.logaddexp.reduce([fwd[j - 1], *(fwd[self.segments[k][0]] + total[k] for k in ends[j])])
-        for i in range(self.n - 1, -1, -1):
-            bwd[i] = np.logaddexp.reduce([bwd[i + 1], *(bwd[self.segments[k][1]] + total[k] for k in starts[i])])
-        seg = np.array(self.segments)
+        nodes = sorted({p for s in self.segments for p in s})
+        at = {p: i for i, p in enumerate(nodes)}
+        seg = np.array([(at[a], at[b]) for a, b in self.segments])
+        ends: list[list[int]] = [[] for _ in nodes]
+        starts: list[list[int]] = [[] for _ in nodes]
+        for k, (i, j) in enumerate(seg.tolist()):
+            ends[j].append(k)
+            starts[i].append(k)
+        fwd, bwd = np.zeros(len(nodes)), np.zeros(len(nodes))
+        for j in range(1, len(nodes)):
+            fwd[j] = np.logaddexp.reduce([fwd[j - 1], *(fwd[seg[k, 0]] + total[k] for k in ends[j])])
+        for i in range(len(nodes) - 2, -1, -1):
+            bwd[i] = np.logaddexp.reduce([bwd[i + 1], *(bwd[seg[k, 1]] + total[k] for k in starts[i])])
         p = np.exp(np.minimum(0, fwd[seg[:, 0]][:, None] + sc + bwd[seg[:, 1]][:, None] - fwd[-1]))
-        y = np.array([[(i, j, t) in gold for t in range(len(KINDS))] for i, j in self.segments], float)
+        y = np.array([[(a, b, t) in gold for t in range(len(KINDS))] for a, b in self.segments], float)
         g = (y - p).T @ self.x
         g[:, _CUE] += ((y - p) * self.cues).sum(0)
         return g
 
 
+def decode(segments: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The best set of (start, end, kind, score) segments that do not meet; scores are positive."""
+    segments = sorted(segments, key=lambda s: (s[1], s[0]))
+    ends = [s[1] for s in segments]
+    best, take = [0.0], []
+    for a, _, _, score in segments:
+        k = bisect.bisect_right(ends, a, 0, len(take))  # segments that end by its start
+        take.append(k if best[k] + score > best[-1] else -1)
+        best.append(max(best[-1], best[k] + score))
+    out, i = [], len(segments)
+    while i:
+        if take[i - 1] < 0:
+            i -= 1
+        else:
+            out.append(segments[i - 1])
+            i = take[i - 1]
+    return out[::-1]
+
+
+def field_spans(text: str, taken: list[tuple[int, int]], w: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """What the field finds beside the ``taken`` spans, which are sorted."""
+    taken_ends = list(itertools.accumulate((b for _, b in taken), max))
+    starts = [a for a, _ in taken]
+
+    def free(c):
+        k = bisect.bisect_left(starts, c[1])  # spans that begin before its end
+        return not k or taken_ends[k - 1] <= c[0]
+
+    kept: list[tuple[int, int, int, float]] = []
+    found = filter(free, candidates(text))
+    while block := list(itertools.islice(found, BLOCK)):
+        lattice = Lattice(block)
+        sc = lattice.scores(w)
+        kind, top = sc.argmax(1), sc.max(1)
+        kept += [(*lattice.segments[k], int(kind[k]), float(top[k])) for k in np.flatnonzero(top > 0)]
+    return decode(kept)
+
+
 def _personal(rng: random.Random, words: list[str]) -> tuple[str, str]:
     """A generated piece of personal data: (kind, text)."""
     kind = rng.choice(KINDS)
@@ -291,60 +361,33 @@ def _made_texts(words: list[str], n: int, seed: int):
         yield window, gold
 
 
-def train(words: list[str], n: int = 1200, epochs: int = 12, rate: float = 0.15, l2: float = 1e-3, seed: int = 7) -> np.ndarray:
+def train(words: list[str], n: int = 1500, epochs: int = 40, rate: float = 0.3, l2: float = 1e-3, seed: int = 7) -> np.ndarray:
     """Weights (kinds x features) by stochastic maximum likelihood with Adagrad steps."""
     data = []
-    for window, gold in _made_texts(words, n, seed):
-        lat = Lattice(window)
-        at = {c: i for i, c in enumerate(lat.starts)}
-        data.append((lat, {(at[a], at[b], t) for a, b, t in gold if a in at and b in at}))
+    for text, gold in _made_texts(words, n, seed):
+        lattice = Lattice(candidates(text))
+        if lattice.segments:
+            data.append((lattice, set(gold)))
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2.0
     seen = np.full(w.shape, 1e-2)
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)
-        for k in range(0, len(data), 16):
-            g = sum((lat.gradient(w, gold) for lat, gold in data[k : k + 16]), np.zeros_like(w)) / 16 - l2 * w
+        for k in range(0, len(data), 32):
+            g = sum((lattice.gradient(w, gold) for lattice, gold in data[k : k + 32]), np.zeros_like(w)) / 32 - l2 * w
             seen += g * g
             w += rate * g / np.sqrt(seen)
     return w
 
 
-def regions(text: str):
-    """Windows round everything that might be personal data, merged where they meet."""
-    last = None
-    # each pattern needs a character or word that most texts lack: nothing that matches is passed over
-    numeric = _NUMERIC.finditer(text) if _DIGIT.search(text) else ()
-    written = _WRITTEN.finditer(text) if any(c in text for c in "@([{") or "dot" in text.lower() else ()
-    found = sorted(
-        [(m.start(), m.end()) for m in numeric] + [(max(0, m.start() - 40), m.end() + 60) for m in written]
-    )
-    for a, b in found:
-        a, b = max(0, a - 24), min(len(text), b + 8)
-        while a and text[a - 1].isalnum() and text[a].isalnum() and a > 0 and found:
-            a -= 1
-        if last and a <= last[1]:
-            last = (last[0], max(last[1], b))
-            continue
-        if last:
-            yield last
-        last = (a, b)
-    if last:
-        yield last
-
-
-def find(text: str | None, w: np.ndarray, margin: float = 1.0) -> tuple[dict, list[tuple[str, int, int]]]:
+def find(text: str | None, w: np.ndarray, margin: float = 0.5) -> tuple[dict, list[tuple[str, int, int]]]:
     """Base spans by kind, and all spans (base first; added ones overlap no other)."""
     text = text or ""
     base = base_spans(text)
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
     taken = sorted((a, b) for _, a, b in spans)
-    for lo, hi in regions(text):
-        for a, b, kind, score in Lattice(text[lo:hi]).decode(w):
-            a, b = a + lo, b + lo
-            if score >= margin and not any(x < b and a < y for x, y in taken):
-                spans.append((kind, a, b))
+    spans += [(KINDS[k], a, b) for a, b, k, score in field_spans(text, taken, w) if score >= margin]
     return base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
