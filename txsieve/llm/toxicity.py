@@ -75,71 +75,88 @@ def subwords(vocabulary: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     return ids, np.searchsorted(owner[order], np.arange(len(vocabulary)))
 
 
-class Bags:
-    """Texts as sparse rows over the subword buckets that enough texts share."""
-
-    def __init__(self, bags: list[dict[str, int]], buckets: int, least_texts: int):
-        at: dict[str, int] = {}
-        text, word, count = [], [], []
-        for i, bag in enumerate(bags):
-            for w, n in bag.items():
-                text.append(i)
-                word.append(at.setdefault(w, len(at)))
-                count.append(n)
-        text, word, count = np.array(text, np.int64), np.array(word, np.int64), np.array(count, float)
-        self.n, self.words = len(bags), np.bincount(text, count, len(bags))
-        ids, start = subwords(list(at), buckets)
-        per = np.diff(np.r_[start, len(ids)])
-        share = count / self.words[text] / per[word]
-        keys, values = [], []
-        for lo in range(0, len(bags), 200):  # a few texts at a time, for bounded memory
-            a, b = np.searchsorted(text, (lo, lo + 200))
-            reps = per[word[a:b]]
-            if not reps.sum():
-                continue
-            flat = np.repeat(start[word[a:b]] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-            key, back = np.unique(np.repeat(text[a:b], reps) * buckets + ids[flat], return_inverse=True)
-            keys.append(key)
-            values.append(np.bincount(back, np.repeat(share[a:b], reps)))
-        key, x = np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)])
-        seen = np.bincount(key % buckets, minlength=buckets)
-        kept = seen[key % buckets] >= least_texts
-        self.used, self.col = np.unique(key[kept] % buckets, return_inverse=True)
-        self.row, self.x = key[kept] // buckets, x[kept]
-
-
 class Sparse:
-    """A texts x buckets matrix in both orders, for products from either side."""
+    """A texts x buckets matrix in both orders, for products from either side; rows come in order."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, x: np.ndarray, n_rows: int, n_cols: int):
         self.row, self.col, self.x, self.shape = row, col, x, (n_rows, n_cols)
-        self.filled, self.first = np.unique(row, return_index=True)  # rows come in order
-        order = np.argsort(col, kind="stable")
+        self.filled, self.first = np.unique(row, return_index=True)
+        order = np.argsort(col, kind="stable").astype(np.int32)
         self.row_c, self.x_c = row[order], x[order]
         self.filled_c, self.first_c = np.unique(col[order], return_index=True)
 
     def times(self, s: np.ndarray) -> np.ndarray:
         out = np.zeros(self.shape[0])
         if len(self.x):
-            out[self.filled] = np.add.reduceat(self.x * s[self.col], self.first)
+            out[self.filled] = np.add.reduceat(self.x * s.astype(np.float32)[self.col], self.first, dtype=np.float64)
         return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(self.shape[1])
         if len(self.x):
-            out[self.filled_c] = np.add.reduceat(self.x_c * g[self.row_c], self.first_c)
+            out[self.filled_c] = np.add.reduceat(self.x_c * g.astype(np.float32)[self.row_c], self.first_c, dtype=np.float64)
+        return out
+
+    def like(self, x: np.ndarray, x_c: np.ndarray) -> Sparse:
+        out = copy.copy(self)
+        out.x, out.x_c = x, x_c
         return out
 
+    def squared(self) -> Sparse:
+        return self.like(self.x**2, self.x_c**2)
+
+    def scaled(self, by: np.ndarray) -> Sparse:
+        """Columns times ``by``."""
+        by = by.astype(np.float32)
+        sizes = np.diff(np.r_[self.first_c, len(self.x_c)])
+        return self.like(self.x * by[self.col], self.x_c * np.repeat(by[self.filled_c], sizes))
+
     def only(self, kept: np.ndarray) -> Sparse:
         """The kept columns."""
         at = kept[self.col]
-        return Sparse(self.row[at], (np.cumsum(kept) - 1)[self.col[at]], self.x[at], self.shape[0], int(kept.sum()))
-
-
-def _squared(m: Sparse) -> Sparse:
-    out = copy.copy(m)
-    out.x, out.x_c = m.x**2, m.x_c**2
-    return out
+        return Sparse(self.row[at], (np.cumsum(kept) - 1).astype(np.int32)[self.col[at]], self.x[at], self.shape[0], int(kept.sum()))
+
+
+def subword_matrix(bags: list[dict[str, int]], buckets: int, least_texts: int) -> tuple[Sparse, np.ndarray, np.ndarray]:
+    """Texts x buckets that ``least_texts`` texts share; these buckets; the number of words of each text.
+
+    Two passes over a few texts at a time, so that what the rare subwords take is never held.
+    """
+    at: dict[str, int] = {}
+    text, word, count = [], [], []
+    for i, bag in enumerate(bags):
+        for w, n in bag.items():
+            text.append(i)
+            word.append(at.setdefault(w, len(at)))
+            count.append(n)
+    text, word, count = np.array(text, np.int32), np.array(word, np.int32), np.array(count, np.float32)
+    words_of = np.bincount(text, count, len(bags))
+    ids, start = subwords(list(at), buckets)
+    ids, per = ids.astype(np.int32), np.diff(np.r_[start, len(ids)])
+    share = count / words_of[text] / per[word]
+
+    def parts():
+        for lo in range(0, len(bags), 100):
+            a, b = np.searchsorted(text, (lo, lo + 100))
+            reps = per[word[a:b]]
+            if reps.sum():
+                flat = np.repeat(start[word[a:b]] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+                key, back = np.unique(np.repeat(text[a:b].astype(np.int64), reps) * buckets + ids[flat], return_inverse=True)
+                yield key, back, np.repeat(share[a:b], reps)
+
+    seen = np.zeros(buckets, np.int64)
+    for key, *_ in parts():
+        seen += np.bincount(key % buckets, minlength=buckets)
+    used = np.flatnonzero(seen >= least_texts)
+    place = np.full(buckets, -1, np.int32)
+    place[used] = np.arange(len(used))
+    rows, cols, xs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for key, back, value in parts():
+        col, x = place[key % buckets], np.bincount(back, value)
+        rows.append((key // buckets)[col >= 0].astype(np.int32))
+        cols.append(col[col >= 0])
+        xs.append(x[col >= 0].astype(np.float32))
+    return Sparse(np.concatenate(rows), np.concatenate(cols), np.concatenate(xs), len(bags), len(used)), used, words_of
 
 
 @dataclass
@@ -164,8 +181,7 @@ class SubwordSoftmax:
         if not 0 < self.constant < 1 or not any(bags):
             return self
         self.constant = None
-        data = Bags(bags, self.buckets, min(self.least_texts, max(1, len(bags) // 50)))
-        raw = Sparse(data.row, data.col, data.x, data.n, len(data.used))
+        raw, used, n_words = subword_matrix(bags, self.buckets, min(self.least_texts, max(1, len(bags) // 50)))
         fold = np.arange(len(labels)) % self.folds
         margin, ok = np.zeros(len(labels)), True
         for f in range(self.folds):
@@ -174,9 +190,9 @@ class SubwordSoftmax:
             if ok:
                 margin[~rest] = raw.times(self._descend(raw, labels, rest))[~rest]
         table = self._descend(raw, labels, np.ones(len(labels), bool))
-        self._calibrate(margin if ok else raw.times(table), data.words, labels)
+        self._calibrate(margin if ok else raw.times(table), n_words, labels)
         self.per_bucket = np.zeros(self.buckets)
-        self.per_bucket[data.used] = table
+        self.per_bucket[used] = table
         return self
 
     def _descend(self, raw: Sparse, labels: np.ndarray, learn: np.ndarray) -> np.ndarray:
@@ -188,9 +204,9 @@ class SubwordSoftmax:
         y = labels
         weight = np.where(y == 1, 0.5 / max(1, (y * learn).sum()), 0.5 / max(1, ((1 - y) * learn).sum())) * learn
         total = raw.back(weight)
-        square = _squared(raw).back(weight)
+        square = raw.squared().back(weight)
         spread = np.sqrt(np.maximum(square - total**2, 1e-16))
-        data = Sparse(raw.row, raw.col, raw.x / spread[raw.col], *raw.shape)
+        data = raw.scaled(1 / spread)
         rng = np.random.default_rng(self.seed)
         v = rng.normal(size=data.shape[1])
         for _ in range(8):  # the curvature, by power iteration
@@ -270,7 +286,7 @@ def training_bags(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1600, **settings) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1000, **settings) -> SubwordSoftmax:
     """Fit on at most per_class labelled texts of each class."""
     prepare(docs.sparkSession)
     model = SubwordSoftmax(**settings)
@@ -281,7 +297,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1
         .limit(2 * per_class)
         .collect()
     )
-    return model.fit([dict(zip(r.words, r.counts, strict=True)) for r in rows], np.array([r.label for r in rows], float))
+    y = np.array([r.label for r in rows], float)
+    bags = [dict(zip(r.words, r.counts, strict=True)) for r in rows]
+    del rows
+    return model.fit(bags, y)
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> DataFrame:
