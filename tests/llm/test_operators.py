@@ -284,9 +284,33 @@ def jaccard(a, b):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
+def test_collisions_are_generalised_jaccard():
+    """Heavy and small weights, short and long texts: mean error and spread of the samples' share."""
+    r, errors = random.Random(4), {}
+    for kind in ("heavy", "light", "short", "mixed"):
+        for i in range(60):
+            words = [f"w{k}" for k in range({"heavy": 6, "light": 200, "short": 8, "mixed": 60}[kind])]
+            top = {"heavy": 200, "light": 1, "short": 2, "mixed": 40}[kind]
+            a = [w for w in words for _ in range(r.randrange(1, top + 1))]
+            b = [w for w in words if r.random() < 0.8 for _ in range(r.randrange(1, top + 1))] + [f"v{i}"] * r.randrange(1, top + 1)
+            x, y = fingerprint.signatures([" ".join(a), " ".join(b)])
+            errors.setdefault(kind, []).append(float((x == y).mean()) - jaccard(" ".join(a), " ".join(b)))
+    for kind, e in errors.items():
+        assert abs(np.mean(e)) < 0.02 and np.sqrt(np.mean(np.square(e))) < 0.06, (kind, np.mean(e), np.std(e))
+
+
+def test_batches_do_not_change_signatures(monkeypatch):
+    texts = [x or "" for x in ODD] + [prose(50, i) for i in range(30)] + ["a a a b", "b a a a"]
+    whole = fingerprint.signatures(texts)
+    monkeypatch.setattr(fingerprint, "PAIRS", 40)
+    for x, y in zip(whole, fingerprint.signatures(texts), strict=True):
+        assert (x is None and y is None) or (x == y).all()
+    assert (whole[-1] == whole[-2]).all() and whole[0] is None
+
+
 def test_fingerprints(spark):
     base = prose(400, 9)
-    texts = [*ODD, base, base, f"{prose(400, 10)}", " ".join([*base.split()[:300], *prose(100, 11).split()]), *[prose(300, i) for i in range(20, 60)]]
+    texts = [*ODD, base, base, f"{prose(400, 10)}", " ".join([*base.split()[:300], *prose(100, 11).split()]), *[prose(n, n) for n in range(3, 60)]]
     d = docs(spark, texts).withColumn("key", F.lit("clash"))
     got = rows(fingerprint.fingerprints(d))
     assert len(got) == len(texts)
@@ -297,15 +321,23 @@ def test_fingerprints(spark):
         edited = t[: n - n // 2] + nxt[: n // 2]
         r = got[i]
         assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if len(t.split()) > 200:
-            errors.append(r.near_edited - jaccard(t, edited))
-    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.08
+        if re.search(r"[^\W_]", t) and re.search(r"[^\W_]", edited):
+            errors += [r.near_edited - jaccard(t, edited)] + ([r.near_next - jaccard(t, nxt)] if re.search(r"[^\W_]", nxt) else [])
+    assert len(errors) > 100 and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.06
     assert got[7].fingerprint == got[8].fingerprint and got[8].near_next == 1.0
-    assert got[0].fingerprint == got[1].fingerprint == got[2].fingerprint
+    assert got[0].fingerprint == got[1].fingerprint == got[2].fingerprint and set(got[0].fingerprint) == {"."}
     assert fingerprint.fingerprints(docs(spark, [])).count() == 0
-    odd = fingerprint.fingerprints(docs(spark, ["a b", "c d", "c d", "e"], [None, 4, 4, 9])).collect()
-    assert len(odd) == 4
+    one = fingerprint.fingerprints(docs(spark, ["a b c d"])).collect()
+    assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()
+
+
+def test_fingerprints_of_rows_with_one_id_or_none(spark):
+    n = 300
+    d = docs(spark, [f"text number {i}" for i in range(n)], [None if i % 2 else 4 if i % 4 else i for i in range(n)])
+    out = fingerprint.fingerprints(d, samples=32).collect()
+    assert len(out) == n and sum(r.doc_id is None for r in out) == n // 2 and sum(r.doc_id == 4 for r in out) == len([i for i in range(n) if i % 4 == 2]) + 1
+    with pytest.raises(ValueError):
+        fingerprint.fingerprints(d, samples=30)
 
 
 # ---- 7 toxicity
