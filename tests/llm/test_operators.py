@@ -289,7 +289,7 @@ def test_collisions_are_generalised_jaccard():
     r, errors = random.Random(4), {}
     for kind in ("heavy", "light", "short", "mixed"):
         for i in range(60):
-            words = [f"w{k}" for k in range({"heavy": 6, "light": 200, "short": 8, "mixed": 60}[kind])]
+            words = [f"{kind}{i}x{k}" for k in range({"heavy": 6, "light": 200, "short": 8, "mixed": 60}[kind])]
             top = {"heavy": 200, "light": 1, "short": 2, "mixed": 40}[kind]
             a = [w for w in words for _ in range(r.randrange(1, top + 1))]
             b = [w for w in words if r.random() < 0.8 for _ in range(r.randrange(1, top + 1))] + [f"v{i}"] * r.randrange(1, top + 1)

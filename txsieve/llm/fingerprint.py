@@ -35,26 +35,32 @@ from pyspark.sql import functions as F
 from .common import checkpoint, prepare
 from .text import mix, word_hashes
 
-SAMPLES, SPREAD, PAIRS = 128, 64, 400_000
+SAMPLES, SPREAD, PAIRS = 128, 64, 1_000_000
 _NONE = -(1 << 63)
 
 
-def pair_codes(term: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
-    """Codes (pairs x samples, int64) of (term, weight) pairs: ln a above, a hash of (term, t) below."""
-    out = np.empty((len(term), samples), np.int64)
-    log_weight = np.log(weight.astype(np.float32))
-    part = lambda x, at: ((x >> np.uint64(at)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24) + np.float32(2**-25)
-    for j in range(samples):
-        h = mix(term ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+def pair_codes(term: np.ndarray, weight: np.ndarray, j: int, block: int = 8192) -> np.ndarray:
+    """The j-th codes (int64) of (term, weight) pairs: ln a above, a hash of (term, t) below."""
+    out = np.empty(len(term), np.int64)
+    scale, least, one = np.float32(2**-32 * (1 - 2**-23)), np.float32(2**-33), np.float32(1)
+    salt = np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+    def uniform(x, half):
+        return x.view(np.uint32)[half::2].astype(np.float32) * scale + least
+
+    for lo in range(0, len(term), block):  # small enough for the processor's cache
+        h = mix(term[lo : lo + block] ^ salt)
         g = mix(h + np.uint64(0xD1B54A32D192ED03))
-        r = -np.log(part(h, 0) * part(h, 24))
-        c = -np.log(part(g, 0) * part(g, 24))
-        b = part(mix(g), 20)
-        t = np.floor(log_weight / r + b)
-        rank = (np.log(c) - r * (t - b + np.float32(1))).view(np.int32)
-        rank = rank ^ ((rank >> 31) & np.int32(0x7FFFFFFF))  # floats in the order of integers
-        sign = mix(h ^ t.astype(np.int64).view(np.uint64)) >> np.uint64(32)
-        out[:, j] = (rank.astype(np.int64) << 32) | sign.view(np.int64)
+        e = mix(g + np.uint64(0x8CB92BA72F3D8DD7))
+        r = -np.log(uniform(h, 0) * uniform(h, 1))
+        c = -np.log(uniform(g, 0) * uniform(g, 1))
+        b = uniform(e, 1)
+        t = np.floor(weight[lo : lo + block] / r + b)
+        rank = (np.log(c) - r * (t - b + one)).view(np.int32)
+        rank ^= (rank >> 31) & np.int32(0x7FFFFFFF)  # floats in the order of integers
+        code = out[lo : lo + block]
+        np.left_shift(rank, 32, out=code, dtype=np.int64)
+        code |= e.view(np.uint32)[::2] ^ (t.astype(np.uint32) * np.uint32(0x9E3779B1))
     return out
 
 
@@ -70,16 +76,16 @@ def signatures(texts: list[str], samples: int = SAMPLES) -> list[np.ndarray | No
         sizes = np.array([len(t) for _, t, _ in group])
         term, weight = np.concatenate([t for _, t, _ in group]), np.concatenate([w for *_, w in group])
         _, first, back = np.unique(term ^ mix(weight.astype(np.uint64)), return_index=True, return_inverse=True)
-        codes = pair_codes(term[first], weight[first], samples)
-        starts = np.cumsum(sizes) - sizes
-        lo = 0
-        while lo < len(group):  # about 20,000 pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 20_000)))
-            end = starts[hi] if hi < len(group) else len(term)
-            least = np.minimum.reduceat(codes[back[starts[lo] : end]], starts[lo:hi] - starts[lo], 0)
-            for k in range(lo, hi):
-                out[group[k][0]] = least[k - lo].astype(np.uint16)
-            lo = hi
+        order = np.argsort(first)  # in the order of appearance: frequent pairs lie close to each other
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        first, back, starts = first[order], place[back], np.cumsum(sizes) - sizes
+        term, log_weight = term[first], np.log(weight[first].astype(np.float32))
+        signs = np.empty((len(group), samples), np.uint16)
+        for j in range(samples):
+            signs[:, j] = np.minimum.reduceat(pair_codes(term, log_weight, j)[back], starts).astype(np.uint16)
+        for (i, *_), s in zip(group, signs, strict=True):
+            out[i] = s
         group.clear()
 
     for i, text in enumerate(texts):
