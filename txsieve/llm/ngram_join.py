@@ -10,8 +10,10 @@ least 0.8. Rows with equal sets form a class, which is compared once.
    all pairs). Connected components of the stars bound the comparison: linked pairs that share a
    band lie in one component.
 3. Representatives of a component are dealt into cells by set size (classes of ratio 1 / 0.8, so
-   only equal and adjacent classes can link) and a hash into chunks of about ``chunk_rows``. Pairs
-   of chunks are the tasks: a large group is spread over many of them.
+   only equal and adjacent classes can link) and a hash into chunks of about ``chunk_rows`` (fewer
+   where sets are so large that a chunk would exceed ``CHUNK_SHINGLES``). Pairs of chunks are the
+   tasks: a large group is spread over many of them. How many chunks a cell has is counted and
+   joined on rows without sets, under ``SALTS`` salted keys, so no task meets a whole cell.
 4. In a task, pairs that share a band are compared by ``step`` MinHash values at a time. With m of n
    values equal, the similarity has the posterior Beta(m + 1, n - m + 1); the pair is dropped when
    P(similarity >= threshold) falls below ``tolerance``. What survives is verified exactly on the
@@ -19,8 +21,11 @@ least 0.8. Rows with equal sets form a class, which is compared once.
    links, never the pairs themselves.
 
 Result: one row per document with its class, group and number of links (other documents at or over
-the threshold, copies included). Work is quadratic in the number of *different* texts of one
-near-copy group, as any exact count of links is; rows and memory are not.
+the threshold, copies included). In one near-copy group of n *different* texts, comparisons are
+quadratic, as any exact count of links is: n * n / 2 pairs at most, of those that share a band. So are
+the rows sent to the tasks, with the chunk as divisor: each set goes to every chunk that its own one
+meets, n * n / ``chunk_rows`` rows in all (and up to three times that with the adjacent cells). A task
+holds two chunks at a time, and no task or row grows with n.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and form one class
 (similarity 1 among themselves, 0 to all others); rows with a null id are left out, since results
@@ -42,6 +47,7 @@ from .common import checkpoint, components, prepare
 from .text import mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 6
+CHUNK_ROWS, CHUNK_SHINGLES, SALTS = 1024, 1 << 21, 256
 FILTER_BITS = 25
 
 
@@ -176,15 +182,28 @@ def member_sets(docs: DataFrame, members: DataFrame, bands: int, rows: int) -> D
     return members.join(sets, ["rep", "d1", "d2"])
 
 
-def _intersections(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the given (i, j) pairs of sorted sets."""
-    out = np.zeros(len(pairs), np.int64)
-    for k, (i, j) in enumerate(pairs):
-        x, y = (a[i], b[j]) if len(a[i]) <= len(b[j]) else (b[j], a[i])
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out[k] = np.count_nonzero(y[at] == x)
-    return out
+class SharedCounts:
+    """Sizes of intersections of sets, by marking one set's elements and adding up the others' marks."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        self.first = np.cumsum(self.size) - self.size
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids, self.mark = ids.astype(np.int32), np.zeros(len(values), np.int32)
+
+    def of(self, pairs: np.ndarray) -> np.ndarray:
+        """For (i, j) rows in the order of i; sets are not empty."""
+        out = np.zeros(len(pairs), np.int64)
+        turn = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        for a, b in zip(turn, np.append(turn, len(pairs))[1:], strict=True):
+            i, js = pairs[a, 0], pairs[a:b, 1]
+            own = self.ids[self.first[i] : self.first[i] + self.size[i]]
+            self.mark[own] = 1
+            ends = np.cumsum(self.size[js])
+            starts = ends - self.size[js]
+            out[a:b] = np.add.reduceat(self.mark[self.ids[np.repeat(self.first[js] - starts, self.size[js]) + np.arange(ends[-1])]], starts)
+            self.mark[own] = 0
+        return out
 
 
 def compare_chunks(reps, side, sets, sigs, copies, bands, rows, threshold, looks):
@@ -196,7 +215,8 @@ def compare_chunks(reps, side, sets, sigs, copies, bands, rows, threshold, looks
     b = np.flatnonzero(side == 1)
     own = not len(b)
     b = a if own else b
-    sizes = np.array([len(s) for s in sets])
+    counts = SharedCounts(sets)
+    sizes = counts.size
     keys = np.stack([band_keys(s, bands, rows) for s in sigs])
     links, parent = np.zeros(len(reps), np.int64), np.arange(len(reps))
 
@@ -224,7 +244,7 @@ def compare_chunks(reps, side, sets, sigs, copies, bands, rows, threshold, looks
             keep = equal >= least
             pairs, equal, done = pairs[keep], equal[keep], n
         i, j = part[pairs[:, 0]], b[pairs[:, 1]]
-        shared = _intersections(sets, sets, np.stack([i, j], 1))
+        shared = counts.of(np.stack([i, j], 1))
         linked = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
         for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
             links[x] += copies[y]
@@ -242,7 +262,7 @@ def near_copies(
     rows: int = ROWS,
     step: int = 32,
     tolerance: float = 1e-6,
-    chunk_rows: int = 256,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """doc_id, copy_id (smallest id with the same shingles), group_id (smallest id reachable by
     links), n_links (other documents at or over the threshold)."""
@@ -264,20 +284,18 @@ def near_copies(
     stars = banded.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     comps = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / threshold)) + F.lit(1e-9)).cast("int")
-    members = checkpoint(keyed.drop("keys").join(comps, "rep").withColumn("cell", size_class))
-    cells = members.groupBy("comp", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("m"))
-    around = (
-        cells.alias("x")
-        .join(cells.select(F.col("comp").alias("c2"), (F.col("cell") - 1).alias("below"), F.col("m").alias("m_up")),
-              (F.col("x.comp") == F.col("c2")) & (F.col("x.cell") == F.col("below")), "left")
-        .join(cells.select(F.col("comp").alias("c3"), (F.col("cell") + 1).alias("above"), F.col("m").alias("m_down")),
-              (F.col("x.comp") == F.col("c3")) & (F.col("x.cell") == F.col("above")), "left")
-        .select(F.col("x.comp").alias("_comp"), F.col("x.cell").alias("_cell"), "m",
-                F.coalesce("m_up", F.lit(0)).alias("m_up"), F.coalesce("m_down", F.lit(0)).alias("m_down"))
-    )
-    dealt = member_sets(docs, members, bands, rows).join(
-        around, (F.col("comp") == F.col("_comp")) & (F.col("cell") == F.col("_cell"))
-    )
+    salt = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(SALTS)).cast("int")
+    members = checkpoint(keyed.drop("keys").join(comps, "rep").withColumn("cell", size_class).withColumn("salt", salt))
+    # a cell's number of chunks, from at most SALTS counts, goes back to its rows by salted keys
+    counted = members.groupBy("comp", "cell", "salt").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.pow(F.lit(1 / threshold), F.col("cell") + 1)
+    per_chunk = F.least(F.lit(chunk_rows), F.greatest(F.lit(16), F.floor(F.lit(CHUNK_SHINGLES) / largest)))
+    cells = counted.groupBy("comp", "cell").agg(F.sum("n").alias("n")).select("comp", "cell", F.ceil(F.col("n") / per_chunk).cast("int").alias("m"))
+    beside = lambda d, name: cells.select("comp", (F.col("cell") - d).alias("cell"), F.col("m").alias(name))
+    around = cells.join(beside(1, "m_up"), ["comp", "cell"], "left").join(beside(-1, "m_down"), ["comp", "cell"], "left").na.fill(0, ["m_up", "m_down"])
+    shares = counted.drop("n").join(around, ["comp", "cell"])
+    placed = members.join(shares, ["comp", "cell", "salt"]).drop("salt")
+    dealt = member_sets(docs, placed, bands, rows)
     sub = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("m")).cast("int")
 
     def task(cell_a, sub_a, cell_b, sub_b, side):
