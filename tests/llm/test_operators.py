@@ -564,11 +564,28 @@ def test_top_k_against_brute_force(spark):
     assert topk_search.search(topk_search.integer_vectors(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_pivots_spare_work():
+def grouped_vectors():
     r = np.random.default_rng(4)
     centres = r.normal(size=(20, 8)) * 400
     c = (centres[r.integers(0, 20, 3000)] + r.normal(size=(3000, 8)) * 5).astype(np.int64)
-    c = np.round(c / np.linalg.norm(c, axis=1, keepdims=True) * 1000).astype(np.int64)
-    ids = np.arange(3000)
-    *_, evaluated = topk_search.block_top_k(ids[:20], c[:20], ids, c, ids[:48], c[:48])
-    assert evaluated < 20 * 3000 / 2
+    return np.round(c / np.linalg.norm(c, axis=1, keepdims=True) * 1000).astype(np.int64)
+
+
+def test_pivots_spare_work():
+    c = grouped_vectors()
+    p, ids = topk_search.far_apart(c, 48), np.arange(3000)
+    d = topk_search._distances(c, p)
+    *_, evaluated = topk_search.block_top_k(ids[:20], c[:20], d[:20], ids, c, d, np.full(20, -np.inf))
+    assert evaluated < 20 * 3000 / 3
+
+
+def test_search_drops_far_blocks(spark):
+    c = grouped_vectors()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(c.tolist())], "vec_id long, vec array<long>")
+    tally = spark.sparkContext.accumulator(0)
+    got = topk_search.search(df, F.col("vec_id") % 50 == 0, row_block=100, query_block=16, tally=tally).collect()
+    s = c @ c.T
+    for q in range(0, 3000, 50):
+        want = sorted((-s[q, i], i) for i in range(3000) if i != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -x) for k, (x, i) in enumerate(want)]
+    assert 0 < tally.value < 60 * 3000 / 3
