@@ -165,16 +165,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(key.alias("key"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     links = checkpoint(ring(rows.select("key", "row", F.char_length("text").alias("n"), F.xxhash64("text").alias("hash"))))
-    salt = F.when(F.col("key") == _NONE, F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("long")
+    salt = F.coalesce(F.when(F.col("key") == _NONE, F.pmod(F.xxhash64("row"), F.lit(SPREAD))), F.lit(0)).cast("long")
     spread = F.explode(F.when(F.col("of") == _NONE, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>"))
     stands = links.withColumn("salt", salt)
     dealt = rows.withColumn("salt", salt).repartition("key", "salt")  # once; both branches below read it
     # what each key's stand-in gives to the key before it: the head of its text
     heads = (
-        dealt.join(stands.hint("shuffle_hash"), ["key", "salt", "row"])
+        dealt.join(stands.withColumnRenamed("row", "stand").hint("shuffle_hash"), ["key", "salt"])
+        .where("row - stand = 0")  # not a join key: the branches then share one exchange
         .select(F.col("of").alias("key"), F.expr("substring(text, 1, need div 2)").alias("head"), spread.alias("salt"))
     )
-    done = checkpoint(marked(dealt.join(heads, ["key", "salt"]), samples))
+    done = checkpoint(marked(dealt.join(heads.hint("merge"), ["key", "salt"]), samples))
     given = done.join(stands.hint("shuffle_hash"), ["key", "salt", "row"]).select(F.col("of").alias("key"), F.col("fp").alias("next_fp"), spread.alias("salt"))
     return done.join(given, ["key", "salt"]).select(
         F.when(F.col("key") != _NONE, F.col("key")).alias("doc_id"),
