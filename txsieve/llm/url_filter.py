@@ -3,7 +3,12 @@
 The rules' verdicts are the labels: URLs that a rule blocks or allows train the trees on lexical
 features (lengths, depth, digit ratio, entropy, parameters) and on statistics of host suffixes. Those
 count, over all URLs, how many end in a suffix and which part of the decided ones is blocked. A
-bounded sample (``per_class`` of each verdict, in hash order) trains on the driver.
+bounded sample (``per_class`` of each verdict, in hash order) trains on the driver. The verdicts of a
+URL's own host are left out of its statistics, in training and scoring alike, so that a column means the
+same for hosts that rules decide and for those that they do not.
+
+Rules are a list, which becomes one expression of the plan, or a table (host, path, verdict), which is
+joined by the suffixes of the hosts and may be of any size.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is judged
 by the trees like any other; repeated rows are judged one by one; if the rules decide nothing, or all
@@ -30,10 +35,9 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "labels",
-    "hyphens", "host_digits", "fragment", "upper_ratio", "last_extension", "odd_ratio", "longest_part",
+    "hyphens", "host_digits", "fragment", "upper_ratio", "last_extension", "odd_ratio", "longest_part", "first_digit", "first_part",
 )
 SUFFIXES = 3  # of one to three labels
-MAX_RULES = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -48,8 +52,6 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     rule = verdict = None
     for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -71,6 +73,7 @@ def features(url: str | None, host: str, path: str) -> list[float]:
         query.count("&") + bool(query), host.count(".") + bool(host), host.count("-"), sum(c.isdigit() for c in host),
         "#" in url, sum(c.isupper() for c in url) / n, len(last.rpartition(".")[2]) if "." in last else 0,
         sum(not (c.isalnum() or c in "/.:-") for c in url) / n, max(map(len, parts), default=0),
+        next((int(c) for c in path if c in "0123456789"), -1), len(parts[0]) if parts else 0,
     ]
 
 
@@ -149,67 +152,85 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
+def rule_join(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """``parsed`` with rule and verdict from a table of rules (host, path, verdict), by the same choice.
+
+    Each distinct host is joined by its suffixes to the rules, and its rules, as few as apply to one host,
+    go to its rows; Spark broadcasts the tables or shuffles them, by size.
+    """
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = parsed.select("host").distinct().select("host", F.explode(ends).alias("_end"))
+    given = rules.select(F.col("host").alias("_end"), F.col("path").alias("p"), F.col("verdict").alias("v"))
+    length = -F.char_length(F.concat("_end", "p"))
+    found = hosts.join(given, "_end").groupBy("host").agg(F.sort_array(F.collect_set(F.struct(length.alias("n"), F.col("v"), F.col("_end").alias("h"), F.col("p")))).alias("_fit"))
+    first = F.filter("_fit", lambda x: F.startswith(F.col("path"), x.p))
+    joined = parsed.join(found.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").withColumn("_r", F.get(first, F.lit(0)))
+    return joined.withColumn("rule", F.concat("_r.h", "_r.p")).withColumn("verdict", F.col("_r.v")).drop("_host", "_fit", "_r")
+
+
 def _parsed(pages: DataFrame, rules) -> DataFrame:
     host, path = split_url(F.col("url"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     for k in range(1, SUFFIXES + 1):
         parsed = parsed.withColumn(f"s{k}", suffix(F.col("host"), k))
+    if isinstance(rules, DataFrame):
+        return rule_join(parsed, rules)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return parsed.withColumn("rule", rule).withColumn("verdict", verdict)
 
 
-def suffix_statistics(parsed: DataFrame) -> list[DataFrame]:
-    """Of each suffix length: how many URLs, and the smoothed share of blocked ones among the decided."""
-    out = []
-    for k in range(1, SUFFIXES + 1):
-        decided, blocked = F.count("verdict"), F.count(F.when(F.col("verdict") == "block", 1))
-        counts = parsed.groupBy(F.col(f"s{k}").alias(f"_s{k}")).agg(
-            F.log1p(F.count(F.lit(1)).cast("double")).alias(f"n{k}"), ((blocked + 0.5) / (decided + 1.0)).alias(f"r{k}")
+def with_statistics(parsed: DataFrame) -> DataFrame:
+    """Rows with, for each suffix length, n (URLs, log), d (decided ones that teach) and b (blocked among them).
+
+    ``known`` is the verdict that a row may teach, or null.
+    """
+    rows = parsed
+    for name, column in [("0", "host"), *((str(k), f"s{k}") for k in range(1, SUFFIXES + 1))]:
+        counts = parsed.groupBy(F.col(column).alias(f"_s{name}")).agg(
+            F.log1p(F.count(F.lit(1)).cast("double")).alias(f"n{name}"),
+            F.count("known").cast("double").alias(f"d{name}"),
+            F.count(F.when(F.col("known") == "block", 1)).cast("double").alias(f"b{name}"),
         )
-        out.append(checkpoint(counts))  # a written table: Spark can then split a hot suffix in the join
-    return out
+        # a written table: Spark can then split a hot suffix in the join
+        rows = rows.join(checkpoint(counts), F.col(column) == F.col(f"_s{name}"))
+    return rows
 
 
-def with_features(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns and the feature array; suffix statistics come from columns n1, r1, ..."""
-    extra = [f"{c}{k}" for k in range(1, SUFFIXES + 1) for c in "nr"]
-    cols = rows.select(*carry, F.col("url").alias("_u"), F.col("host").alias("_h"), F.col("path").alias("_p"), *extra)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.select(*carry).schema) + ", features array<double>"
-    n = len(carry)
+def _inputs() -> list[Column]:
+    """Suffix columns of the features: how many URLs, and the share of blocked ones on other hosts."""
+    rate = lambda k: (F.col(f"b{k}") - F.col("b0") + 0.5) / (F.col(f"d{k}") - F.col("d0") + 1.0)
+    return [c for k in range(1, SUFFIXES + 1) for c in (F.col(f"n{k}"), rate(k).alias(f"r{k}"))]
 
-    def run(batches):
-        for batch in batches:
-            c = [col.to_pylist() for col in batch.columns[n:]]
-            x = [[float(v) for v in features(*row[:3])] + list(row[3:]) for row in zip(*c, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names[:n], "features"])
 
-    return cols.mapInArrow(run, schema)
+def _matrix(columns: list) -> np.ndarray:
+    rows = zip(*(c.to_pylist() for c in columns), strict=True)
+    return np.array([[float(v) for v in features(*r[:3])] + list(r[3:]) for r in rows], float).reshape(-1, len(FEATURES) + 2 * SUFFIXES)
+
 
+def judge(pages: DataFrame, rules=RULES, per_class: int = 4000, threshold: float = 0.5, teaches: Column | None = None, **settings) -> DataFrame:
+    """page_id, host, path, rule, verdict and the trees' score of each row.
 
-def judge(pages: DataFrame, rules=RULES, per_class: int = 4000, threshold: float = 0.5, **settings) -> DataFrame:
-    """page_id, host, path, rule, verdict and the trees' score of each row."""
+    ``teaches``: a condition on host and path; other rows' rule verdicts are not learned from.
+    """
     prepare(pages.sparkSession)
-    parsed = _parsed(pages, rules)
-    rows = parsed
-    for k, stats in enumerate(suffix_statistics(parsed), 1):
-        rows = rows.join(stats, F.col(f"s{k}") == F.col(f"_s{k}"))
-    decided = rows.where("verdict is not null")
+    known = F.col("verdict") if teaches is None else F.when(teaches, F.col("verdict"))
+    rows = with_statistics(_parsed(pages, rules).withColumn("known", known))
+    decided = rows.where("known is not null")
     order = [F.xxhash64("url"), F.col("url"), F.col("page_id")]
-    sample = [decided.where(F.col("verdict") == v).orderBy(*order).limit(per_class) for v in ("allow", "block")]
-    got = with_features(sample[0].unionByName(sample[1]), ["verdict"]).collect()
-    x = np.array([r.features for r in got], float).reshape(len(got), len(FEATURES) + 2 * SUFFIXES)
-    model = BoostedTrees(**settings).fit(x, np.array([r.verdict == "block" for r in got], float))
-    scored = with_features(rows, ["page_id", "host", "path", "rule", "verdict"])
+    sample = [decided.where(F.col("known") == v).orderBy(*order).limit(per_class) for v in ("allow", "block")]
+    got = sample[0].unionByName(sample[1]).select("known", "url", "host", "path", *_inputs()).toArrow()
+    x = _matrix(got.columns[1:])
+    model = BoostedTrees(**settings).fit(x, np.array([v == "block" for v in got.column("known").to_pylist()], float))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double"
 
     def run(batches):
         for batch in batches:
-            f = np.array(batch.column(5).to_pylist(), float).reshape(batch.num_rows, len(FEATURES) + 2 * SUFFIXES)
-            s = model.score(f)
+            s = model.score(_matrix([batch.column(5), batch.column(1), batch.column(2), *batch.columns[6:]]))
             verdict = [v or ("block" if p >= threshold else "allow") for v, p in zip(batch.column(4).to_pylist(), s, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(s)],
                 names=["page_id", "host", "path", "rule", "verdict", "score"],
             )
 
-    return scored.mapInArrow(run, schema)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "url", *_inputs()).mapInArrow(run, schema)
