@@ -15,7 +15,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
     The folder of ``spark.checkpoint.dir`` is used as it is; a folder of our own is set only
-    where none is configured (a local test session).
+    where none is configured and all tasks run in this process (a local test session). On a cluster
+    a missing folder is an error, as executors could not read the driver's disk.
     """
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -23,6 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 

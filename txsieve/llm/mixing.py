@@ -12,9 +12,8 @@ not of the number of sources, which stay a table.
 A source that ends early leaves its later slots unused, so the others go on in the proportions
 of their own weights. All documents are kept; ``mix_position`` numbers them without gaps.
 
-Ranks come from range partitions and their counts, positions from two-level counts (totals of
-ranges, then places in a range), so that no source, no repeated or null id and no range of slots
-is gathered in one task.
+Ranks and positions come from range partitions and their counts, so that no source, no repeated or
+null id and no range of slots is gathered in one task.
 
 Defined cases: a null source is a source of its own; sources without a weight get
 ``default_weight``; null ids come first in their source; repeated rows are kept, in any order among
@@ -24,6 +23,7 @@ themselves; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,19 +141,22 @@ def mix(
     weights: dict[str, int],
     default_weight: int = 1,
     block_rows: int = BLOCK_ROWS,
-    bucket_rows: int = 512,
 ) -> DataFrame:
     """doc_id, source, mix_block, mix_slot and mix_position of each row of ``docs``.
 
-    Weights are positive integers. Those of the named sources and the default weight add up to
-    MAX_PERIOD at most; the number of sources has no limit.
+    Weights are positive integers, a parameter; their common divisor is taken out, and those of the
+    named sources and the default weight then add up to MAX_PERIOD at most. The number of sources and
+    of rows has no limit.
     """
-    rows = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("_row"))
-    return _positions(rows, weights, default_weight, block_rows, bucket_rows).drop("_row")
+    rows = checkpoint(docs.select("doc_id", "source", F.monotonically_increasing_id().alias("_row")))
+    return _positions(rows, weights, default_weight, block_rows).drop("_row")
 
 
-def _positions(rows: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS, bucket_rows: int = 512) -> DataFrame:
+def _positions(rows: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The columns of mix() for rows of doc_id, source and ``_row``, a number that no two rows share."""
+    if all(w > 0 for w in (*weights.values(), default_weight)):
+        common = math.gcd(*weights.values(), default_weight)
+        weights, default_weight = {k: w // common for k, w in weights.items()}, default_weight // common
     key = F.md5(F.col("doc_id").cast("string"))
     order = [F.asc_nulls_first("_key"), F.asc_nulls_first("doc_id"), F.asc("_row")]
     laid, shifts = numbered(rows.withColumn("_key", key), ["source"], order)
@@ -179,31 +182,11 @@ def _positions(rows: DataFrame, weights: dict[str, int], default_weight: int = 1
         .withColumn("_in_block", F.col("_place") % block_rows)
     )
     # all rows of a slot are one block; slots in order are the mix
-    per_slot = placed.groupBy("mix_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    step = max(1, bucket_rows // block_rows)
-    ranges = per_slot.groupBy(F.floor(F.col("mix_slot") / step).alias("_range")).agg(F.sum("_rows").alias("_rows"))
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    if ranges.count() > 1_000_000:  # totals of totals, so that the last running sum stays small
-        coarse = ranges.groupBy(F.floor(F.col("_range") / 1000).alias("_top")).agg(F.sum("_rows").alias("_rows"))
-        tops = coarse.select("_top", F.coalesce(F.sum("_rows").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_t"))
-        inner = Window.partitionBy("_top").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.withColumn("_top", F.floor(F.col("_range") / 1000)).join(tops, "_top").select(
-            "_range", (F.col("_t") + F.coalesce(F.sum("_rows").over(inner), F.lit(0))).alias("_ahead")
-        )
-    else:
-        ranges = ranges.select("_range", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_range").orderBy("mix_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        per_slot.withColumn("_range", F.floor(F.col("mix_slot") / step))
-        .join(ranges, "_range")
-        .select(
-            F.col("mix_slot").alias("_s"),
-            (F.col("_ahead") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_first"),
-        )
-    )
+    columns = ["doc_id", "source", "mix_block", "mix_slot", "_in_block", "_row"]
+    spread, ahead = numbered(placed.select(*columns), [], [F.asc("mix_slot"), F.asc("_in_block")])
     return (
-        placed.join(starts, F.col("mix_slot") == F.col("_s"))
-        .withColumn("mix_position", (F.col("_first") + F.col("_in_block")).cast("long"))
+        spread.join(F.broadcast(ahead), "_part")  # a row per partition
+        .withColumn("mix_position", (F.col("_at") + F.col("_shift")).cast("long"))
         .select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "_row")
     )
 
