@@ -184,6 +184,30 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_rules_of_a_table(spark):
+    """The same choice as a list's; many more rules than a plan should hold."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate((
+        "http://a.example.com/en/70", "https://x.com/en/1", "http://com/en/", "http://notcom/en/", "http://w.example.net/de/8#a", "http://net/de/", "no", None, "", "http://h77.org/p77/x", f"http://{'a.' * 2000}com/en/{'y' * 50000}",
+    ))], "page_id long, url string").withColumn("rule", F.lit("clash"))
+    many = [(v, h, p) for v, h, p in url_filter.RULES] + [("block", f"h{i}.org", f"/p{i}/") for i in range(3000)]
+    table = spark.createDataFrame(many, "verdict string, host string, path string")
+    got = {r.page_id: (r.rule, r.rule and r.verdict) for r in url_filter.judge(pages, table).collect()}
+    want = {r.page_id: (r.rule, r.rule and r.verdict) for r in url_filter.judge(pages, [*url_filter.RULES, ("block", "h77.org", "/p77/")]).collect()}
+    assert got == want and got[9] == ("h77.org/p77/", "block") and got[10] == ("com/en/", "block")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_url_verdicts_of_unseen_hosts(spark):
+    """The rules' verdicts of hosts that taught nothing, as the trees would give them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    right = []
+    for k in range(3):
+        apart = F.pmod(F.crc32("host"), F.lit(3)) == k
+        got = url_filter.judge(pages, teaches=~apart).where(apart).where("rule is not null").select("verdict", "score").collect()
+        right += [(r.score >= 0.5) == (r.verdict == "block") for r in got]
+    assert len(right) == pages.count() - 1751 and np.mean(right) >= 0.9, np.mean(right)
+
+
 def test_boosted_trees_learn():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 4))
@@ -209,15 +233,15 @@ def test_mixing_keeps_all_and_counts(spark):
     n = 300
     sources = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"s{i % 4}") for i in range(n)]
     d = docs(spark, [f"t{i}" for i in range(n)], [None if i == 5 else 7 if i in (7, 8) else i for i in range(n)], sources).withColumn("mix_slot", F.lit("clash"))
-    out = mixing.mix(d, {"hot": 3, "s1": 2}, block_rows=4, bucket_rows=16).collect()
+    out = mixing.mix(d, {"hot": 3, "s1": 2}, block_rows=4).collect()
     assert sorted(r.mix_position for r in out) == list(range(n))
     by_slot = {}
     for r in out:
         by_slot.setdefault(r.mix_slot, set()).add(r.source)
     assert all(len(v) == 1 for v in by_slot.values())
-    again = mixing.mix(d, {"hot": 3, "s1": 2}, block_rows=4, bucket_rows=200).collect()
+    again = mixing.mix(d, {"hot": 3 << 30, "s1": 2 << 30}, default_weight=1 << 30, block_rows=4).collect()
     key = lambda rs: sorted((str(r.doc_id), str(r.source), r.mix_position) for r in rs)
-    assert key(out) == key(again)  # the sizes of the buckets don't matter
+    assert key(out) == key(again)  # only the proportions of the weights matter
     laid = mixing.mixed(d, {"hot": 3, "s1": 2}, block_rows=4)
     assert laid.columns == d.columns and sorted(map(str, laid.collect())) == sorted(map(str, d.collect()))
     assert mixing.mix(docs(spark, []), {}).count() == 0
