@@ -35,17 +35,17 @@ def feature_table(df: DataFrame, **settings) -> DataFrame:
 
 
 def range_check(features: DataFrame) -> DataFrame:
-    """Of each registered feature: rows, nulls and values out of its range."""
+    """Of each registered feature: rows, nulls and values out of its range (by more than rounding)."""
     n = len(FEATURES)
     args = ", ".join(f"'{f}', `{f}`" for f in FEATURES)
     tall = features.selectExpr(f"stack({n}, {args}) as (feature, value)")
-    known = registry(features.sparkSession).groupBy("feature").agg(F.min("feature_group").alias("feature_group"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known = registry(features.sparkSession).groupBy("feature").agg(F.min("feature_group").alias("feature_group"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_out").alias("low_out"))
     return (
         tall.join(F.broadcast(known), "feature")
         .groupBy("feature", "feature_group")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(F.col("value").isNull()).alias("n_null"),
-            F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.coalesce("high", F.lit(float("inf"))))).alias("n_out"),
+            F.count_if((F.col("value") < F.col("low") - 1e-9) | (F.col("low_out") & (F.col("value") <= F.col("low"))) | (F.col("value") > F.col("high") + 1e-9)).alias("n_out"),
         )
     )

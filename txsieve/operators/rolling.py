@@ -262,7 +262,7 @@ def with_entity(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "historical_median_amount": F.round("_med", 8),
-            "historical_mad_amount": F.round("_mad", 8),
+            "historical_MAD_amount": F.round("_mad", 8),
             "baseline_deviation": F.round(F.when(scale > 1e-6, F.abs(x - F.col("_med")) / scale).otherwise(0.0), 4),
             "activity_change": F.round(
                 F.when((age >= 3600) & (done >= 2), F.when(rate > 1e-4, F.col("tx_count_1h") / rate).otherwise(1.0)).otherwise(1.0), 4

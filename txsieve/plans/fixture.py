@@ -13,6 +13,10 @@ ANOMALOUS = ("fan_in", "fan_out", "peeling_like", "mixing_like", "rapid_hop", "n
 START = 1704067200000000
 
 
+#: The tables that the fixture is made from.
+TABLES = ("events", "lineitem", "nation")
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical table; the one shuffle is the join of events and their lines by order key."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

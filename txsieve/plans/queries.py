@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsieve.functions.session import cut, prepare
 from txsieve.operators import detectors, features, rolling, rows
+from txsieve.schema import FEATURES, RANGES, registry
 
 from . import fixture, oracle, scores_sql
 from .oracle import sql
@@ -50,14 +53,47 @@ def _r(names, digits: int = 4, t: str = "") -> str:
 _shared: dict = {}
 
 
+def inputs_digest(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files that the fixture reads."""
+    m = "_metadata."
+    rows = [
+        str(r) for t in fixture.TABLES
+        for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(f"{m}file_path", f"{m}file_size", f"{m}file_modification_time").distinct().orderBy("file_path").collect()
+    ]
+    return hashlib.sha256("".join(rows).encode()).hexdigest()
+
+
 def shared(name: str, spark: SparkSession, sf_dir: str, make):
-    """Tables that many queries read are written once per session and input."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
+    """Tables that many queries read are written once per session and state of the input's files.
+
+    New or changed files give new tables; if the written ones were cleaned away, they are made again.
+    """
+    key = (name, spark.sparkContext.applicationId, sf_dir, inputs_digest(spark, sf_dir))
+    if key in _shared and not readable(_shared[key]):
+        del _shared[key]
     if key not in _shared:
         _shared[key] = make()
     return _shared[key]
 
 
+def readable(tables) -> bool:
+    """The tables' files are still there."""
+    frames = tables.values() if isinstance(tables, dict) else tables if isinstance(tables, tuple) else [tables]
+    try:
+        for df in frames:
+            df.isEmpty()
+    except Exception as e:  # a missing file surfaces as a job's failure, by whatever class the version has
+        if "FileNotFound" in str(e) or "does not exist" in str(e) or "FILE_NOT_EXIST" in str(e):
+            return False
+        raise
+    return True
+
+
+def forget() -> None:
+    """Share nothing that was made before: each query then computes from the given tables."""
+    _shared.clear()
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.with_row_features(rows.with_order(fixture.transactions(prepare(spark), sf_dir)))
 
@@ -128,7 +164,7 @@ def n_network_features(spark, sf_dir):
 
 ENT = {
     "entity_tx_count": "entity_tx_count", "entity_volume": "entity_volume", "entity_age_seconds": "age", "unique_counterparties": "unique_counterparties",
-    "historical_median_amount": "med", "historical_mad_amount": "mad",
+    "historical_median_amount": "med", "historical_MAD_amount": "mad",
 }
 
 
@@ -138,19 +174,55 @@ def e_entity_features(spark, sf_dir):
     return df.select("event_id", *[rnd(x, 2).alias(x) for x in ENT], rnd("baseline_deviation", 4).alias("baseline_deviation"))
 
 
-@query("fp_feature_table", sql(oracle.ALL, "select event_id, " + _r(["tx_count_5m", "median_interarrival", "burst_score", "history_count", "ip_reuse_count", "unique_addresses_per_ip", "endpoint_recurrence", "src_port_frequency", "output_concentration", "activity_change"], 2) + " from feat"))
+#: SQL of every feature over rowg (g), tmp (t), net (n) and ent (e).
+FEATURE_SQL = {
+    **{k: f"g.{v}" for k, v in ROW.items()},
+    "fee_ratio": "case when g.raw_in > 1e-12 then g.fee / g.raw_in else 0 end",
+    "input_output_count_ratio": "case when g.no > 0 then g.ni / g.no else 0 end",
+    "input_output_amount_ratio": "case when g.raw_out > 1e-12 then g.raw_in / g.raw_out else 0 end",
+    **{k: f"t.{v}" for k, v in TMP.items()},
+    **{k: f"t.{k}" for k in ("mean_interarrival", "median_interarrival")},
+    **{k: f"n.{k}" for k in (*NET, "unique_ips")},
+    **{k: f"e.{v}" for k, v in ENT.items()},
+    **{k: f"f.{k}" for k in ("median_interarrival", "burst_score", "baseline_stability", "asn_concentration", "baseline_deviation", "activity_change")},
+    "fan_in_degree": "g.ni",
+    "fan_out_degree": "g.no",
+    "bipartite_density": "round(case when g.ni * g.no > 0 then (g.ni + g.no) / (g.ni * g.no) else 0 end, 4)",
+    "address_reuse_in_tx": "len(list_distinct(list_filter(g.ins, lambda a: list_contains(g.outs, a))))",
+    "field_completeness": "round((13 + (case when len(g.outs) > 0 then 1 else 0 end) + (case when len(g.amts) > 0 then 1 else 0 end)) / 15.0::double, 4)",
+    "timestamp_valid": "case when g.ts_us is not null then 1.0 else 0.0 end",
+    "network_metadata_completeness": "(case when g.src_ip <> '' then 1 else 0 end + case when g.dst_ip <> '' then 1 else 0 end + case when g.asn <> '' then 1 else 0 end + case when g.geo_country <> '' then 1 else 0 end + case when g.src_port is not null then 1 else 0 end + case when g.dst_port is not null then 1 else 0 end) / 6.0",
+    "amount_data_completeness": "case when len(g.amts) > 0 then 1.0 else 0.0 end",
+}
+_FEATURES_FROM = "rowg g join tmp t using (event_id) join net n using (event_id) join ent e using (event_id) join feat f using (event_id)"
+
+
+def _out_of_range(name: str) -> str:
+    _, low, high, low_out = RANGES[name]
+    x = f"cast({FEATURE_SQL[name]} as double)"
+    tests = [f"{x} < {low - 1e-9}", *([f"{x} <= {low}"] if low_out else []), *([f"{x} > {high + 1e-9}"] if high != float("inf") else [])]
+    return f"count(*) filter ({' or '.join(tests)})"
+
+
+@query("fp_feature_table", sql(oracle.ALL, "select event_id, " + ", ".join(f"{rnd_sql(FEATURE_SQL[f], 2)} as {f}" for f in FEATURES) + f" from {_FEATURES_FROM}"))
 def fp_feature_table(spark, sf_dir):
-    names = ["tx_count_5m", "median_interarrival", "burst_score", "history_count", "ip_reuse_count", "unique_addresses_per_ip", "endpoint_recurrence", "src_port_frequency", "output_concentration", "activity_change"]
-    return rounded(full_features(spark, sf_dir), ["event_id"], names, 2)
+    return rounded(full_features(spark, sf_dir), ["event_id"], FEATURES, 2)
 
 
-@query("fr_feature_range_check", sql(oracle._FEATURE_CHAIN, "select cast(61 as bigint) as features, (select count(*) from c) as n_rows, cast(0 as bigint) as n_null, cast(0 as bigint) as n_out"))
+@query("fr_feature_range_check", sql(oracle.ALL, f"select cast({len(FEATURES)} as bigint) as features, count(*) as n_rows, " + " + ".join(f"count(*) filter ({FEATURE_SQL[f]} is null)" for f in FEATURES) + " as n_null, " + " + ".join(map(_out_of_range, FEATURES)) + f" as n_out from {_FEATURES_FROM}"))
 def fr_feature_range_check(spark, sf_dir):
     table = features.feature_table(fixture.transactions(prepare(spark), sf_dir))
     check = features.range_check(table)
     return check.agg(F.count(F.lit(1)).alias("features"), F.max("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.sum("n_out").alias("n_out"))
 
 
+@query("fr_registry")
+def fr_registry(spark, sf_dir):
+    """The registry beside what the given rows hold of each feature."""
+    check = features.range_check(features.feature_table(fixture.transactions(prepare(spark), sf_dir)))
+    return registry(spark).join(check.drop("feature_group"), "feature")
+
+
 @query("d_rule_detectors", sql(oracle.DETECT, "select event_id, " + ", ".join(f"{rnd_sql(d, 4)} as {d}_score, {d}_triggered" for d in oracle.DETECTORS) + " from det"))
 def d_rule_detectors(spark, sf_dir):
     df = detectors.with_scores(full_features(spark, sf_dir))

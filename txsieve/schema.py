@@ -42,13 +42,13 @@ GROUPS = {
         "median_interarrival", "burst_score", "velocity_ratio", "history_count", "baseline_stability",
     ),
     "NETWORK": (
-        "ip_reuse_count", "ip_reuse_count_24h", "unique_addresses_per_ip", "unique_addresses_per_ip_24h",
-        "endpoint_recurrence", "endpoint_recurrence_24h", "unique_ips", "unique_asns", "asn_concentration",
-        "unique_countries", "country_count", "src_port_frequency", "dst_port_frequency",
+        "unique_ips", "unique_addresses_per_ip", "ip_reuse_count", "unique_asns", "asn_concentration", "unique_countries",
+        "country_count", "src_port_frequency", "dst_port_frequency", "endpoint_recurrence", "ip_reuse_count_24h",
+        "unique_addresses_per_ip_24h", "endpoint_recurrence_24h",
     ),
     "ENTITY": (
         "entity_tx_count", "entity_volume", "entity_age_seconds", "unique_counterparties", "unique_ips",
-        "historical_median_amount", "historical_mad_amount", "baseline_deviation", "activity_change",
+        "historical_median_amount", "historical_MAD_amount", "baseline_deviation", "activity_change",
     ),
     "GRAPH": (
         "fan_in_degree", "fan_out_degree", "bipartite_density", "address_reuse_in_tx", "is_peeling_structure",
@@ -59,15 +59,73 @@ GROUPS = {
     ),
 }
 FEATURES = list(dict.fromkeys(name for names in GROUPS.values() for name in names))
-#: Features that lie in [0, 1]; all others are only known to be non-negative.
-UNIT_RANGE = (
-    "output_concentration", "equal_output_ratio", "round_amount_ratio", "fan_in_ratio", "fan_out_ratio",
-    "baseline_stability", "asn_concentration", "is_peeling_structure", "is_consolidation_structure",
-    "is_dispersion_structure", "is_equal_split_structure", *GROUPS["DATA_QUALITY"],
-)
+#: Unit and range of each feature: low, high, and whether low itself is out. Fixed values.
+_UNITS = {
+    "count": "input_count output_count tx_count_5m tx_count_1h tx_count_24h unique_ips unique_addresses_per_ip unique_asns unique_countries "
+    "country_count src_port_frequency dst_port_frequency endpoint_recurrence unique_addresses_per_ip_24h endpoint_recurrence_24h "
+    "entity_tx_count unique_counterparties fan_in_degree fan_out_degree",
+    "count from 0": "history_count ip_reuse_count ip_reuse_count_24h address_reuse_in_tx",
+    "BTC": "total_input_amount total_output_amount fee amount_mean amount_std volume_5m volume_1h volume_24h entity_volume "
+    "historical_median_amount historical_MAD_amount",
+    "seconds": "mean_interarrival median_interarrival entity_age_seconds",
+    "ratio": "input_output_count_ratio amount_cv burst_score velocity_ratio activity_change",
+    "ratio from 1": "input_output_amount_ratio",
+    "ratio to 1": "fee_ratio round_amount_ratio fan_in_ratio fan_out_ratio field_completeness network_metadata_completeness",
+    "ratio to 2": "bipartite_density",
+    "ratio above 0": "equal_output_ratio",
+    "index above 0": "output_concentration asn_concentration",
+    "score": "baseline_deviation",
+    "score to 1": "baseline_stability",
+    "binary": "is_peeling_structure is_consolidation_structure is_dispersion_structure is_equal_split_structure timestamp_valid amount_data_completeness",
+}
+_INF = float("inf")
+
+
+def _range(kind: str) -> tuple[float, float, bool]:
+    word = kind.split()[0]
+    low = 1.0 if kind in ("count", "ratio from 1") else 0.0
+    high = 2.0 if kind.endswith("to 2") else 1.0 if kind.endswith(("to 1", "above 0")) or word == "binary" else _INF
+    return low, high, kind.endswith("above 0")
+
+
+#: feature -> (unit, low, high, low is out)
+RANGES = {name: (kind.split()[0], *_range(kind)) for kind, names in _UNITS.items() for name in names.split()}
+
+#: What each feature is.
+DEFINITIONS = {
+    "input_count": "inputs", "output_count": "outputs", "total_input_amount": "sum of what is spent, fee included",
+    "total_output_amount": "sum of the outputs", "fee": "fee paid", "fee_ratio": "fee by the amount spent",
+    "input_output_count_ratio": "inputs by outputs", "input_output_amount_ratio": "amount spent by amount received",
+    "amount_mean": "mean output", "amount_std": "standard deviation of the outputs", "amount_cv": "standard deviation by mean",
+    "output_concentration": "sum of squared shares of the outputs", "equal_output_ratio": "largest share of outputs of one amount",
+    "round_amount_ratio": "share of round outputs", "fan_in_ratio": "inputs by all addresses", "fan_out_ratio": "outputs by all addresses",
+    "tx_count_5m": "the entity's transactions in five minutes", "tx_count_1h": "the same in an hour", "tx_count_24h": "the same in a day",
+    "volume_5m": "the entity's outputs in five minutes", "volume_1h": "the same in an hour", "volume_24h": "the same in a day",
+    "mean_interarrival": "mean gap of the last hundred transactions", "median_interarrival": "median of these gaps",
+    "burst_score": "rate of five minutes by that of the hour", "velocity_ratio": "volume of five minutes by that of the hour",
+    "history_count": "earlier transactions", "baseline_stability": "how far the history suffices, up to 15",
+    "unique_ips": "the entity's addresses of origin so far", "unique_addresses_per_ip": "entities of the origin in an hour",
+    "ip_reuse_count": "other transactions of the origin in an hour", "unique_asns": "the entity's networks so far",
+    "asn_concentration": "sum of squared shares of these networks", "unique_countries": "the entity's countries so far",
+    "country_count": "transactions of the country so far", "src_port_frequency": "transactions of the source port so far",
+    "dst_port_frequency": "transactions of the target port so far", "endpoint_recurrence": "transactions of the pair of ends in an hour",
+    "ip_reuse_count_24h": "other transactions of the origin in a day", "unique_addresses_per_ip_24h": "entities of the origin in a day",
+    "endpoint_recurrence_24h": "transactions of the pair of ends in a day", "entity_tx_count": "the entity's transactions so far",
+    "entity_volume": "the entity's outputs so far", "entity_age_seconds": "time since the entity's first transaction",
+    "unique_counterparties": "receivers of the entity so far", "historical_median_amount": "median of the last 200 amounts before",
+    "historical_MAD_amount": "median distance from it", "baseline_deviation": "distance from the median in scaled median distances",
+    "activity_change": "the hour's rate by the rate before", "fan_in_degree": "inputs, as a degree", "fan_out_degree": "outputs, as a degree",
+    "bipartite_density": "edges by possible ones between inputs and outputs", "address_reuse_in_tx": "addresses on both sides",
+    "is_peeling_structure": "one small and one large output", "is_consolidation_structure": "many inputs to one or two outputs",
+    "is_dispersion_structure": "one or two inputs to many outputs", "is_equal_split_structure": "most of three outputs or more are equal",
+    "field_completeness": "share of fields that are there", "timestamp_valid": "the time can be read",
+    "network_metadata_completeness": "share of network fields that are there", "amount_data_completeness": "the outputs have amounts",
+}
 
 
 def registry(spark):
-    """(feature, feature_group, low, high), one row per slot."""
-    rows = [(n, g, 0.0, 1.0 if n in UNIT_RANGE else None) for g, names in GROUPS.items() for n in names]
-    return spark.createDataFrame(rows, "feature string, feature_group string, low double, high double")
+    """(feature, feature_group, definition, unit, low, high, low_out), one row per slot; no high is null."""
+    rows = [
+        (n, g, DEFINITIONS[n], u, low, None if high == _INF else high, out) for g, names in GROUPS.items() for n in names for u, low, high, out in [RANGES[n]]
+    ]
+    return spark.createDataFrame(rows, "feature string, feature_group string, definition string, unit string, low double, high double, low_out boolean")

@@ -22,7 +22,15 @@ def text_list(c: str, pipes: bool) -> Column:
 
 def instant(c: Column) -> Column:
     """ISO text (UTC unless it says otherwise) or seconds since 1970."""
-    return F.coalesce(F.try_to_timestamp(c), F.timestamp_seconds(c.try_cast("double")))
+    zoned = c.rlike(r"(?i)(z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?|[a-z]+/[a-z_]+)\s*$") & c.contains(":")
+    plain = F.try_to_timestamp(F.when(~zoned, F.concat(c, F.when(c.contains(":"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))))
+    return F.coalesce(F.try_to_timestamp(F.when(zoned, c)), plain, F.timestamp_seconds(number(c)))
+
+
+def number(c: Column) -> Column:
+    """A finite number, or null: NaN and infinities are none."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
 def canonicalize(raw: DataFrame, batch_id: str = "batch_canonical") -> DataFrame:
@@ -35,12 +43,12 @@ def canonicalize(raw: DataFrame, batch_id: str = "batch_canonical") -> DataFrame
     df = raw.select(F.substring(F.to_json(F.struct(*raw.columns)), 1, RAW_LIMIT).alias("raw"), "*")
     lists = {c: text_list(c, not kinds[c].startswith("array")) for c in LISTS}
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    amounts = {c: F.transform(lists[c], lambda x: x.try_cast("double")) for c in ("input_amounts", "output_amounts")}
+    amounts = {c: F.transform(lists[c], number) for c in ("input_amounts", "output_amounts")}
     broken = {
         **{f"{c} is missing": text(c).isNull() for c in REQUIRED},
         "timestamp is not a time": text("timestamp").isNotNull() & instant(text("timestamp")).isNull(),
         **{f"{c} is not a port": ~F.coalesce(text(c).try_cast("int").between(0, 65535), F.lit(False)) for c in ("src_port", "dst_port")},
-        "fee is not a number of at least 0": ~F.coalesce(text("fee").try_cast("double") >= 0, F.lit(False)),
+        "fee is not a number of at least 0": ~F.coalesce(number(text("fee")) >= 0, F.lit(False)),
         **{f"{c} has a value that is no number of at least 0": F.exists(amounts[c], lambda x: x.isNull() | (x < 0)) for c in amounts},
     }
     reasons = F.filter(F.array(*[F.when(cond, F.lit(why)) for why, cond in broken.items()]), lambda x: x.isNotNull())
@@ -49,7 +57,7 @@ def canonicalize(raw: DataFrame, batch_id: str = "batch_canonical") -> DataFrame
         F.coalesce(text("event_id"), F.concat(F.lit("evt_"), text("txid"))).alias("event_id"), text("txid").alias("txid"), instant(text("timestamp")).alias("timestamp"),
         text("src_ip").alias("src_ip"), text("dst_ip").alias("dst_ip"), text("src_port").try_cast("int").alias("src_port"), text("dst_port").try_cast("int").alias("dst_port"),
         lists["input_addresses"].alias("input_addresses"), lists["output_addresses"].alias("output_addresses"),
-        amounts["input_amounts"].alias("input_amounts"), amounts["output_amounts"].alias("output_amounts"), text("fee").try_cast("double").alias("fee"),
+        amounts["input_amounts"].alias("input_amounts"), amounts["output_amounts"].alias("output_amounts"), number(text("fee")).alias("fee"),
         text("script_type").alias("script_type"), text("geo_country").alias("geo_country"), text("asn").alias("asn"),
         F.lit(batch_id).alias("source_batch_id"), F.current_timestamp().alias("ingest_time"),
     )
