@@ -308,28 +308,29 @@ def jaccard(a, b):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
-def test_collisions_are_generalised_jaccard():
+def test_collisions_are_generalised_jaccard(spark):
     """Heavy and small weights, short and long texts: mean error and spread of the samples' share."""
-    r, errors = random.Random(4), {}
+    r, texts, kinds = random.Random(4), [], []
     for kind in ("heavy", "light", "short", "mixed"):
         for i in range(60):
             words = [f"{kind}{i}x{k}" for k in range({"heavy": 6, "light": 200, "short": 8, "mixed": 60}[kind])]
             top = {"heavy": 200, "light": 1, "short": 2, "mixed": 40}[kind]
             a = [w for w in words for _ in range(r.randrange(1, top + 1))]
             b = [w for w in words if r.random() < 0.8 for _ in range(r.randrange(1, top + 1))] + [f"v{i}"] * r.randrange(1, top + 1)
-            x, y = fingerprint.signatures([" ".join(a), " ".join(b)])
-            errors.setdefault(kind, []).append(float((x == y).mean()) - jaccard(" ".join(a), " ".join(b)))
+            texts += [" ".join(b), " ".join(a)]  # the next text of a is b
+            kinds.append(kind)
+    got, errors = rows(fingerprint.fingerprints(docs(spark, texts))), {}
+    for i, kind in enumerate(kinds):
+        errors.setdefault(kind, []).append(got[2 * i + 1].near_next - jaccard(texts[2 * i], texts[2 * i + 1]))
     for kind, e in errors.items():
-        assert abs(np.mean(e)) < 0.02 and np.sqrt(np.mean(np.square(e))) < 0.06, (kind, np.mean(e), np.std(e))
+        assert abs(np.mean(e)) < 0.03 and np.sqrt(np.mean(np.square(e))) < 0.075, (kind, np.mean(e), np.std(e))
 
 
-def test_batches_do_not_change_signatures(monkeypatch):
-    texts = [x or "" for x in ODD] + [prose(50, i) for i in range(30)] + ["a a a b", "b a a a"]
-    whole = fingerprint.signatures(texts)
-    monkeypatch.setattr(fingerprint, "PAIRS", 40)
-    for x, y in zip(whole, fingerprint.signatures(texts), strict=True):
-        assert (x is None and y is None) or (x == y).all()
-    assert (whole[-1] == whole[-2]).all() and whole[0] is None
+def test_cache_does_not_change_fingerprints(spark, monkeypatch):
+    d = docs(spark, ["a b c a b a", *ODD, *[prose(50, i) for i in range(30)]])
+    want = sorted(map(str, fingerprint.fingerprints(d, 32).collect()))
+    monkeypatch.setattr(fingerprint, "CACHED", 5)
+    assert want == sorted(map(str, fingerprint.fingerprints(d.repartition(3), 32).collect()))
 
 
 def test_fingerprints(spark):
@@ -347,7 +348,7 @@ def test_fingerprints(spark):
         assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         if re.search(r"[^\W_]", t) and re.search(r"[^\W_]", edited):
             errors += [r.near_edited - jaccard(t, edited)] + ([r.near_next - jaccard(t, nxt)] if re.search(r"[^\W_]", nxt) else [])
-    assert len(errors) > 100 and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.06
+    assert len(errors) > 100 and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.075
     assert got[7].fingerprint == got[8].fingerprint and got[8].near_next == 1.0
     assert got[0].fingerprint == got[1].fingerprint == got[2].fingerprint and set(got[0].fingerprint) == {"."}
     assert fingerprint.fingerprints(docs(spark, [])).count() == 0
