@@ -10,8 +10,9 @@ least 0.8. Rows with equal sets form a class, which is compared once.
    all pairs). Connected components of the stars bound the comparison: linked pairs that share a
    band lie in one component.
 3. Representatives of a component are dealt into cells by set size (classes of ratio 1 / 0.8, so
-   only equal and adjacent classes can link) and a hash into chunks of about ``chunk_rows`` (fewer
-   where sets are so large that a chunk would exceed ``CHUNK_SHINGLES``). Pairs of chunks are the
+   only equal and adjacent classes can link) and a hash into chunks of about ``chunk_rows``, or a
+   sixteenth of a larger cell, up to eight times that (fewer where sets are so large that a chunk
+   would exceed ``CHUNK_SHINGLES``). Pairs of chunks are the
    tasks: a large group is spread over many of them. How many chunks a cell has is counted and
    joined on rows without sets, under ``SALTS`` salted keys, so no task meets a whole cell.
 4. In a task, pairs that share a band are compared by ``step`` MinHash values at a time. With m of n
@@ -23,9 +24,9 @@ least 0.8. Rows with equal sets form a class, which is compared once.
 Result: one row per document with its class, group and number of links (other documents at or over
 the threshold, copies included). In one near-copy group of n *different* texts, comparisons are
 quadratic, as any exact count of links is: n * n / 2 pairs at most, of those that share a band. So are
-the rows sent to the tasks, with the chunk as divisor: each set goes to every chunk that its own one
-meets, n * n / ``chunk_rows`` rows in all (and up to three times that with the adjacent cells). A task
-holds two chunks at a time, and no task or row grows with n.
+the rows sent to the tasks beyond 32,768 texts: each set goes to every chunk that its own one meets, 16
+up to there and n / 2048 beyond (up to three times that with the adjacent cells). A task holds two
+chunks at a time, and no task or row grows further with n.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and form one class
 (similarity 1 among themselves, 0 to all others); rows with a null id are left out, since results
@@ -47,7 +48,7 @@ from .common import checkpoint, components, prepare
 from .text import mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 6
-CHUNK_ROWS, CHUNK_SHINGLES, SALTS = 1024, 1 << 21, 256
+CHUNK_ROWS, CHUNK_SHARE, CHUNK_SHINGLES, SALTS = 256, 16, 1 << 21, 256
 FILTER_BITS = 25
 
 
@@ -289,7 +290,8 @@ def near_copies(
     # a cell's number of chunks, from at most SALTS counts, goes back to its rows by salted keys
     counted = members.groupBy("comp", "cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     largest = F.pow(F.lit(1 / threshold), F.col("cell") + 1)
-    per_chunk = F.least(F.lit(chunk_rows), F.greatest(F.lit(16), F.floor(F.lit(CHUNK_SHINGLES) / largest)))
+    fair = F.least(F.lit(8 * chunk_rows), F.greatest(F.lit(chunk_rows), F.ceil(F.col("n") / CHUNK_SHARE)))
+    per_chunk = F.least(fair, F.greatest(F.lit(16), F.floor(F.lit(CHUNK_SHINGLES) / largest)))
     cells = counted.groupBy("comp", "cell").agg(F.sum("n").alias("n")).select("comp", "cell", F.ceil(F.col("n") / per_chunk).cast("int").alias("m"))
     beside = lambda d, name: cells.select("comp", (F.col("cell") - d).alias("cell"), F.col("m").alias(name))
     around = cells.join(beside(1, "m_up"), ["comp", "cell"], "left").join(beside(-1, "m_down"), ["comp", "cell"], "left").na.fill(0, ["m_up", "m_down"])
