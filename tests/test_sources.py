@@ -99,3 +99,49 @@ def test_streaming_plans_build(spark, tmp_path):
     frame(spark, [tx(0)]).write.parquet(src)
     stream = spark.readStream.schema(CANONICAL).parquet(src)
     assert jobs.windowed_counts(stream).isStreaming and jobs.first_of_txid(stream).isStreaming and jobs.lineage(stream).isStreaming
+
+
+def test_numbers_are_finite_and_times_are_utc(spark):
+    """Whatever the session's zone, a time without a zone is UTC; NaN and infinite amounts are no numbers."""
+    from pyspark.sql import functions as F
+
+    from txsieve.sources.validate import canonicalize, instant
+
+    raw = [("e", f"t{i}", "2024-01-02T03:04:05", "1.1.1.1", "2.2.2.2", "1", "2", "a", "b", amount, "1", fee) for i, (fee, amount) in enumerate((("0.1", "1"), ("NaN", "1"), ("Infinity", "1"), ("0", "NaN"), ("0", "-Infinity")))]
+    names = "event_id txid timestamp src_ip dst_ip src_port dst_port input_addresses output_addresses input_amounts output_amounts fee"
+    got = canonicalize(spark.createDataFrame(raw, ", ".join(f"{n} string" for n in names.split()))).select("txid", F.size("reasons").alias("n")).collect()
+    assert {r.txid: r.n for r in got} == {"t0": 0, "t1": 1, "t2": 1, "t3": 1, "t4": 1}
+    times = ["2024-01-02T03:04:05", "2024-01-02 03:04:05.25", "2024-01-02T03:04:05Z", "2024-01-02T05:04:05+02:00", "1704164645", "2024-01-02", "no time"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        at = {r.i: r.u for r in df.select("i", F.unix_micros(instant(F.col("t"))).alias("u")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    second = 1704164645_000000
+    assert at == {0: second, 1: second + 250000, 2: second, 3: second, 4: second, 5: 1704153600_000000, 6: None}
+
+
+def test_registry_describes_every_feature(spark):
+    from txsieve.schema import FEATURES, registry
+
+    rows = registry(spark).collect()
+    assert len(rows) == 62 and {r.feature for r in rows} == set(FEATURES) and len(FEATURES) == 61
+    assert all(r.definition and r.unit and (r.high is None or r.low <= r.high) for r in rows)
+    by = {r.feature: (r.low, r.high, r.low_out) for r in rows}
+    assert by["input_count"] == (1.0, None, False) and by["fee_ratio"] == (0.0, 1.0, False) and by["asn_concentration"] == (0.0, 1.0, True)
+
+
+def test_shared_tables_follow_the_files(spark, tmp_path):
+    from txsieve.plans import fixture, queries
+
+    for t in fixture.TABLES:
+        spark.range(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    made = []
+    make = lambda: made.append(1) or spark.range(1)
+    for _ in range(2):
+        queries.shared("x", spark, str(tmp_path), make)
+    assert len(made) == 1
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    queries.shared("x", spark, str(tmp_path), make)
+    assert len(made) == 2

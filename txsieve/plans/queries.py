@@ -598,3 +598,60 @@ def p_entity_rollup(spark, sf_dir):
 def p_facets(spark, sf_dir):
     return explore.facets(analysis(spark, sf_dir)["alerts"], fixture.transactions(spark, sf_dir))
 
+
+
+# ---- lookups by id, and views ----
+
+_SEVERITY = "case when not hit then 'NONE' when score >= 0.70 then 'HIGH' when score >= 0.45 then 'MEDIUM' else 'LOW' end"
+
+
+@query("s_detector_results", sql(_DET, f"select event_id, txid, ts_us, detector, score, hit as triggered, {_SEVERITY} as severity from (" + " union all ".join(f"select event_id, txid, ts_us, '{d}' as detector, {rnd_sql(d, 4)} as score, {d}_triggered as hit from det" for d in oracle.DETECTORS) + ")"))
+def s_detector_results(spark, sf_dir):
+    return detectors.detector_results(full_features(spark, sf_dir)).select(*KEYS, "detector", rnd("score", 4).alias("score"), "triggered", "severity")
+
+
+@query("x_incident_edges", gsql("edge", f"select edge_id, source_id, target_id, edge_type from edge where {_HUB} in (source_id, target_id)"))
+def x_incident_edges(spark, sf_dir):
+    edges = graph_of(spark, sf_dir)[1]
+    return graph_query.incident_edges(edges, hub_tx(edges)).select("edge_id", "source_id", "target_id", "edge_type")
+
+
+@query("x_node_of_address", gsql("outp", "select min(target_id) as node_id, 'ADDRESS' as node_type from inp"))
+def x_node_of_address(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    first = edges.where("edge_type = 'INPUT_TO'").agg(F.min("target_id")).first()[0] or ""
+    return graph_query.get_node(nodes, first).select("node_id", "node_type")
+
+
+@query("p_alert_detail", fsql("select 'ALT_' || substr(i.txid, 1, 16) || '_0001' as alert_id, i.txid, e.degree, e.component_size from inv i join evid e on e.txid = i.txid where i.rank = 1"))
+def p_alert_detail(spark, sf_dir):
+    r = analysis(spark, sf_dir)
+    first = (r["alerts"].where("rank = 1").select("alert_id").first() or [""])[0]
+    found = explore.alert_detail(r["alerts"].select("alert_id", "txid"), r["graph_evidence"], first)
+    return found.select("alert_id", "txid", *[F.col(c).cast("long").alias(c) for c in ("degree", "component_size")])
+
+
+@query("p_transaction_search", fsql("select event_id, txid, risk_level, asn from inv join (select event_id, asn from c) using (event_id) where asn = 'AS100' and list_contains(triggers, 'network_cluster') and txid like '%1%'"))
+def p_transaction_search(spark, sf_dir):
+    found = explore.transaction_summary(fixture.transactions(spark, sf_dir), analysis(spark, sf_dir)["investigations"])
+    return explore.transaction_search(found.where(F.col("txid").contains("1")), None, "network_cluster", "AS100").select("event_id", "txid", "risk_level", "asn")
+
+
+@query("p_transaction_detail", fsql("select txid, event_id, risk_level, rank from inv where txid = (select min(txid) from inv)"))
+def p_transaction_detail(spark, sf_dir):
+    r, tx = analysis(spark, sf_dir), fixture.transactions(spark, sf_dir)
+    first = tx.agg(F.min("txid")).first()[0] or ""
+    return explore.transaction_detail(r, tx, first).select("txid", "event_id", F.col("investigation.risk_level").alias("risk_level"), F.col("alert.rank").alias("rank"))
+
+
+@query("p_graph_view", gsql("edge", "select edge_type, count(*) as n from edge where (source_id like 'tx_%' or source_id like 'a_%') and (target_id like 'tx_%' or target_id like 'a_%') group by 1"))
+def p_graph_view(spark, sf_dir):
+    _, seen, _ = explore.graph_view(*graph_of(spark, sf_dir), ["TRANSACTION", "ADDRESS"])
+    return seen.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p_node_risk", fsql("select txid as node_id, max(" + rnd_sql("risk_score", 4) + ") as risk_score from inv group by 1"))
+def p_node_risk(spark, sf_dir):
+    r = analysis(spark, sf_dir)
+    nodes = explore.with_node_risk(r["nodes"].where("node_type = 'TRANSACTION'"), r["investigations"])
+    return nodes.select("node_id", rnd("risk_score", 4).alias("risk_score"))
