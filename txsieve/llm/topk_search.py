@@ -5,8 +5,8 @@ sample, are the columns of a distance table, which is computed once and stored w
 triangle inequality a query q and a row x are at least max over pivots |d(q, p) - d(x, p)| apart, and
 as their inner product is (|q|^2 + |x|^2 - d(q, x)^2) / 2, that bounds it from above.
 
-1. Rows and queries are dealt by their nearest pivot, and by hash, into blocks; of each block the range
-   of its distances to every pivot is kept.
+1. Rows and queries are dealt by their nearest pivot, and by hash, into blocks (pivots with few rows
+   share one); of each block the range of its distances to every pivot is kept.
 2. Each query meets one block near it: its k-th best score there is a first threshold.
 3. Pairs of a query block and a row block whose ranges are so far apart that no score can reach the
    least threshold of the block's queries are dropped whole; they are never sent anywhere.
@@ -69,7 +69,12 @@ def far_apart(x: np.ndarray, n: int) -> np.ndarray:
     while len(chosen) < n and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, _distances(x, x[chosen[-1:]])[:, 0])
-    return x[chosen]
+    rest, order = list(range(1, len(chosen))), [0]
+    between = _distances(x[chosen], x[chosen])
+    while rest:  # each is followed by the nearest of those left, so that numbers close to each other lie close
+        order.append(min(rest, key=lambda i: (between[order[-1], i], i)))
+        rest.remove(order[-1])
+    return x[chosen][order]
 
 
 def block_top_k(q_ids, q, dq, c_ids, c, dc, floor, k: int = K, step: int = 256):
@@ -133,17 +138,31 @@ def with_distances(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def _blocks(rows: DataFrame, size: int) -> dict[int, int]:
-    """How many blocks of about ``size`` rows each nearest pivot has: one number per pivot."""
-    return {r.near: -(-r["count"] // size) for r in rows.groupBy("near").count().collect()}
+def _blocks(rows: DataFrame, size: int) -> dict[int, tuple[int, int]]:
+    """nearest pivot -> (block, number of blocks from there): one row per pivot comes to the driver.
+
+    Pivots with more rows than ``size`` have several blocks; neighbours with few share one.
+    """
+    out, block, held = {}, -1, size
+    for r in sorted(rows.groupBy("near").count().collect()):
+        n = r["count"]
+        if n > size:
+            out[r.near] = (block + 1, -(-n // size))
+            block, held = block + -(-n // size), size
+            continue
+        if held + n > size:
+            block, held = block + 1, 0
+        out[r.near] = (block, 1)
+        held += n
+    return out
 
 
-def _block(blocks: dict[int, int], key: str) -> Column:
-    """Nearest pivot and a hash, as one number."""
-    chunks = F.lit(1)
-    for near, n in blocks.items():
-        chunks = F.when(F.col("near") == near, n).otherwise(chunks) if n > 1 else chunks
-    return F.col("near").cast("long") * (1 << 40) + F.pmod(F.xxhash64(key), chunks.cast("long"))
+def _block(blocks: dict[int, tuple[int, int]], key: str) -> Column:
+    """The block of a row, by its nearest pivot and a hash."""
+    spots = F.lit(None).cast("struct<a: long, n: long>")
+    for near, (first, n) in blocks.items():
+        spots = F.when(F.col("near") == near, F.struct(F.lit(first).cast("long").alias("a"), F.lit(n).cast("long").alias("n"))).otherwise(spots)
+    return spots["a"] + F.pmod(F.xxhash64(key), spots["n"])
 
 
 def _ranges(rows: DataFrame, block: str, pivots: int) -> DataFrame:
@@ -190,8 +209,7 @@ def search(
     asks = checkpoint(asks.withColumn("qb", _block(_blocks(asks, query_block), "query_id")))
     if not row_blocks:
         return plain.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    every = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(n).cast("long").alias("n")) for p, n in row_blocks.items()])
-    blocks = F.flatten(F.transform(every, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x.n - 1), lambda i: x.p * (1 << 40) + i)))
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(max(a + n for a, n in row_blocks.values()) - 1).cast("long"))
     theirs = _ranges(rows.withColumn("floor", F.lit(0.0)), "rb", n_pivots).select("rb", F.col("norm").alias("r_norm"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     ours = _ranges(asks, "qb", n_pivots).withColumn("rb", F.explode(blocks))
     apart = F.array_max(F.concat(F.zip_with("lo", "r_hi", lambda x, y: x - y), F.zip_with("r_lo", "hi", lambda x, y: x - y), F.array(F.lit(0.0))))
