@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, prepare
 
-SAMPLES, GROUP, CACHED, CACHE_TEXTS, SPREAD = 64, 32, 65536, 4000, 64
+SAMPLES, GROUP, CACHED, CACHE_TEXTS, SPREAD = 64, 32, 16384, 4000, 64
 _NONE = -(1 << 63)
 _SIGN = (1 << 23) - 1
 
