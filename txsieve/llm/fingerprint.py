@@ -1,27 +1,20 @@
-"""Document fingerprints by consistent weighted sampling, with DataFrame functions only.
+"""Document fingerprints by consistent weighted sampling.
 
 A text is a bag of words. For each of ``SAMPLES`` draws j, every distinct word of weight w (its number
 of occurrences) gets, with r and c from Gamma(2, 1) and b uniform, all derived from a hash of the word
 and j (Ioffe 2010),
-    t = floor(ln w / r + b),    a = c exp(-r (t - b + 1)),
+    t = floor(ln w / r + b),    ln a = ln c - r (t - b + 1),
 and the word with the least a is the sample, with its t. Two bags give the same sample with a
 probability equal to their generalised Jaccard similarity, sum of minima over sum of maxima, so the
 share of equal samples estimates it; its standard error is at most 0.5 / sqrt(SAMPLES).
 
-The gamma values come from uniform ones: r = -ln(u1 u2), of which r (1 - b) = -ln u1 and r b = -ln u2 are
-its two exponential parts, and c = -ln(v1 v2). So a = c u1 (u1 u2) ** t, and t = 0 for a word that
-occurs once, which needs one logarithm.
-
-Every draw is over the whole weighted bag. A code packs a (40 bits, fixed point) over a hash of (word, t)
-(23 bits), so the least code of a bag is its sample. Words are exploded and counted, and the least codes
-are running minima of one hash aggregation by text and group of ``GROUP`` samples (compiled code has a
-size limit), without another shuffle, as texts are dealt by id before. Codes depend on (word, weight)
-alone: those of the ``CACHED`` most frequent pairs of a bounded sample of texts are computed once and
-broadcast (half a KB each), the others where they occur. What is kept there changes the time, not the
-result.
+Every draw is over the whole weighted bag. A code packs ln a over a hash of (word, t), so the least code
+of a bag is its sample. Codes depend on (word, weight) alone, so each distinct pair of a batch is
+computed once. That part runs in numpy on Arrow batches: a form in DataFrame functions did not meet the
+limits (figures in the README). Everything else is DataFrame operations.
 
 Texts are shuffled once, by id; the head that an edit needs comes from the next text in a second, smaller
-shuffle; samples are shuffled as 128 bytes a text.
+shuffle; samples are shuffled as 256 bytes a text.
 
 Defined cases: null text is empty; texts without words have the fingerprint of dots, alike (1) to one
 another and unlike (0) any other; equal texts have equal fingerprints. Rows with one id follow another
@@ -31,77 +24,81 @@ without id are spread over ``SPREAD`` keys. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, prepare
+from .text import mix, word_hashes
 
-SAMPLES, GROUP, CACHED, CACHE_TEXTS, SPREAD = 64, 32, 16384, 4000, 64
+SAMPLES, SPREAD, PAIRS = 128, 64, 1_000_000
 _NONE = -(1 << 63)
-_SIGN = (1 << 23) - 1
-
-
-def words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-
-
-def weighted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, term and weight of each distinct word; a null term stands for blanks, in every text or none."""
-    word = df.select(*keep, F.explode(words(F.col(text))).alias("_w"))
-    term = F.when(F.col("_w") != "", F.xxhash64("_w")).alias("term")
-    return word.select(*keep, term).groupBy(*keep, "term").agg(F.count(F.lit(1)).cast("int").alias("weight"))
-
-
-def code(term: Column, weight: Column, j: Column) -> Column:
-    """The j-th code of a term with a weight."""
-    h = F.xxhash64(term, j)
-    g = F.xxhash64(h)
-    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5
-    high = lambda x: F.shiftrightunsigned(x, 32).cast("double") + 0.5
-    u1, u2 = low(h) * 2.0**-32, high(h) * 2.0**-32
-    a = F.log(F.lit(2.0**64) / (low(g) * high(g))) * u1 * 2.0**34
-    t = F.floor((F.log(weight.cast("double")) - F.log(u2)) / -F.log(u1 * u2))
-    once = F.shiftleft(a.cast("long"), 23).bitwiseOR(g.bitwiseAND(F.lit(_SIGN)))
-    more = F.shiftleft((a * F.pow(u1 * u2, t)).cast("long"), 23).bitwiseOR(F.when(t == 0, g).otherwise(F.xxhash64(g, t)).bitwiseAND(F.lit(_SIGN)))
-    return F.when(weight == 1, once).otherwise(more)
-
-
-def frequent_codes(docs: DataFrame, samples: int) -> DataFrame:
-    """A hash of (pair, group) and the group's codes, of the CACHED most frequent (term, weight) pairs in CACHE_TEXTS texts."""
-    ids = docs.select("key").where(F.col("key") != _NONE).orderBy(F.xxhash64("key"), "key").limit(CACHE_TEXTS)
-    some = docs.join(F.broadcast(ids.distinct()), "key", "left_semi")
-    pairs = weighted(some, "text", ["key", "row"]).where("term is not null").groupBy("term", "weight").count()
-    top = pairs.orderBy(F.desc("count"), "term", "weight").limit(CACHED).repartition("term").select("term", "weight")
-    each = top.select("term", "weight", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
-    coded = each.select(
-        "term", "weight", F.floor(F.col("j") / GROUP).cast("int").alias("group"), F.struct("j", code(F.col("term"), F.col("weight"), F.col("j")).alias("code")).alias("c")
-    )
-    listed = coded.groupBy("term", "weight", "group").agg(F.sort_array(F.collect_list("c"))["code"].alias("codes"))
-    return listed.select(F.xxhash64("term", "weight", "group").alias("pair"), *[F.get("codes", F.lit(j)).alias(f"_c{j}") for j in range(GROUP)])
-
-
-def fingerprint(df: DataFrame, text: str, keep: list[str], cache: DataFrame, samples: int) -> DataFrame:
-    """``keep`` (which tells rows apart), group and signs: the packed samples of a group, null without words.
-
-    One row per text and group; with rows that are dealt by columns of ``keep``, nothing is shuffled.
-    """
-    groups = F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))).alias("group")
-    pairs = weighted(df, text, keep).select(*keep, "term", "weight", groups).withColumn("_pair", F.xxhash64("term", "weight", "group"))
-    met = pairs.join(F.broadcast(cache), F.col("_pair") == F.col("pair"), "left")
-    j = lambda k: F.col("group") * GROUP + k
-    own = lambda k: F.when(F.col("term").isNotNull(), code(F.col("term"), F.col("weight"), j(k)))
-    least = [F.min(F.when(F.col("pair").isNull(), own(k)).otherwise(F.col(f"_c{k}"))).alias(f"_m{k}") for k in range(GROUP)]
-    sign = lambda k: F.col(f"_m{k}").bitwiseAND(F.lit(0xFFFF))
-    pack = lambda k: F.shiftleft(sign(k), 48).bitwiseOR(F.shiftleft(sign(k + 1), 32)).bitwiseOR(F.shiftleft(sign(k + 2), 16)).bitwiseOR(sign(k + 3))
-    return met.groupBy(*keep, "group").agg(*least).select(
-        *keep, "group", F.when(F.col("_m0").isNotNull(), F.array(*[pack(k) for k in range(0, GROUP, 4)])).alias("signs")
-    )
 
 
-def joined(groups: DataFrame, keep: list[str], name: str) -> DataFrame:
-    """The groups of each text put together: ``keep`` and ``name``, null for a text without words."""
-    parts = groups.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("group", "signs")))["signs"].alias("_s"))
-    return parts.select(*keep, F.flatten("_s").alias(name))
+def pair_codes(term: np.ndarray, weight: np.ndarray, j: int, block: int = 8192) -> np.ndarray:
+    """The j-th codes (int64) of (term, weight) pairs: ln a above, a hash of (term, t) below."""
+    out = np.empty(len(term), np.int64)
+    scale, least, one = np.float32(2**-32 * (1 - 2**-23)), np.float32(2**-33), np.float32(1)
+    salt = np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+    def uniform(x, half):
+        return x.view(np.uint32)[half::2].astype(np.float32) * scale + least
+
+    for lo in range(0, len(term), block):  # small enough for the processor's cache
+        h = mix(term[lo : lo + block] ^ salt)
+        g = mix(h + np.uint64(0xD1B54A32D192ED03))
+        e = mix(g + np.uint64(0x8CB92BA72F3D8DD7))
+        r = -np.log(uniform(h, 0) * uniform(h, 1))
+        c = -np.log(uniform(g, 0) * uniform(g, 1))
+        b = uniform(e, 1)
+        t = np.floor(weight[lo : lo + block] / r + b)
+        rank = (np.log(c) - r * (t - b + one)).view(np.int32)
+        rank ^= (rank >> 31) & np.int32(0x7FFFFFFF)  # floats in the order of integers
+        code = out[lo : lo + block]
+        np.left_shift(rank, 32, out=code, dtype=np.int64)
+        code |= e.view(np.uint32)[::2] ^ (t.astype(np.uint32) * np.uint32(0x9E3779B1))
+    return out
+
+
+def signatures(texts: list[str], samples: int = SAMPLES) -> list[np.ndarray | None]:
+    """16 bits of each sample of each text; None for a text without words."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    group: list[tuple[int, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def settle():
+        if not group:
+            return
+        sizes = np.array([len(t) for _, t, _ in group])
+        term, weight = np.concatenate([t for _, t, _ in group]), np.concatenate([w for *_, w in group])
+        _, first, back = np.unique(term ^ mix(weight.astype(np.uint64)), return_index=True, return_inverse=True)
+        order = np.argsort(first)  # in the order of appearance: frequent pairs lie close to each other
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        first, back, starts = first[order], place[back], np.cumsum(sizes) - sizes
+        term, log_weight = term[first], np.log(weight[first].astype(np.float32))
+        signs = np.empty((len(group), samples), np.uint16)
+        for j in range(samples):
+            signs[:, j] = np.minimum.reduceat(pair_codes(term, log_weight, j)[back], starts).astype(np.uint16)
+        for (i, *_), s in zip(group, signs, strict=True):
+            out[i] = s
+        group.clear()
+
+    for i, text in enumerate(texts):
+        h = word_hashes(text)
+        if not len(h):
+            continue
+        term, weight = np.unique(h, return_counts=True)
+        group.append((i, term, weight))
+        held += len(term)
+        if held >= PAIRS:
+            settle()
+            held = 0
+    settle()
+    return out
 
 
 def likeness(a: str, b: str) -> Column:
@@ -135,36 +132,50 @@ def ring(rows: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(tails), "part").withColumn("_f", follows).select("key", "row", F.col("_f.key").alias("of"), F.col("_f.n").alias("need"))
 
 
+def marked(rows: DataFrame, samples: int) -> DataFrame:
+    """key, salt, row, n_chars, edited_sha256, fp and efp of rows with text and head."""
+    schema = "key long, salt long, row long, n_chars long, edited_sha256 string, fp array<long>, efp array<long>"
+    packed = lambda s: None if s is None else s.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            texts, heads = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            edits = [t[: len(t) - len(t) // 2] + h[: len(t) // 2] for t, h in zip(texts, heads, strict=True)]
+            signs = [packed(s) for s in signatures([x for p in zip(texts, edits, strict=True) for x in p], samples)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
+                 pa.array(signs[::2], pa.list_(pa.int64())), pa.array(signs[1::2], pa.list_(pa.int64()))],
+                names=[x.split()[0] for x in schema.split(", ")],
+            )
+
+    return rows.select("key", "salt", "row", "text", "head").mapInArrow(run, schema)
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    ``samples`` is a multiple of GROUP.
+    ``samples`` is a multiple of 4.
     """
-    if samples <= 0 or samples % GROUP:
-        raise ValueError(f"samples come in groups of {GROUP}")
+    if samples <= 0 or samples % 4:
+        raise ValueError("samples come in fours")
     prepare(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(key.alias("key"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     links = checkpoint(ring(rows.select("key", "row", F.char_length("text").alias("n"), F.xxhash64("text").alias("hash"))))
-    cache = checkpoint(frequent_codes(rows, samples))
     salt = F.coalesce(F.when(F.col("key") == _NONE, F.pmod(F.xxhash64("row"), F.lit(SPREAD))), F.lit(0)).cast("long")
     spread = F.explode(F.when(F.col("of") == _NONE, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>"))
-    stands, at = links.withColumn("salt", salt).withColumnRenamed("row", "stand"), ["key", "salt", "row"]
-    # dealt once, and read by all branches: own samples, heads for the key before, and edits
-    dealt = rows.select("key", salt.alias("salt"), "row", "text").repartition("key", "salt")
-    own = joined(fingerprint(dealt, "text", at, cache, samples), at, "fp").repartition("row")  # an exchange that both readers share
-    first = lambda df: df.join(stands.hint("shuffle_hash"), ["key", "salt"]).where("row - stand = 0")  # noqa: E731  no join key: exchanges stay alike
-    heads = first(dealt).select(F.col("of").alias("key"), spread.alias("salt"), F.expr("substring(text, 1, need div 2)").alias("head"))
-    edited = dealt.join(heads.hint("merge"), ["key", "salt"]).select(
-        *at, F.char_length("text").cast("long").alias("n_chars"),
-        F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(head, 1, char_length(text) div 2)")).alias("edited"),
+    stands = links.withColumn("salt", salt)
+    dealt = rows.withColumn("salt", salt).repartition("key", "salt")  # once; both branches below read it
+    # what each key's stand-in gives to the key before it: the head of its text
+    heads = (
+        dealt.join(stands.withColumnRenamed("row", "stand").hint("shuffle_hash"), ["key", "salt"])
+        .where("row - stand = 0")  # not a join key: the branches then share one exchange
+        .select(F.col("of").alias("key"), F.expr("substring(text, 1, need div 2)").alias("head"), spread.alias("salt"))
     )
-    marked = edited.select(*at, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited")
-    keep = [*at, "n_chars", "edited_sha256"]
-    mine = own.withColumnRenamed("row", "_own")
-    done = joined(fingerprint(marked, "edited", keep, cache, samples), keep, "efp").join(mine.hint("merge"), ["key", "salt"]).where("row - _own = 0")
-    given = first(own).select(F.col("of").alias("key"), spread.alias("salt"), F.col("fp").alias("next_fp"))
+    done = checkpoint(marked(dealt.join(heads.hint("merge"), ["key", "salt"]), samples))
+    given = done.join(stands.hint("shuffle_hash"), ["key", "salt", "row"]).select(F.col("of").alias("key"), F.col("fp").alias("next_fp"), spread.alias("salt"))
     return done.join(given, ["key", "salt"]).select(
         F.when(F.col("key") != _NONE, F.col("key")).alias("doc_id"),
         "n_chars",
