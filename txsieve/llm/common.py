@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not spark.sparkContext.master.startswith("local"):
+        if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
@@ -40,6 +42,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again: their size is known to the optimiser."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, keep) -> DataFrame:
     """At most ``per_class`` labelled ids of each class: (doc_id, label), in hash order.
 

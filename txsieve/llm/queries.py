@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, topk_search, toxicity, url_filter
+from . import fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, quality_rules, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 #: Target weights of the mix; every other source has weight 1.
@@ -69,6 +69,10 @@ def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +92,7 @@ QUERIES = {
         op8_pii_semi_markov,
         op9_bayes_jaccard_join,
         op10_pivot_top_k,
+        op11_adaptive_rules,
         pipeline,
     )
 }
@@ -97,4 +102,5 @@ ORACLE_SQL = {
     "op5_pfair_mixing": mixing.mix_oracle(MIX_WEIGHTS),
     "op9_bayes_jaccard_join": ngram_join.ORACLE,
     "op10_pivot_top_k": topk_search.ORACLE,
+    "op11_adaptive_rules": quality_rules.ORACLE,
 }
