@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, quality_rules, topk_search, toxicity, url_filter
+from . import collocations, fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, quality_rules, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 #: Target weights of the mix; every other source has weight 1.
@@ -73,6 +73,10 @@ def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +97,7 @@ QUERIES = {
         op9_bayes_jaccard_join,
         op10_pivot_top_k,
         op11_adaptive_rules,
+        op13_collocations,
         pipeline,
     )
 }
@@ -103,4 +108,5 @@ ORACLE_SQL = {
     "op9_bayes_jaccard_join": ngram_join.ORACLE,
     "op10_pivot_top_k": topk_search.ORACLE,
     "op11_adaptive_rules": quality_rules.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
