@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprint, license_scan, mixing, ngram_join, packing, pii, quality, quality_rules, topk_search, toxicity, url_filter
+from . import collocations, fingerprint, hard_negatives, license_scan, mixing, ngram_join, packing, pii, quality, quality_rules, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 #: Target weights of the mix; every other source has weight 1.
@@ -73,6 +73,11 @@ def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
         op9_bayes_jaccard_join,
         op10_pivot_top_k,
         op11_adaptive_rules,
+        op12_hard_negatives,
         op13_collocations,
         pipeline,
     )
@@ -108,5 +114,6 @@ ORACLE_SQL = {
     "op9_bayes_jaccard_join": ngram_join.ORACLE,
     "op10_pivot_top_k": topk_search.ORACLE,
     "op11_adaptive_rules": quality_rules.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }

@@ -38,12 +38,12 @@ K, PIVOTS, QUERY_BLOCK, ROW_BLOCK, PIVOT_SAMPLE = 5, 48, 1024, 4096, 4000
 OUT = "query_id long, vec_id long, score long"
 
 
-def integer_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and vec (array of long) of the rows that take part."""
+def integer_vectors(table: DataFrame, *others: str) -> DataFrame:
+    """vec_id, vec (array of long) and other columns of the rows that take part."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     return table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(
-        F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).cast("array<bigint>").alias("vec")
+        F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).cast("array<bigint>").alias("vec"), *others
     )
 
 
