@@ -50,12 +50,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(labels: DataFrame, label: str, per_class: int, keep) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class: (doc_id, label), in hash order.
+def labelled_sample(labels: DataFrame, label: str, per_class: int | tuple[int, int], keep) -> DataFrame:
+    """At most ``per_class`` labelled ids of each class (or so many of 0 and of 1): (doc_id, label), in hash order.
 
     ``keep`` is the condition that admits a row to training. One label per id is used, the
     smallest; rows with a null id or a label other than 0 and 1 are left out. The result has
-    at most 2 * per_class rows, which is the bound for broadcasting it.
+    at most 2 * per_class rows (or their sum), which is the bound for broadcasting it.
     """
     one = (
         labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -63,7 +63,8 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep) -> Data
         .agg(F.min(label).cast("int").alias("label"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [one.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    most = per_class if isinstance(per_class, tuple) else (per_class, per_class)
+    parts = [one.where(F.col("label") == c).orderBy(*order).limit(n) for c, n in enumerate(most)]
     return parts[0].unionByName(parts[1])
 
 

@@ -15,7 +15,7 @@ fitted on margins of texts that the table of their fold was not trained on.
 The model is linear after the mean, so scoring needs one number per distinct word; they are kept in a
 bounded table per Python worker.
 
-Labels: a bounded sample (``per_class`` texts of each class, in hash order) trains on the driver, on
+Labels: a bounded sample (``PER_CLASS`` texts of the classes 0 and 1, in hash order) trains on the driver, on
 the whole texts' word counts. Every whole text is scored.
 
 Defined cases: null and empty texts, and texts without words, score as the clean class does without
@@ -39,15 +39,12 @@ from .common import labelled_sample, prepare
 from .text import mix
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAMS, BUCKETS, CACHE = (3, 4, 5), 1 << 18, 300_000
+GRAMS, BUCKETS, CACHE, PER_CLASS = (3, 4, 5), 1 << 18, 300_000, (2000, 1000)
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters of the lower-cased text; a word that repeats the one before it counts once."""
-    if not text:
-        return []
-    w = WORD.findall(text.lower())
-    return [x for x, y in zip(w, [None, *w], strict=False) if x != y]
+    """Runs of letters of the lower-cased text."""
+    return WORD.findall(text.lower()) if text else []
 
 
 def subwords(vocabulary: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,8 +222,8 @@ class SubwordSoftmax:
             length = np.linalg.norm(new, axis=1)
             new *= np.maximum(0, 1 - pace * self.penalty / np.maximum(length, 1e-300))[:, None]
             new_b = ahead_b + 0.5 * g.sum() * np.array([-1.0, 1.0])
-            pull = e.T @ back
-            w += 0.01 * np.outer(pull / max(1e-12, np.linalg.norm(pull)), [-1.0, 1.0])
+            # the softmax follows its own gradient; its scale is fixed, as that of the embeddings is free
+            w += pace * np.outer(ahead.T @ back, [-1.0, 1.0])
             w /= np.linalg.norm(w[:, 1] - w[:, 0])
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             ahead, ahead_b = new + (t - 1) / t_new * (new - e), new_b + (t - 1) / t_new * (new_b - b)
@@ -286,15 +283,15 @@ def training_bags(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int = 1000, **settings) -> SubwordSoftmax:
-    """Fit on at most per_class labelled texts of each class."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: tuple[int, int] = PER_CLASS, **settings) -> SubwordSoftmax:
+    """Fit on at most so many labelled texts of class 0 and of class 1: the rare subwords of clean texts need more of them."""
     prepare(docs.sparkSession)
     model = SubwordSoftmax(**settings)
     sample = labelled_sample(labels, label, per_class, keep)
     rows = (
         training_bags(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "words", "counts")
-        .limit(2 * per_class)
+        .limit(sum(per_class))
         .collect()
     )
     y = np.array([r.label for r in rows], float)
@@ -310,10 +307,10 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> Dat
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
-            texts = [words(t) for t in batch.column(1).to_pylist()] if model.constant is None else [[]] * batch.num_rows
-            means = np.zeros(len(texts))
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
+            means, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for lo in range(0, batch.num_rows if model.constant is None else 0, 256):
+                part = [words(t) for t in batch.column(1).slice(lo, 256).to_pylist()]
+                sizes[lo : lo + len(part)] = [len(t) for t in part]
                 if len(known) > CACHE:
                     known.clear()
                 fresh = list({w for t in part for w in t}.difference(known))
@@ -321,7 +318,7 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = 0.7) -> Dat
                     known.update(zip(fresh, model.word_scores(fresh).tolist(), strict=True))
                 for i, t in enumerate(part):
                     means[lo + i] = sum(map(known.__getitem__, t)) / len(t) if t else 0.0
-            s = model.score(means, np.array([len(t) for t in texts], float))
+            s = model.score(means, sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
