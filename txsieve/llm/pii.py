@@ -268,8 +268,8 @@ def decode(segments: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def field_spans(text: str, taken: list[tuple[int, int]], w: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """What the field finds beside the ``taken`` spans, which are sorted."""
+def field_spans(text: str, taken: list[tuple[int, int]], w: np.ndarray, margin: float = 0.0) -> list[tuple[int, int, int, float]]:
+    """What the field finds beside the ``taken`` spans, which are sorted; a segment's score is what it has over ``margin``."""
     taken_ends = list(itertools.accumulate((b for _, b in taken), max))
     starts = [a for a, _ in taken]
 
@@ -281,7 +281,7 @@ def field_spans(text: str, taken: list[tuple[int, int]], w: np.ndarray) -> list[
     found = filter(free, candidates(text))
     while block := list(itertools.islice(found, BLOCK)):
         lattice = Lattice(block)
-        sc = lattice.scores(w)
+        sc = lattice.scores(w) - margin
         kind, top = sc.argmax(1), sc.max(1)
         kept += [(*lattice.segments[k], int(kind[k]), float(top[k])) for k in np.flatnonzero(top > 0)]
     return decode(kept)
@@ -387,7 +387,7 @@ def find(text: str | None, w: np.ndarray, margin: float = 0.5) -> tuple[dict, li
     base = base_spans(text)
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
     taken = sorted((a, b) for _, a, b in spans)
-    spans += [(KINDS[k], a, b) for a, b, k, score in field_spans(text, taken, w) if score >= margin]
+    spans += [(KINDS[k], a, b) for a, b, k, _ in field_spans(text, taken, w, margin)]
     return base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
