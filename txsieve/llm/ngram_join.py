@@ -38,13 +38,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, prepare
+from .common import checkpoint, components, prepare, written
 from .text import mix, shingle_hashes, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 32, 6
@@ -345,10 +346,18 @@ def near_copies(
 
 
 def dedupe(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows with a null id stay."""
-    keep = near_copies(docs, **settings).where("doc_id = group_id").select("doc_id")
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group of linked texts, whatever their ids: the one with the smallest id.
+
+    Rows are compared by numbers of their own, so repeated ids, null ids (which come last) and identical rows
+    are compared as all others are. Columns of any name stay as they are.
+    """
+    number, keep = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names that no column has
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    texts = numbered.select(F.col(number).alias("doc_id"), "text")
+    groups = near_copies(texts, **settings).select(F.col("doc_id").alias(number), "group_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(number).alias("row")))
+    kept = numbered.select(number, "doc_id").join(groups, number).groupBy("group_id").agg(first.alias("f")).select(F.col("f.row").alias(keep))
+    return numbered.join(kept, F.col(number) == F.col(keep), "left_semi").select(*docs.columns)
 
 
 #: DuckDB: every pair of texts by brute force, groups by walking the links.
