@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from txsieve.schema import CANONICAL, LISTS
 
 REQUIRED = ("event_id", "txid", "timestamp", "src_ip", "dst_ip")
-RAW_LIMIT = 500
 
 
 def text_list(c: str, pipes: bool) -> Column:
@@ -34,13 +33,13 @@ def number(c: Column) -> Column:
 
 
 def canonicalize(raw: DataFrame, batch_id: str = "batch_canonical") -> DataFrame:
-    """Raw rows (text, or lists) with canonical columns beside: ``raw`` keeps the row's text, ``reasons`` why it fails."""
+    """Raw rows (text, or lists) with canonical columns beside: ``raw`` keeps the whole row as JSON, ``reasons`` why it fails."""
     kinds = dict(raw.dtypes)
     for name in (f.name for f in CANONICAL if f.name not in ("source_batch_id", "ingest_time")):
         if name not in kinds:
             raw = raw.withColumn(name, F.lit(None).cast("array<string>" if name in LISTS else "string"))
     kinds = dict(raw.dtypes)
-    df = raw.select(F.substring(F.to_json(F.struct(*raw.columns)), 1, RAW_LIMIT).alias("raw"), "*")
+    df = raw.select(F.to_json(F.struct(*raw.columns)).alias("raw"), "*")
     lists = {c: text_list(c, not kinds[c].startswith("array")) for c in LISTS}
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     amounts = {c: F.transform(lists[c], number) for c in ("input_amounts", "output_amounts")}
