@@ -14,17 +14,14 @@ from . import rolling, rows
 def with_features(df: DataFrame, lineage_ttl_seconds: float | None = None) -> DataFrame:
     """The canonical columns, ts_us, entity, lineage and all features.
 
-    The canonical rows with their row-local features are written once; every group is computed from that
-    table with the columns it needs, and the groups meet again on event_id.
+    The canonical rows with their row-local features are written once; the rest is computed from narrow rows
+    and joins them on event_id.
     """
     base = cut(rows.with_row_features(rows.with_order(df)))
-    slim = base.select("event_id", "txid", "ts_us", "entity", "raw_out", "src_ip", "dst_ip", "src_port", "dst_port", "asn", "geo_country", "input_addresses", "output_addresses")
-    temporal = rolling.with_temporal(rolling.with_lineage(slim, lineage_ttl_seconds))
-    temporal = cut(temporal.select("event_id", "chain_parent", "chain_interval", "chain_hops", *GROUPS["TEMPORAL"]))
-    network = rolling.with_network(slim).select("event_id", *[n for n in GROUPS["NETWORK"] if n != "unique_ips"])
-    entity = rolling.with_entity(slim.join(temporal.select("event_id", "tx_count_1h"), "event_id"))
-    entity = entity.select("event_id", *GROUPS["ENTITY"])
-    return base.join(temporal, "event_id").join(network, "event_id").join(entity, "event_id")
+    slim, parts = rolling.with_history(base, lineage_ttl_seconds)
+    full = rolling.with_entity(rolling.with_network(rolling.with_temporal(slim, parts), parts))
+    groups = dict.fromkeys(n for g in ("TEMPORAL", "NETWORK", "ENTITY") for n in GROUPS[g])
+    return base.join(full.select("event_id", "chain_parent", "chain_interval", "chain_hops", *groups), "event_id")
 
 
 def feature_table(df: DataFrame, **settings) -> DataFrame:

@@ -1,7 +1,7 @@
 """Window, cumulative and lineage features.
 
 All windows follow one total order, (ts_us, txid, event_id). Trailing windows include their far edge and
-the row itself, but not later rows of the same instant, so these are taken off again.
+the row itself, but not later rows of the same instant. Sums over keys are two-level scans, so no task holds a key.
 """
 
 from __future__ import annotations
@@ -12,40 +12,13 @@ from pyspark.sql import functions as F
 from txsieve.functions.scalars import usable_ip
 from txsieve.functions.session import cut
 
-ORDER = ("ts_us", "txid", "event_id")
-MIN5, HOUR, DAY = 300_000_000, 3_600_000_000, 86_400_000_000
-
-
-def _later_peers(*keys):
-    return Window.partitionBy(*keys, "ts_us").orderBy("txid", "event_id").rowsBetween(1, Window.unboundedFollowing)
-
-
-def trailing(keys: list, span: int, what: Column | None = None) -> Column:
-    """count(*) or sum(what) over [ts_us - span, ts_us] of the same keys, up to this row."""
-    over = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-span, 0)
-    if what is None:
-        return F.count(F.lit(1)).over(over) - F.count(F.lit(1)).over(_later_peers(*keys))
-    return F.sum(what).over(over) - F.coalesce(F.sum(what).over(_later_peers(*keys)), F.lit(0.0))
-
-
-def so_far(*keys):
-    return Window.partitionBy(*keys).orderBy(*ORDER)
-
-
-def cumulative(*keys):
-    return so_far(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
+from .scan import ORDER, Parts, gathered, histories, scan, trailing
 
-def median(xs: Column) -> Column:
-    """Median of an array; null for an empty one."""
-    s = F.sort_array(xs)
-    n = F.size(xs)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+MIN5, HOUR, DAY = 300_000_000, 3_600_000_000, 86_400_000_000
 
 
-def first_seen(keys: list, value: Column) -> Column:
-    """1 where ``value`` occurs for the first time within the keys."""
-    return F.when(F.row_number().over(Window.partitionBy(*keys, value).orderBy(*ORDER)) == 1, 1).otherwise(0)
+def near_parent() -> Column:
+    return F.col("chain_parent").isNotNull() & (F.col("chain_interval") <= 300)
 
 
 def parents(df: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
@@ -108,164 +81,135 @@ def with_lineage(df: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
     )
 
 
-def with_temporal(df: DataFrame) -> DataFrame:
-    """Trailing counts and volumes, gaps between transactions, burst and velocity, history."""
-    e, amount = ["entity"], F.col("raw_out")
-    near = F.col("chain_parent").isNotNull() & (F.col("chain_interval") <= 300)
-    df = df.withColumns(
+def entity_history(df: DataFrame) -> DataFrame:
+    """event_id, k, first_ts, new counts and sums, gaps and order statistics: all that follows an entity's rows in order.
+
+    ``df``: slim rows with lineage and ``part``.
+    """
+    amount, ones = F.col("raw_out"), F.lit(1)
+    rows = df.select(*ORDER, "part", "entity", "raw_out", "src_ip", "asn", "geo_country", "output_addresses", (near_parent() & (F.col("chain_hops") > 1)).alias("near"), "chain_hops")
+    # first occurrences of a value in an entity: the rows of (entity, value), counted
+    firsts = []
+    for name, value in (("asn", F.coalesce("asn", F.lit("unknown_asn"))), ("cc", F.coalesce("geo_country", F.lit("unknown"))), ("ip", F.coalesce("src_ip", F.lit("unknown_ip")))):
+        seen = scan(rows.select(*ORDER, "part", "entity", value.alias("v")), ["entity", "v"], {"n": ones})
+        firsts.append(seen.select("event_id", F.when(F.col("n") == 1, 1).otherwise(0).alias(f"new_{name}"), F.col("n").alias(f"n_{name}")))
+    given = rows.select(*ORDER, "part", "entity", F.explode(F.array_distinct("output_addresses")).alias("v")).where("v <> ''")
+    seen = scan(given, ["entity", "v"], {"n": ones}).groupBy("event_id").agg(F.count_if(F.col("n") == 1).alias("new_address"))
+    news = gathered([*firsts, seen])
+    rows = rows.join(news, "event_id", "left")
+    up = scan(
+        rows, ["entity"],
         {
-            "_n5": trailing(e, MIN5), "_n1": trailing(e, HOUR), "_n24": trailing(e, DAY),
-            "_v5": trailing(e, MIN5, amount), "_v1": trailing(e, HOUR, amount), "_v24": trailing(e, DAY, amount),
-            "_gap": (F.col("ts_us") - F.lag("ts_us").over(so_far("entity"))) / 1e6,
-            "_k": F.row_number().over(so_far("entity")),
-        }
+            "k": ones, "entity_sum": amount, "asns": F.col("new_asn"), "countries": F.col("new_cc"), "ips": F.col("new_ip"),
+            "addresses": F.coalesce("new_address", F.lit(0)), "squares": 2 * F.col("n_asn") - 1,
+        },
+        before={"last_ts": "ts_us"},
     )
-    last100 = so_far("entity").rowsBetween(-99, 0)
-    inherited = F.when((F.col("_k") == 1) & near, F.col("chain_hops") - 1).otherwise(0)
-    df = df.withColumns(
-        {
-            "_mean": F.avg("_gap").over(last100),
-            "_gaps": F.collect_list("_gap").over(last100),
-            "_h0": F.first(inherited).over(cumulative("entity")),
-        }
-    )
-    df = df.withColumn("_median", median(F.col("_gaps")))
+    # what the first row of an entity says, carried on: its time, and the hops that it inherits
+    first = F.col("k") == 1
+    up = scan(up, ["entity"], {"first_ts": F.when(first, F.col("ts_us")).otherwise(0), "inherited": F.when(first & F.col("near"), F.col("chain_hops") - 1).otherwise(0)})
+    up = cut(up.select("event_id", "ts_us", "entity", "raw_out", "k", "entity_sum", "asns", "countries", "ips", "addresses", "squares", "first_ts", "inherited", (F.col("ts_us") - F.col("last_ts")).alias("gap_us")))
+    statistics = histories(up.withColumn("amount", F.col("raw_out")), "entity")
+    return gathered([up.drop("ts_us", "entity", "raw_out", "gap_us"), statistics])
+
+
+def with_history(df: DataFrame, lineage_ttl_seconds: float | None = None) -> tuple[DataFrame, Parts]:
+    """Slim rows with lineage, part and entity_history, and the cuts of the order."""
+    parts = Parts(df)
+    slim = df.select("event_id", "txid", "ts_us", "entity", "raw_out", "src_ip", "dst_ip", "src_port", "dst_port", "asn", "geo_country", "input_addresses", "output_addresses")
+    slim = cut(with_lineage(slim, lineage_ttl_seconds).withColumn("part", parts.column()))
+    return slim.drop("input_addresses", "output_addresses").join(entity_history(slim), "event_id"), parts
+
+
+def with_temporal(df: DataFrame, parts: Parts) -> DataFrame:
+    """Trailing counts and volumes, gaps between transactions, burst and velocity, history.
+
+    ``df``: rows with lineage and entity_history. Volumes are summed as decimals of eight digits, so what has left a window
+    leaves no rounding behind.
+    """
+    amount, one = F.col("raw_out").cast("decimal(30, 8)"), F.lit(1)
+    spans = {"_n5": (MIN5, one, None), "_n1": (HOUR, one, None), "_n24": (DAY, one, None), "_v5": (MIN5, amount, None), "_v1": (HOUR, amount, None), "_v24": (DAY, amount, None)}
+    df = df.join(trailing(df, "entity", spans, parts), "event_id")
+    near = near_parent()
     chain = F.when(F.col("chain_interval") > 0, F.col("chain_interval")).otherwise(0.0)
     n5 = F.when(near, F.greatest(F.col("_n5"), F.col("chain_hops"))).otherwise(F.col("_n5")).cast("double")
-    n1, v1 = F.col("_n1").cast("double"), F.greatest(F.col("_v1"), F.lit(0.0))
-    v5 = F.greatest(F.col("_v5"), F.lit(0.0))
-    history = (F.col("_k") - 1 + F.col("_h0")).cast("double")
+    n1 = F.col("_n1").cast("double")
+    v5, v1, v24 = (F.greatest(F.col(v).cast("double"), F.lit(0.0)) for v in ("_v5", "_v1", "_v24"))
+    history = (F.col("k") - 1 + F.col("inherited")).cast("double")
     return df.withColumns(
         {
             "tx_count_5m": n5, "tx_count_1h": n1, "tx_count_24h": F.col("_n24").cast("double"),
-            "volume_5m": F.round(v5, 8), "volume_1h": F.round(v1, 8), "volume_24h": F.round(F.greatest("_v24", F.lit(0.0)), 8),
-            "mean_interarrival": F.round(F.coalesce("_mean", chain, F.lit(0.0)), 2),
-            "median_interarrival": F.round(F.coalesce("_median", chain, F.lit(0.0)), 2),
+            "volume_5m": F.round(v5, 8), "volume_1h": F.round(v1, 8), "volume_24h": F.round(v24, 8),
+            "mean_interarrival": F.round(F.coalesce("gap_mean", chain, F.lit(0.0)), 2),
+            "median_interarrival": F.round(F.coalesce("gap_median", chain, F.lit(0.0)), 2),
             "burst_score": F.round(F.when(n1 > 1, 12 * n5 / n1).when(near & (n5 >= 2), 2 * n5).otherwise(1.0), 4),
             "velocity_ratio": F.when(v1 > 1e-12, 12 * v5 / v1).otherwise(1.0),
             "history_count": history,
             "baseline_stability": F.round(F.least(F.lit(1.0), history / 15), 4),
         }
-    ).drop("_n5", "_n1", "_n24", "_v5", "_v1", "_v24", "_gap", "_gaps", "_k", "_mean", "_median", "_h0")
+    ).drop(*spans)
 
 
-def trailing_distinct(df: DataFrame, key: str, value: str, span: int, name: str) -> DataFrame:
-    """(event_id, name): distinct values of the same key in [ts_us - span, ts_us], up to each row.
+def by_address(df: DataFrame, parts: Parts) -> DataFrame:
+    """(event_id, ...): rows and distinct entities of the same IP within an hour and a day, up to each row.
 
-    A row counts until its value comes again or its time is up. Arrivals (+1 unless the value is still
-    counted) and departures (-1) are summed up in order: no list of the window is ever held.
+    An entity counts until it comes again or its time is up.
     """
-    same = Window.partitionBy(key, value).orderBy(*ORDER)
-    rows = df.where(F.col(key).isNotNull()).select(
-        *ORDER, F.col(key).alias("k"),
-        (F.col("ts_us") - F.lag("ts_us").over(same)).alias("since"), (F.lead("ts_us").over(same) - F.col("ts_us")).alias("till"),
-    )
-    come = rows.select(*ORDER, "k", F.lit(0).alias("late"), F.when(F.col("since") <= span, 0).otherwise(1).alias("step"))
-    go = rows.where((F.col("till").isNull()) | (F.col("till") > span)).select(
-        (F.col("ts_us") + span).alias("ts_us"), "txid", "event_id", "k", F.lit(1).alias("late"), F.lit(-1).alias("step")
-    )
-    order = Window.partitionBy("k").orderBy("ts_us", "late", "txid", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        come.unionByName(go).withColumn(name, F.sum("step").over(order).cast("double")).where("late = 0").select("event_id", name)
-    )
-
-
-def running_count(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """(event_id, name): rows with this key so far. Hour totals first, so a hot key spreads over hours."""
-    rows = df.select(*ORDER, key.alias("k"), F.floor(F.col("ts_us") / HOUR).alias("hour"))
-    totals = rows.groupBy("k", "hour").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("k").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("k", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("k", "hour").orderBy(*ORDER)
-    return (
-        rows.withColumn("i", F.row_number().over(inside))
-        .join(totals, ["k", "hour"])
-        .select("event_id", (F.col("before") + F.col("i")).cast("double").alias(name))
-    )
+    rows = df.select(*ORDER, "part", "entity", usable_ip(F.col("src_ip")).alias("ip")).where("ip is not null")
+    rows = scan(rows, ["ip", "entity"], before={"last": "ts_us"}, after={"next": "ts_us"})
+    spans, one = {}, F.lit(1)
+    for n, span in (("1", HOUR), ("24", DAY)):
+        spans[f"_i{n}"] = (span, one, None)
+        comes = F.when(F.col("ts_us") - F.col("last") <= span, 0).otherwise(1)
+        goes = F.when(F.col("next") - F.col("ts_us") <= span, 0).otherwise(1)
+        spans[f"_u{n}"] = (span, comes, goes)
+    return trailing(rows, "ip", spans, parts)
 
 
-def trailing_counts(df: DataFrame, key: str, spans: dict[str, int]) -> DataFrame:
-    """(event_id, name, ...): rows of the same key in [ts_us - span, ts_us], up to each row.
+def with_network(df: DataFrame, parts: Parts) -> DataFrame:
+    """Reuse of addresses and endpoints, distinct entities behind an IP, lifetime counts.
 
-    Arrivals less departures, summed up in order: a hot key costs a sort, not a scan of its window per row.
+    ``df``: rows with ``part`` and entity_history.
     """
-    rows = df.where(F.col(key).isNotNull()).select(*ORDER, F.col(key).alias("k"))
-    come = rows.select(*ORDER, "k", F.lit(0).alias("late"), *[F.lit(1).alias(n) for n in spans])
-    both = come
-    for name, span in spans.items():
-        steps = [F.lit(-1 if n == name else 0).alias(n) for n in spans]
-        both = both.unionByName(rows.select((F.col("ts_us") + span).alias("ts_us"), "txid", "event_id", "k", F.lit(1).alias("late"), *steps))
-    order = Window.partitionBy("k").orderBy("ts_us", "late", "txid", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    sums = both.withColumns({n: F.sum(n).over(order).cast("double") for n in spans})
-    return sums.where("late = 0").select("event_id", *spans)
-
-
-def with_network(df: DataFrame) -> DataFrame:
-    """Reuse of addresses and endpoints, distinct entities behind an IP, lifetime counts."""
-    base = df.withColumns({"_ip": usable_ip(F.col("src_ip")), "_cc": F.coalesce("geo_country", F.lit("unknown"))})
-    df = df.withColumns({"_ip": usable_ip(F.col("src_ip")), "_asn": F.coalesce("asn", F.lit("unknown_asn")), "_cc": F.coalesce("geo_country", F.lit("unknown"))})
-    ok = F.col("_ip").isNotNull()
-    base = base.withColumn("_pair", F.when(ok & usable_ip(F.col("dst_ip")).isNotNull(), F.concat_ws("|", "_ip", "dst_ip")))
-    by_ip = trailing_counts(base, "_ip", {"_i1": HOUR, "_i24": DAY})
-    by_pair = trailing_counts(base, "_pair", {"_e1": HOUR, "_e24": DAY})
-    df = df.join(by_ip, "event_id", "left").join(by_pair, "event_id", "left")
-    df = df.withColumns(
-        {
-            "ip_reuse_count": F.coalesce(F.col("_i1") - 1, F.lit(0.0)),
-            "ip_reuse_count_24h": F.coalesce(F.col("_i24") - 1, F.lit(0.0)),
-            "endpoint_recurrence": F.coalesce("_e1", F.lit(1.0)),
-            "endpoint_recurrence_24h": F.coalesce("_e24", F.lit(1.0)),
-            "_fa": first_seen(["entity"], F.col("_asn")),
-            "_fc": first_seen(["entity"], F.col("_cc")),
-            "_rn": F.row_number().over(Window.partitionBy("entity", "_asn").orderBy(*ORDER)),
-            "_k": F.row_number().over(so_far("entity")),
-        }
-    )
-    up = cumulative("entity")
-    df = df.withColumns(
+    ip, other, one = usable_ip(F.col("src_ip")), usable_ip(F.col("dst_ip")), F.lit(1)
+    pairs = df.select(*ORDER, F.when(ip.isNotNull() & other.isNotNull(), F.concat_ws("|", ip, other)).alias("pair"))
+    found = [by_address(df, parts), trailing(pairs, "pair", {"_e1": (HOUR, one, None), "_e24": (DAY, one, None)}, parts)]
+    lifetime = {"country_count": F.coalesce("geo_country", F.lit("unknown")), "src_port_frequency": F.coalesce("src_port", F.lit(0)), "dst_port_frequency": F.coalesce("dst_port", F.lit(0))}
+    for name, value in lifetime.items():
+        found.append(scan(df.select(*ORDER, "part", value.alias("v")), ["v"], {name: one}).select("event_id", name))
+    df = df.join(gathered(found), "event_id", "left")
+    number = lambda c, otherwise: F.coalesce(F.col(c).cast("double"), F.lit(otherwise))
+    return df.withColumns(
         {
-            "unique_asns": F.sum("_fa").over(up).cast("double"),
-            "unique_countries": F.sum("_fc").over(up).cast("double"),
-            "asn_concentration": F.round(F.sum(2 * F.col("_rn") - 1).over(up) / (F.col("_k") * F.col("_k")), 4),
+            "ip_reuse_count": number("_i1", 1.0) - 1, "ip_reuse_count_24h": number("_i24", 1.0) - 1,
+            "endpoint_recurrence": number("_e1", 1.0), "endpoint_recurrence_24h": number("_e24", 1.0),
+            "unique_addresses_per_ip": number("_u1", 1.0), "unique_addresses_per_ip_24h": number("_u24", 1.0),
+            "unique_asns": F.col("asns").cast("double"), "unique_countries": F.col("countries").cast("double"),
+            "asn_concentration": F.round(F.col("squares") / (F.col("k") * F.col("k")), 4),
+            **{n: F.col(n).cast("double") for n in lifetime},
         }
-    )
-    for name, span in (("unique_addresses_per_ip", HOUR), ("unique_addresses_per_ip_24h", DAY)):
-        df = df.join(trailing_distinct(base, "_ip", "entity", span, name), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
-    for name, key in (("country_count", F.col("_cc")), ("src_port_frequency", F.coalesce("src_port", F.lit(0))), ("dst_port_frequency", F.coalesce("dst_port", F.lit(0)))):
-        df = df.join(running_count(base, key, name), "event_id")
-    return df.drop("_ip", "_asn", "_cc", "_i1", "_i24", "_e1", "_e24", "_fa", "_fc", "_rn", "_k")
+    ).drop("_i1", "_i24", "_u1", "_u24", "_e1", "_e24")
 
 
 def with_entity(df: DataFrame) -> DataFrame:
-    """Cumulative and robust history of the entity."""
-    e, x = so_far("entity"), F.col("raw_out")
-    seen = df.select(*ORDER, "entity", F.explode(F.array_distinct("output_addresses")).alias("address")).where("address <> ''")
-    new = seen.withColumn("new", first_seen(["entity"], F.col("address"))).groupBy("event_id").agg(F.sum("new").alias("_new"))
-    df = df.join(new, "event_id", "left").withColumn("_ip1", first_seen(["entity"], F.coalesce("src_ip", F.lit("unknown_ip"))))
-    prior = e.rowsBetween(-200, -1)
-    df = df.withColumns(
-        {
-            "entity_tx_count": F.row_number().over(e).cast("double"),
-            "entity_volume": F.round(F.sum(x).over(cumulative("entity")), 8),
-            "entity_age_seconds": F.round((F.col("ts_us") - F.min("ts_us").over(cumulative("entity"))) / 1e6, 2),
-            "unique_counterparties": F.sum(F.coalesce("_new", F.lit(0))).over(cumulative("entity")).cast("double"),
-            "unique_ips": F.sum("_ip1").over(cumulative("entity")).cast("double"),
-            "_list": F.collect_list(x).over(prior),
-        }
-    )
-    df = df.withColumn("_med", median(F.col("_list")))
-    df = df.withColumn("_gaps", F.transform("_list", lambda v: F.abs(v - F.col("_med"))))
-    df = df.withColumn("_mad", F.when(F.size("_list") >= 2, median(F.col("_gaps"))).otherwise(0.0)).withColumn("_med", F.coalesce("_med", x))
-    scale = 1.4826 * F.col("_mad")
-    done, age = F.col("entity_tx_count") - 1, F.col("entity_age_seconds")
+    """Cumulative and robust history of the entity. ``df``: rows with entity_history and tx_count_1h."""
+    x, mad = F.col("raw_out"), F.coalesce("amount_mad", F.lit(0.0))
+    middle, scale = F.coalesce("amount_median", F.col("raw_out")), 1.4826 * mad
+    age = F.round((F.col("ts_us") - F.col("first_ts")) / 1e6, 2)
+    done = (F.col("k") - 1).cast("double")
     rate = done * 3600 / age
     return df.withColumns(
         {
-            "historical_median_amount": F.round("_med", 8),
-            "historical_MAD_amount": F.round("_mad", 8),
-            "baseline_deviation": F.round(F.when(scale > 1e-6, F.abs(x - F.col("_med")) / scale).otherwise(0.0), 4),
+            "entity_tx_count": F.col("k").cast("double"),
+            "entity_volume": F.round("entity_sum", 8),
+            "entity_age_seconds": age,
+            "unique_counterparties": F.col("addresses").cast("double"),
+            "unique_ips": F.col("ips").cast("double"),
+            "historical_median_amount": F.round(middle, 8),
+            "historical_MAD_amount": F.round(mad, 8),
+            "baseline_deviation": F.round(F.when(scale > 1e-6, F.abs(x - middle) / scale).otherwise(0.0), 4),
             "activity_change": F.round(
                 F.when((age >= 3600) & (done >= 2), F.when(rate > 1e-4, F.col("tx_count_1h") / rate).otherwise(1.0)).otherwise(1.0), 4
             ),
         }
-    ).drop("_new", "_ip1", "_list", "_med", "_gaps", "_mad")
+    )

@@ -53,14 +53,20 @@ def _r(names, digits: int = 4, t: str = "") -> str:
 _shared: dict = {}
 
 
+def file_status(spark: SparkSession, path: str):
+    """Size and time of a file as its file system lists it; None if it is gone. No row is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    status = fs.getFileStatus(at)
+    return status.getLen(), status.getModificationTime()
+
+
 def inputs_digest(spark: SparkSession, sf_dir: str) -> str:
     """Names, sizes and times of the files that the fixture reads."""
-    m = "_metadata."
-    rows = [
-        str(r) for t in fixture.TABLES
-        for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(f"{m}file_path", f"{m}file_size", f"{m}file_modification_time").distinct().orderBy("file_path").collect()
-    ]
-    return hashlib.sha256("".join(rows).encode()).hexdigest()
+    files = sorted(f for t in fixture.TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles())
+    return hashlib.sha256(str([(f, file_status(spark, f)) for f in files]).encode()).hexdigest()
 
 
 def shared(name: str, spark: SparkSession, sf_dir: str, make):
@@ -79,14 +85,7 @@ def shared(name: str, spark: SparkSession, sf_dir: str, make):
 def readable(tables) -> bool:
     """The tables' files are still there."""
     frames = tables.values() if isinstance(tables, dict) else tables if isinstance(tables, tuple) else [tables]
-    try:
-        for df in frames:
-            df.isEmpty()
-    except Exception as e:  # a missing file surfaces as a job's failure, by whatever class the version has
-        if "FileNotFound" in str(e) or "does not exist" in str(e) or "FILE_NOT_EXIST" in str(e):
-            return False
-        raise
-    return True
+    return all(file_status(df.sparkSession, f) for df in frames for f in df.inputFiles())
 
 
 def forget() -> None:
@@ -146,7 +145,7 @@ TMP = {
 
 @query("t_temporal_features", sql(oracle.TEMPORAL, f"select event_id, {_r(TMP, 3)}, {_r(['mean_interarrival', 'median_interarrival'], 2)} from tmp"))
 def t_temporal_features(spark, sf_dir):
-    df = rolling.with_temporal(rolling.with_lineage(canonical(spark, sf_dir)))
+    df = rolling.with_temporal(*rolling.with_history(canonical(spark, sf_dir)))
     gaps = [rnd(x, 2).alias(x) for x in ("mean_interarrival", "median_interarrival")]
     return df.select("event_id", *[rnd(x, 3).alias(x) for x in TMP], *gaps)
 
@@ -159,7 +158,7 @@ NET = [
 
 @query("n_network_features", sql(oracle.NETWORK, f"select event_id, {_r(NET)} from net"))
 def n_network_features(spark, sf_dir):
-    return rounded(rolling.with_network(canonical(spark, sf_dir)), ["event_id"], NET)
+    return rounded(rolling.with_network(*rolling.with_history(canonical(spark, sf_dir))), ["event_id"], NET)
 
 
 ENT = {
@@ -170,7 +169,7 @@ ENT = {
 
 @query("e_entity_features", sql(oracle.ENTITY, f"select event_id, {_r(ENT, 2)}, " + rnd_sql('case when 1.4826 * mad > 1e-6 then abs(raw_out - med) / (1.4826 * mad) else 0 end', 4) + " as baseline_deviation from ent"))
 def e_entity_features(spark, sf_dir):
-    df = rolling.with_entity(canonical(spark, sf_dir).withColumn("tx_count_1h", F.lit(0.0)))
+    df = rolling.with_entity(rolling.with_history(canonical(spark, sf_dir))[0].withColumn("tx_count_1h", F.lit(0.0)))
     return df.select("event_id", *[rnd(x, 2).alias(x) for x in ENT], rnd("baseline_deviation", 4).alias("baseline_deviation"))
 
 
