@@ -9,8 +9,8 @@
 3. ``grams``: n-grams of each distinct chunk, weighted by its frequency. An n-gram belongs to the chunk that
    owns its first word; with an overlap of four tokens the chunk holds all of its five words, so each
    occurrence is counted once. No n-gram crosses a mark.
-   Passes go up in length: a phrase reaches the minimum only if all its parts do, so an n-gram is counted only
-   where a bitmap of the frequent shorter phrases holds its parts. The bitmap has a bit for each phrase's
+   Three passes go up in length: a phrase reaches the minimum only if all its parts do, so pairs are counted only
+   of words, and longer n-grams only of pairs, that a bitmap of the frequent ones holds. The bitmap has a bit for each phrase's
    hash, 16 a phrase, at most 2^27 (16 MB): it may let a phrase through in vain, never the reverse, and
    the counts themselves are of words, exact.
 4. ``scored``: cuts meet the frequencies of their parts in joins, all in integer or decimal arithmetic.
@@ -22,50 +22,74 @@ any length.
 
 from __future__ import annotations
 
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, written
-from .text import mix
+from .text import mix, slice_hashes
 
 LEAST, WORDS, TOP = 100, 5, 2000
 OVERLAP, MODULUS, LONGEST = 4, 24, 512
-BITS_A_PHRASE, MOST_BITS = 16, 27
-_MARK = b"\n"
-_TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _MARK * 9 + b" ")
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words of the lower-cased text, and a mark between pieces."""
-    if not text:
-        return []
-    plain = text.encode("utf-8", "replace").translate(_TO).replace(_MARK, b" \n ")
-    out = [t for t in plain.split(b" ") if t]
-    return [t for t, before in zip(out, [_MARK, *out], strict=False) if t != _MARK or before != _MARK]
-
-
-def chunks(stream: list[bytes], hashes: dict[bytes, int]) -> list[tuple[bytes, int]]:
-    """(chunk, tokens that it owns) of a stream; ``hashes`` remembers those of words."""
-    n = len(stream)
-    if not n:
-        return []
-    starts = [0]
-    if n > OVERLAP:
-        h = np.fromiter([hashes.get(t) or hashes.setdefault(t, crc32(t) + 1) for t in stream], np.uint64, n)
-        window = np.zeros(n - OVERLAP + 1, np.uint64)
+BITS_A_PHRASE, MOST_BITS, BATCH_ROWS = 16, 27, 30_000
+_MARK = "\n"
+_TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+
+
+def numbered(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each string, and the distinct strings that the numbers stand for, one to one."""
+    d = strings.dictionary_encode()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary.cast(pa.large_string())
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of large strings."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return slice_hashes(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends[:-1], ends[1:])
+
+
+class Stream:
+    """The tokens of some texts: words of the lower-cased text, and a mark between pieces, as numbers into ``words``."""
+
+    def __init__(self, texts: list[str | None]):
+        plain = [(t or "").encode("utf-8", "replace").translate(_TO).replace(b"\n", b" \n ") for t in texts]
+        split = pc.split_pattern(pa.array(plain, pa.large_binary()), " ")
+        ids, words = numbered(split.values)
+        text = np.repeat(np.arange(len(plain)), np.diff(split.offsets.to_numpy()))
+        kept = (pc.binary_length(words).to_numpy() > 0)[ids]
+        ids, text = ids[kept], text[kept]
+        mark = (pc.equal(words, _MARK).to_numpy(zero_copy_only=False))[ids]
+        once = ~(mark & np.r_[True, mark[:-1]] & np.r_[True, text[1:] == text[:-1]]) if len(ids) else mark
+        self.words, self.ids, self.text = words, ids[once], text[once]
+
+    def chunks(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Of each chunk: its text's number, its tokens joined by spaces, and how many of them it owns."""
+        n = len(self.ids)
+        if not n:
+            return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int32)
+        begins = np.flatnonzero(np.r_[True, np.diff(self.text) != 0])
+        stop = np.repeat(np.r_[begins[1:], n], np.diff(np.r_[begins, n]))  # where each token's text ends
+        h = hashes(self.words)[self.ids]
+        window = np.zeros(max(0, n - OVERLAP), np.uint64)
         for i in range(OVERLAP):
-            window = window * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(window)]
-        for at in (1 + np.flatnonzero(mix(window[1:-1]) % np.uint64(MODULUS) == 0)).tolist():
-            starts += range(starts[-1] + LONGEST, at, LONGEST)
-            starts.append(at)
-    starts += range(starts[-1] + LONGEST, n, LONGEST)
-    ends = [*starts[1:], n]
-    return [(b" ".join(stream[a : b + OVERLAP]), b - a) for a, b in zip(starts, ends, strict=True)]
+            window = window * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(window)] + np.uint64(1)
+        at = np.flatnonzero(mix(window) % np.uint64(MODULUS) == 0)
+        at = at[at + OVERLAP < stop[at]]
+        starts = np.union1d(begins, at)
+        size = np.diff(np.r_[starts, n])
+        if (long := np.flatnonzero(size > LONGEST)).size:
+            starts = np.union1d(starts, np.concatenate([np.arange(starts[i], starts[i] + size[i], LONGEST) for i in long]))
+        owned = np.diff(np.r_[starts, n])
+        held = np.minimum(starts + owned + OVERLAP, stop[starts]) - starts
+        offsets = np.r_[0, np.cumsum(held)]
+        tokens = self.words.take(pa.array(self.ids[np.repeat(starts - offsets[:-1], held) + np.arange(offsets[-1])]))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), tokens), pa.scalar(" ", pa.large_string()))
+        return self.text[starts], joined.cast(pa.string()), owned.astype(np.int32)
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -73,127 +97,148 @@ def dictionary(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches):
-        hashes: dict[bytes, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                found: dict[tuple, int] = {}
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for c in chunks(tokens(text), hashes):
-                        found[lang, *c] = found.get((lang, *c), 0) + 1
-                if len(hashes) > 300_000:
-                    hashes.clear()
-                langs, texts, owned = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(owned, pa.int32()), pa.array(list(found.values()), pa.int64())],
-                    names=["lang", "chunk", "owned", "n"],
-                )
+            for lo in range(0, batch.num_rows, 128):
+                langs, texts = (batch.column(i).slice(lo, 128) for i in (0, 1))
+                text, chunk, owned = Stream(texts.to_pylist()).chunks()
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(text)), chunk, pa.array(owned)], names=["lang", "chunk", "owned"])
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    parsed = docs.select(lang, F.col("text").cast("string")).mapInArrow(run, "lang string, chunk string, owned int, n long")
-    return parsed.groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n"))
+    parsed = docs.select(lang, F.col("text").cast("string")).mapInArrow(run, "lang string, chunk string, owned int")
+    return parsed.groupBy("lang", "chunk", "owned").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Batch:
     """The tokens of many chunks as numbers: exact, as numbers stand for words one to one."""
 
-    def __init__(self, langs: list[str], texts: list[str], owned: list[int], times: list[int]):
-        number: dict[bytes, int] = {_MARK: 0}
-        split = [t.encode("utf-8", "replace").split(b" ") for t in texts]
-        sizes = np.array([len(s) for s in split])
-        self.ids = np.fromiter([number.setdefault(t, len(number)) for s in split for t in s], np.int64, sizes.sum())
-        self.vocabulary = list(number)
-        self.langs = sorted(set(langs))
-        chunk = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(chunk)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.left = sizes[chunk] - place  # tokens from here to the chunk's end
-        self.lang = np.array([self.langs.index(x) for x in langs], np.int64)[chunk]
-        self.weight = np.where(place < np.array(owned)[chunk], np.array(times, np.int64)[chunk], 0)
-
-    def levels(self, longest: int):
-        """Of each length: the places where such a phrase begins, its number, and a place of each number."""
-        at = np.flatnonzero(self.ids > 0)
-        base = self.lang[at] * len(self.vocabulary) + self.ids[at]
-        for n in range(1, longest + 1):
-            if n > 1:
-                here = np.flatnonzero(self.left[at] >= n)
-                here = here[self.ids[at[here] + n - 1] > 0]
-                at, base = at[here], code[here] * len(self.vocabulary) + self.ids[at[here] + n - 1]
-            _, first, code = np.unique(base, return_index=True, return_inverse=True)
-            keep = yield n, at, code, at[first]
-            if keep is not None:  # the phrases that a longer one may begin with
-                rest = np.flatnonzero(keep[code])
-                at, code = at[rest], code[rest]
-
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join([self.vocabulary[i] for i in self.ids[at : at + n].tolist()])
-
-
-def _slot(lang: str, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\n" + phrase, seed=42) & ((1 << bits) - 1)
+    def __init__(self, table: pa.Table):
+        lang, chunk, owned, times = (table.column(n).combine_chunks() for n in ("lang", "chunk", "owned", "n"))
+        split = pc.split_pattern(chunk, " ")
+        self.ids, self.words = numbered(split.values)
+        begins = split.offsets.to_numpy()
+        lang = lang.dictionary_encode()
+        self.langs = lang.dictionary
+        chunk_of = np.repeat(np.arange(len(chunk)), np.diff(begins))
+        self.lang = lang.indices.to_numpy().astype(np.int64)[chunk_of]
+        self.weight = np.where(np.arange(len(self.ids)) < (begins[:-1] + owned.to_numpy())[chunk_of], times.to_numpy()[chunk_of], 0)
+        self.word = ~pc.equal(self.words, _MARK).to_numpy(zero_copy_only=False)[self.ids]
+        # a pair lies in one chunk, without a mark
+        self.pair = self.word & np.r_[self.word[1:], False]
+        self.pair[begins[1:] - 1] = False
+        # hashes of (language, word), for the bitmaps
+        self.hash = hashed(self.langs, self.words)[self.lang, self.ids]
+
+    def summed(self, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each code: a place that has it, and the sum of weights; and a small number for the code of each place."""
+        order = np.argsort(code, kind="stable")
+        turn = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+        small = np.empty(len(code), np.int64)
+        small[order] = np.repeat(np.arange(len(turn)), np.diff(np.r_[turn, len(order)]))
+        sums = np.add.reduceat(self.weight[at[order]], turn) if len(turn) else np.zeros(0, np.int64)
+        return at[order[turn]], sums, small
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of the two-word phrases at each place."""
+        return paired(self.hash, np.r_[self.hash[1:], np.uint64(0)])
+
+    def counted(self, at: np.ndarray, sums: np.ndarray, n: int) -> pa.RecordBatch:
+        hit = np.flatnonzero(sums)
+        at = at[hit]
+        phrases = pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[at + i])) for i in range(n)], pa.scalar(" ", pa.large_string()))
+        return _batch(self.langs.take(pa.array(self.lang[at])), phrases, n, sums[hit])
+
+
+def _batch(langs: pa.Array, phrases: pa.Array, n: int, sums: np.ndarray) -> pa.RecordBatch:
+    columns = [langs.cast(pa.string()), phrases.cast(pa.string()), pa.array(np.full(len(sums), n), pa.int32()), pa.array(sums, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+
+
+def hashed(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word in each language."""
+    return mix(hashes(words)[None, :] ^ mix(hashes(langs.cast(pa.large_string())))[:, None])
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def bitmap(frequent: DataFrame, count: int) -> tuple[bytes, int]:
-    """A bit for the hash of each (lang, phrase), and the number of bits as a power of 2; at most 16 MB."""
-    bits = min(MOST_BITS, max(16, (BITS_A_PHRASE * max(count, 1)).bit_length()))
-    slot = F.xxhash64(F.concat_ws("\n", "lang", "phrase")).bitwiseAND(F.lit((1 << bits) - 1))
-    words = frequent.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for part in words.groupBy((F.col("word") / 2048).cast("long").alias("page"), "word").agg(F.bit_or("bit").alias("bit")).groupBy("page").agg(
-        F.collect_list("word").alias("word"), F.collect_list("bit").alias("bit")
-    ).toLocalIterator():
-        out[part.word] = part.bit
-    return out.tobytes(), bits
-
-
-def grams(chunks_: DataFrame, lengths: tuple[int, ...], known: dict[int, tuple[bytes, int]]) -> DataFrame:
-    """lang, phrase, words, n: occurrences of the n-grams of these lengths.
-
-    ``known`` has bitmaps of the frequent phrases of shorter lengths. With length 1 comes a row with an empty phrase,
-    whose n is the number of all words.
+    """A bit for the hash of each (lang, phrase) of one or two words, and the number of bits; at most 16 MB.
+
+    Each of four tasks fills a bitmap of its own; they come to the driver one after the other, in pages of 4 KB.
     """
+    size = 1 << min(MOST_BITS, max(16, (BITS_A_PHRASE * max(count, 1)).bit_length()))
+
+    def run(batches):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            if batch.num_rows:
+                lang, langs = numbered(batch.column(0))
+                words = pc.split_pattern(batch.column(1), " ")
+                n = len(words.values) // len(words)  # words of each phrase
+                h = [hashed(langs, pc.list_element(words, k).cast(pa.large_string()))[lang, np.arange(len(lang))] for k in range(n)]
+                bits[(h[0] if n == 1 else paired(*h)) & np.uint64(size - 1)] = True
+        pages = np.packbits(bits, bitorder="little").reshape(-1, min(4096, size // 8))
+        full = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pages[i].tobytes() for i in full], pa.binary())], names=["page", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in frequent.select("lang", "phrase").coalesce(4).mapInArrow(run, "page long, bits binary").toLocalIterator():
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[r.page * len(part) : (r.page + 1) * len(part)] |= part
+    return out.tobytes(), size
+
+
+def grams(chunks_: DataFrame, level: int, known: tuple[bytes, int] | None = None) -> DataFrame:
+    """lang, phrase, words, n: occurrences of n-grams. Level 1: words, and a row with an empty phrase for their number;
+    level 2: pairs of words that ``known``, a bitmap, has; level 3: three to five words whose pairs it has."""
     spark = chunks_.sparkSession
-    maps = {n: (spark.sparkContext.broadcast(b), bits) for n, (b, bits) in known.items()}
-
-    def count(batch: Batch):
-        levels = batch.levels(max(lengths))
-        n, at, code, first = next(levels)
-        passed: dict[int, np.ndarray] = {}
-        while True:
-            keep = None
-            if n in maps:
-                bits = np.frombuffer(maps[n][0].value, np.uint64)
-                slots = np.array([_slot(batch.langs[batch.lang[i]], batch.phrase(i, n), maps[n][1]) for i in first.tolist()], np.int64)
-                keep = (bits[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                passed[n] = np.zeros(len(batch.ids) + 1, bool)
-                passed[n][at[keep[code]]] = True
-            if n in lengths:
-                # the last words must be frequent too, as far as is known
-                last = next((k for k in range(n - 1, 0, -1) if k in passed), 0)
-                good = at if not last else at[passed[last][np.minimum(at + n - last, len(batch.ids))]]
-                number = code if not last else code[passed[last][np.minimum(at + n - last, len(batch.ids))]]
-                sums = np.zeros(len(first), np.int64)
-                np.add.at(sums, number, batch.weight[good])
-                hit = np.flatnonzero(sums)
-                yield [batch.langs[batch.lang[i]] for i in first[hit].tolist()], [batch.phrase(i, n) for i in first[hit].tolist()], n, sums[hit]
-                if n == 1:
-                    by = np.zeros(len(batch.langs), np.int64)
-                    np.add.at(by, batch.lang[at], batch.weight[at])
-                    yield batch.langs, [b""] * len(by), 1, by
-            try:
-                n, at, code, first = levels.send(keep)
-            except StopIteration:
-                return
+    held = spark.sparkContext.broadcast(known[0]) if known else None
+    size = known[1] if known else 0
+
+    def has(h: np.ndarray) -> np.ndarray:
+        bits, slot = np.frombuffer(held.value, np.uint8), h & np.uint64(size - 1)
+        return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def count(b: Batch):
+        v = len(b.words)
+        if level == 1:
+            at = np.flatnonzero(b.word)
+            first, sums, _ = b.summed(at, b.lang[at] * v + b.ids[at])
+            yield b.counted(first, sums, 1)
+            by = np.bincount(b.lang[at], b.weight[at].astype(np.float64), len(b.langs)).astype(np.int64)
+            yield _batch(b.langs, pa.array([""] * len(by)), 1, by)
+            return
+        if level == 2:
+            good = has(b.hash)
+            at = np.flatnonzero(b.pair & good & np.r_[good[1:], False])
+            first, sums, _ = b.summed(at, (b.lang[at] * v + b.ids[at]) * v + b.ids[at + 1])
+            yield b.counted(first, sums, 2)
+            return
+        two = b.pair & has(b.pairs())
+        at = np.flatnonzero(two[:-1] & two[1:])
+        code = b.summed(at, (b.lang[at] * v + b.ids[at]) * v + b.ids[at + 1])[2]
+        for n in range(3, WORDS + 1):
+            first, sums, code = b.summed(at, code * v + b.ids[at + n - 1])
+            yield b.counted(first, sums, n)
+            on = np.flatnonzero(two[at + n - 1])  # the pair that a longer phrase ends with
+            at, code = at[on], code[on]
 
     def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def settle():
+            t = pa.Table.from_batches(waiting)
+            waiting.clear()
+            yield from count(Batch(t))
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(lo, 1 << 14)
-                for langs, phrases, n, sums in count(Batch(*(part.column(i).to_pylist() for i in range(4)))):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(sums), n), pa.int32()), pa.array(sums, pa.int64())],
-                        names=["lang", "phrase", "words", "n"],
-                    )
+            if batch.num_rows:
+                waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= BATCH_ROWS:
+                yield from settle()
+        if waiting:
+            yield from settle()
 
     found = chunks_.select("lang", "chunk", "owned", "n").mapInArrow(run, "lang string, phrase string, words int, n long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
@@ -202,15 +247,11 @@ def grams(chunks_: DataFrame, lengths: tuple[int, ...], known: dict[int, tuple[b
 def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, words, n: all phrases of 1 to 5 words with n >= least, and each language's total as ''."""
     parsed = written(dictionary(docs))
-    known, parts = {}, []
-    for lengths in ((1,), (2,), (3,), (4, 5)):
-        level = written(grams(parsed, lengths, known).where((F.col("n") >= least) | (F.col("phrase") == "")))
-        parts.append(level)
-        known[lengths[0]] = bitmap(level.where("phrase <> ''"), level.count())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    often = lambda g: written(g.where((F.col("n") >= least) | (F.col("phrase") == "")))
+    ones = often(grams(parsed, 1))
+    twos = often(grams(parsed, 2, bitmap(ones.where("phrase <> ''"), ones.count())))
+    more = often(grams(parsed, 3, bitmap(twos, twos.count())))
+    return ones.unionByName(twos).unionByName(more)
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -54,9 +54,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     start, end = turn[::2], turn[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
+    return slice_hashes(b, start, end)
+
+
+def slice_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of a buffer of bytes; it depends on the slice's bytes alone."""
     run = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b * _power("up", _P, len(b)), out=run[1:])
-    h = (run[end] - run[start]) * _power("down", _P_INV, len(b))[start]
+    h = (run[end] - run[start]) * _power("down", _P_INV, len(b) + 1)[start]
     return mix(h + (end - start).astype(np.uint64))
 
 
