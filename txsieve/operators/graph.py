@@ -94,27 +94,35 @@ def clusters(tx: DataFrame) -> DataFrame:
 
 
 def temporal_links(tx: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX_LINKS) -> DataFrame:
-    """(txid, past_txid, time_delta_seconds, shared_addresses, shared_ips): the ``most`` latest earlier ones.
+    """(txid, ts_us, past_txid, time_delta_seconds, shared_addresses, shared_ips): the ``most`` latest earlier ones.
 
-    Of each key (address or IP) the last ``most`` rows before are enough: a pair among the latest of all
-    is among the latest of every key it shares. Keys both share, but further back, are looked up afterwards.
+    A band join by time: rows of a key (address or IP) lie in buckets of the window's length, and each row is
+    also shown to the bucket after its own, so all that a row can be linked to is in its bucket. There the
+    ``most`` rows before it are enough: a pair among the latest of all is among the latest of every key it shares.
+    A busy key spreads over its buckets. Only places in the order are moved until the links are chosen; addresses
+    are fetched for these alone.
     """
     addresses = F.array_distinct(F.transform(F.concat("ins", "outs"), lambda p: p.a))
     base = tx.select(*ORDER, "ip", addresses.alias("addresses"))
     keys = F.concat(F.transform("addresses", lambda a: F.concat(F.lit("a:"), a)), F.when(F.col("ip").isNotNull(), F.array(F.concat(F.lit("i:"), "ip"))).otherwise(F.array().cast("array<string>")))
-    here = F.struct(*ORDER, "ip", "addresses")
-    back = Window.partitionBy("key").orderBy(*ORDER).rowsBetween(-most, -1)
-    flat = base.withColumn("key", F.explode(keys))
-    flat = flat.select(*ORDER, "ip", "addresses", F.collect_list(here).over(back).alias("past"))
-    pairs = flat.select(*ORDER, "ip", "addresses", F.explode("past").alias("p")).where(F.col("ts_us") - F.col("p.ts_us") <= window_seconds * 1e6)
-    pairs = pairs.groupBy(*ORDER, F.col("p.ts_us").alias("p_ts"), F.col("p.txid").alias("past_txid"), F.col("p.event_id").alias("p_event")).agg(
-        F.first(F.array_sort(F.array_intersect("addresses", "p.addresses"))).alias("shared_addresses"),
-        F.first(F.when(F.col("ip") == F.col("p.ip"), F.array("ip")).otherwise(F.array().cast("array<string>"))).alias("shared_ips"),
+    width = max(1, int(window_seconds * 1_000_000))
+    own = F.floor(F.col("ts_us") / F.lit(width))
+    shown = F.explode(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("asks")), F.struct((own + 1).alias("bucket"), F.lit(False).alias("asks"))))
+    flat = base.select(*ORDER, F.explode(keys).alias("key")).select(*ORDER, "key", shown.alias("b")).select(*ORDER, "key", "b.*")
+    inside = Window.partitionBy("key", "bucket").orderBy(*ORDER)
+    place = F.struct(*ORDER)
+    flat = flat.withColumns({f"_{i}": F.lag(place, i).over(inside) for i in range(1, most + 1)}).where("asks")
+    pairs = flat.select(*ORDER, F.explode(F.array(*[f"_{i}" for i in range(1, most + 1)])).alias("p")).where(F.col("p").isNotNull() & (F.col("ts_us") - F.col("p.ts_us") <= width)).distinct()
+    latest = Window.partitionBy(*ORDER).orderBy(F.desc("p"))
+    pairs = pairs.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= most).select(*ORDER, "p")
+    payload = base.select("event_id", "ip", "addresses")
+    before = payload.select(F.col("event_id").alias("p_event"), F.col("ip").alias("p_ip"), F.col("addresses").alias("p_addresses"))
+    met = pairs.join(payload, "event_id").withColumn("p_event", F.col("p.event_id")).join(before, "p_event")
+    return met.select(
+        "txid", "ts_us", F.col("p.txid").alias("past_txid"), F.round((F.col("ts_us") - F.col("p.ts_us")) / 1e6, 4).alias("time_delta_seconds"),
+        F.array_sort(F.array_intersect("addresses", "p_addresses")).alias("shared_addresses"),
+        F.when(F.col("ip") == F.col("p_ip"), F.array("ip")).otherwise(F.array().cast("array<string>")).alias("shared_ips"),
     )
-    latest = Window.partitionBy(*ORDER).orderBy(F.desc("p_ts"), F.desc("past_txid"), F.desc("p_event"))
-    return pairs.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= most).select(
-        "txid", "ts_us", "past_txid", F.round((F.col("ts_us") - F.col("p_ts")) / 1e6, 4).alias("time_delta_seconds"), "shared_addresses", "shared_ips"
-    )
 
 
 def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX_LINKS, clique: int = CLIQUE) -> tuple[DataFrame, DataFrame]:
