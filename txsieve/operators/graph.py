@@ -39,13 +39,13 @@ def cleaned(df: DataFrame) -> DataFrame:
         *ORDER, "fee",
         ends(F.col("input_addresses"), F.col("input_amounts")).alias("ins"), ends(F.col("output_addresses"), F.col("output_amounts")).alias("outs"),
         clean_ip(F.col("src_ip")).alias("ip"), "src_port",
-        F.when(F.upper(asn).startswith("AS"), asn).otherwise(F.concat(F.lit("ASN:"), asn)).alias("asn"),
+        F.when(F.upper(asn).startswith("AS"), asn).otherwise(F.concat(F.lit("ASN:"), asn)).alias("asn"), asn.alias("asn_name"),
         F.concat(F.lit("COUNTRY:"), F.upper(clean_label(F.col("geo_country")))).alias("country"),
     )
 
 
 def _edges(df: DataFrame, kind: str, source, target, ts="ts_us", arrow: str = "->", **more) -> DataFrame:
-    fill = {"amount": "double", "idx": "int", "time_delta_seconds": "double", "shared_addresses": "array<string>", "shared_ips": "array<string>", "support_count": "long", "supporting_txids": "array<string>", "confidence": "double"}
+    fill = {"amount": "double", "idx": "int", "src_port": "int", "time_delta_seconds": "double", "shared_addresses": "array<string>", "shared_ips": "array<string>", "support_count": "long", "supporting_txids": "array<string>", "confidence": "double"}
     return df.select(
         F.concat(F.lit(f"{kind}:"), source, F.lit(arrow), target).alias("edge_id"), source.alias("source_id"), target.alias("target_id"),
         F.lit(kind).alias("edge_type"), (F.col(ts) if ts else F.lit(None).cast("long")).alias("ts_us"),
@@ -63,7 +63,7 @@ def address_edges(tx: DataFrame, side: str) -> DataFrame:
 
 def network_edges(tx: DataFrame) -> list[DataFrame]:
     seen = tx.where("ip is not null")
-    out = [_edges(seen, "OBSERVED_WITH", F.col("txid"), F.col("ip"))]
+    out = [_edges(seen, "OBSERVED_WITH", F.col("txid"), F.col("ip"), src_port=F.col("src_port"))]
     for kind, to in (("SAME_ASN", "asn"), ("OBSERVED_WITH", "country")):
         last = seen.where(F.col(to).isNotNull()).groupBy("ip", to).agg(F.max_by("ts_us", F.struct(*ORDER)).alias("ts_us"))
         out.append(_edges(last, kind, F.col("ip"), F.col(to)))
@@ -125,6 +125,53 @@ def temporal_links(tx: DataFrame, window_seconds: float = WINDOW_SECONDS, most:
     )
 
 
+ATTRIBUTES = {
+    "txid": "string", "ts_us": "long", "fee": "double", "input_count": "int", "output_count": "int", "address": "string", "ip": "string",
+    "asn": "string", "country": "string", "lead_address": "string", "member_count": "long",
+}
+
+
+def nodes_of(tx: DataFrame, member: DataFrame) -> DataFrame:
+    """node_id, node_type and the attributes of every node.
+
+    Writes are in order: transactions by time, in each the transaction, its inputs and outputs, IP, network and country;
+    clusters last. A node keeps the type of its first write, and of each attribute the last one that was written: ids of
+    several kinds may be equal, and two names may stand for one network. Each kind is reduced to a row
+    per node before the kinds meet. Members of a cluster are its edges, not a list.
+    """
+    def place(k):
+        return F.struct(F.col("ts_us").alias("t"), F.col("txid").alias("x"), F.col("event_id").alias("e"), (F.lit(k) if isinstance(k, int) else k).alias("k"))
+
+    def kind(df, node, kind_, at, **attributes):
+        return df.select(F.col(node).alias("node_id"), F.lit(kind_).alias("node_type"), at.alias("at"), *[attributes.get(a, F.lit(None)).cast(t).alias(a) for a, t in ATTRIBUTES.items()])
+
+    first = F.min("at").alias("at")
+    side = lambda c, k: F.transform(c, lambda p, i: F.struct(p.a.alias("address"), (F.lit(k) + i).alias("k")))
+    sides = F.concat(side("ins", 1), side("outs", 1 << 20))
+    ends = tx.select("ts_us", "txid", "event_id", F.explode(sides).alias("p")).groupBy(F.col("p.address").alias("address")).agg(F.min(place(F.col("p.k"))).alias("at"))
+    seen = tx.where("ip is not null")
+    at = place(1 << 30)
+    ips = seen.select("ip", at.alias("at")).groupBy("ip").agg(first)
+    networks = seen.where("asn is not null").select("asn", "asn_name", at.alias("at")).groupBy("asn").agg(first, F.max_by("asn_name", "at").alias("asn_name"))
+    countries = seen.where("country is not null").select("country", at.alias("at")).groupBy("country").agg(first)
+    entities = member.groupBy("cluster").agg(F.min("address").alias("lead"), F.count(F.lit(1)).alias("n"))
+    last = F.struct(F.lit((1 << 63) - 1).alias("t"), F.lit("").alias("x"), F.lit("").alias("e"), F.lit(0).alias("k"))
+    deeper = lambda k: F.struct(F.col("at.t").alias("t"), F.col("at.x").alias("x"), F.col("at.e").alias("e"), F.lit(k).alias("k"))
+    kinds = [
+        kind(tx, "txid", "TRANSACTION", place(0), txid=F.col("txid"), ts_us=F.col("ts_us"), fee=F.col("fee"), input_count=F.size("ins"), output_count=F.size("outs")),
+        kind(ends, "address", "ADDRESS", F.col("at"), address=F.col("address")),
+        kind(ips, "ip", "IP", deeper((1 << 30) + 1), ip=F.col("ip")),
+        kind(networks, "asn", "ASN", deeper((1 << 30) + 2), asn=F.col("asn_name")),
+        kind(countries, "country", "COUNTRY", deeper((1 << 30) + 3), country=F.substring_index("country", ":", -1)),
+        kind(entities, "cluster", "CANDIDATE_ENTITY", last, lead_address=F.col("lead"), member_count=F.col("n")),
+    ]
+    nodes = kinds[0]
+    for k in kinds[1:]:
+        nodes = nodes.unionByName(k)
+    # an attribute is of one kind, so a node has one value of it
+    return nodes.groupBy("node_id").agg(F.min_by("node_type", "at").alias("node_type"), *[F.max(a).alias(a) for a in ATTRIBUTES])
+
+
 def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX_LINKS, clique: int = CLIQUE) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of canonical transactions."""
     tx = cut(cleaned(df))
@@ -141,13 +188,4 @@ def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
-    node = lambda d, c, t, k: d.where(F.col(c).isNotNull()).select(F.col(c).alias("node_id"), F.lit(t).alias("node_type"), F.lit(k).alias("k"))
-    ends = tx.select(F.explode(F.concat("ins", "outs")).alias("p")).select(F.col("p.a").alias("address"))
-    kinds = [node(tx, "txid", "TRANSACTION", 0), node(ends, "address", "ADDRESS", 1), node(tx, "ip", "IP", 2),
-             node(tx.where("ip is not null"), "asn", "ASN", 3), node(tx.where("ip is not null"), "country", "COUNTRY", 4), node(member, "cluster", "CANDIDATE_ENTITY", 5)]
-    nodes = kinds[0]
-    for n in kinds[1:]:
-        nodes = nodes.unionByName(n)
-    # ids of different kinds may collide: the first kind stays
-    nodes = nodes.groupBy("node_id").agg(F.min_by("node_type", "k").alias("node_type"))
-    return cut(nodes), cut(all_edges)
+    return cut(nodes_of(tx, member)), cut(all_edges)
