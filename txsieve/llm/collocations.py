@@ -32,7 +32,7 @@ from .common import prepare, written
 from .text import mix, slice_hashes
 
 LEAST, WORDS, TOP = 100, 5, 2000
-OVERLAP, MODULUS, LONGEST = 4, 24, 512
+OVERLAP, MODULUS, LONGEST, SALTS = 4, 48, 512, 64
 BITS_A_PHRASE, MOST_BITS, BATCH_ROWS = 16, 27, 30_000
 _MARK = "\n"
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -257,12 +257,14 @@ def frequencies(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def scored(found: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of the candidates that no longer candidate contains as often."""
     of = lambda name, by: found.select("lang", F.col("phrase").alias(by), F.col("n").alias(name))
-    total = found.where("phrase = ''").select("lang", F.col("n").alias("total"))
+    # a language may hold most candidates: its total meets them under salted keys
+    total = found.where("phrase = ''").select("lang", F.col("n").alias("total"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     wide = found.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     joined = lambda a, n: F.array_join(F.slice(F.col("w"), a, n), " ")
     cuts = wide.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumns({"first": joined(F.lit(1), F.col("k")), "rest": joined(F.col("k") + 1, F.col("words") - F.col("k"))})
-    cuts = cuts.join(of("l", "first"), ["lang", "first"]).join(of("r", "rest"), ["lang", "rest"]).join(total, "lang")
+    cuts = cuts.join(of("l", "first"), ["lang", "first"]).join(of("r", "rest"), ["lang", "rest"])
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(total, ["lang", "salt"])
     exact = lambda c: f"cast({c} as decimal(19, 0))"
     score = F.expr(f"cast(cast(1000 as decimal(4, 0)) * ({exact('a')} * {exact('total')}) div ({exact('l')} * {exact('r')}) as long)")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r", "total")).alias("c"))
