@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TEXTS_A_BATCH = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -19,7 +20,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     The folder of ``spark.checkpoint.dir`` is used as it is; a folder of our own is set only
     where none is configured and all tasks run in this process (a local test session). On a cluster
     a missing folder is an error, as executors could not read the driver's disk.
+
+    Arrow batches are of ``TEXTS_A_BATCH`` rows where the session has Spark's own default, as texts are large.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_A_BATCH))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
