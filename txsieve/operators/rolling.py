@@ -43,8 +43,8 @@ def parents(df: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
     )
 
 
-def chain_hops(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(event_id, hops) for rows with a parent: 1 + the parent's hops, where roots have 1.
+def chains(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(event_id, root, steps) of rows with a parent: the last row that the links lead to, and how many they are.
 
     Pointer jumping over the forest: the number of joins is the logarithm of the longest chain.
     """
@@ -54,7 +54,7 @@ def chain_hops(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         over = at.select(F.col("event_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
         nxt = at.join(over, "up", "left")
         if nxt.where("up2 is not null").isEmpty():
-            return at.select("event_id", (F.col("steps") + 1).alias("hops"))
+            return at.select("event_id", F.col("up").alias("root"), "steps")
         at = nxt.select(
             "event_id",
             F.coalesce("up2", F.when(F.col("more").isNull(), F.col("up"))).alias("up"),
@@ -63,6 +63,11 @@ def chain_hops(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("parent links form a cycle")
 
 
+def chain_hops(links: DataFrame) -> DataFrame:
+    """(event_id, hops) for rows with a parent: 1 + the parent's hops, where roots have 1."""
+    return chains(links).select("event_id", (F.col("steps") + 1).alias("hops"))
+
+
 def with_lineage(df: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
     """chain_parent, chain_interval (seconds), chain_hops (1 without a parent)."""
     links = cut(parents(df, ttl_seconds))

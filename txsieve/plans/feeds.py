@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsieve.functions.session import prepare
+from txsieve.functions.session import cut, prepare
 from txsieve.schema import CANONICAL
 from txsieve.sources import files, validate
 from txsieve.streaming import jobs
@@ -162,7 +162,7 @@ def st_ingest(spark, sf_dir):
     faulty(spark, sf_dir).write.option("header", True).csv(f"{path}/raw")
     raw = spark.readStream.schema(validate.RAW_SCHEMA).option("header", True).csv(f"{path}/raw")
     jobs.ingest_stream(raw, "run", f"{path}/good", f"{path}/bad", f"{path}/log").awaitTermination()
-    return spark.read.parquet(f"{path}/good").select("event_id")
+    return spark.read.parquet(*jobs.committed(spark, f"{path}/good")).select("event_id")
 
 
 @query("st_entity_state", sql(oracle.ROWS, f"""select event_id, cast(count(*) over m5 as double) as tx_count_5m, cast(count(*) over h1 as double) as tx_count_1h, cast(count(*) over d1 as double) as tx_count_24h,
@@ -188,6 +188,54 @@ def st_lineage(spark, sf_dir):
     return links.groupBy("event_id").agg(F.min_by("parent_id", "pos").alias("parent_id"))
 
 
+def arrivals(spark: SparkSession, sf_dir: str, batches: int, width_us: int | None) -> DataFrame:
+    """The fixture as a stream of ``batches`` files by time; each tenth row comes late.
+
+    ``width_us``: how late, in time; a whole batch if None.
+    """
+    path = folder(spark)
+    df = cut(fixture.transactions(spark, sf_dir).withColumn("us", F.unix_micros("timestamp")))
+    lo, hi = df.agg(F.min("us"), F.max("us")).first()
+    late = F.col("event_id").cast("long") % 10 == 3
+    at = lambda us: F.least(F.lit(batches - 1), F.floor((us - lo) * batches / F.lit(hi - lo + 1))).cast("int")
+    number = F.when(late, at(F.col("us")) + 1).otherwise(at(F.col("us"))) if width_us is None else at(F.when(late, F.col("us") + width_us).otherwise(F.col("us")))
+    df = df.withColumn("number", number)
+    for k in range(batches + 1):  # files are read in the order of their times
+        df.where(F.col("number") == k).drop("us", "number").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(CANONICAL).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("st_late_rows", sql(_CHAIN, """select event_id, r.late, cast(case when not r.late then coalesce(n.h1, 0) end as double) as ip_reuse_count, cast(case when not r.late then coalesce(n.d1, 0) end as double) as ip_reuse_count_24h,
+  cast(case when r.late then 0 else coalesce(n.later, 0) end as bigint) as later_rows from late r left join n using (event_id)""").replace("select event_id, r.late", """, b0 as (
+    select event_id, txid, ts_us, src_ip as ip, least(2, (ts_us - (select min(ts_us) from c)) * 3 // ((select max(ts_us) - min(ts_us) + 1 from c))) + case when cast(event_id as bigint) % 10 = 3 then 1 else 0 end as b
+    from c where src_ip <> 'unknown_ip'),
+  top as (select ip, b, max(ts_us) as m from b0 group by all),
+  late as (select b0.*, coalesce(ts_us < (select max(m) from top where top.ip = b0.ip and top.b < b0.b) - 600000000, false) as late from b0),
+  n as (select x.event_id, count(*) filter (y.ts_us between x.ts_us - 3600000000 and x.ts_us) as h1, count(*) filter (y.ts_us between x.ts_us - 86400000000 and x.ts_us) as d1,
+      count(*) filter (y.ts_us > x.ts_us) as later
+    from late x join late y on x.ip = y.ip and x.event_id <> y.event_id and not y.late and (y.b < x.b or y.b = x.b and (y.ts_us, y.txid, y.event_id) < (x.ts_us, x.txid, x.event_id)) group by 1)
+select event_id, r.late"""))
+def st_late_rows(spark, sf_dir):
+    """Three batches; a tenth of the rows come one batch late: some are counted between earlier ones, some are late."""
+    return drained(jobs.rolling_ip(arrivals(spark, sf_dir, 3, None))).select("event_id", "late", "ip_reuse_count", "ip_reuse_count_24h", "later_rows")
+
+
+@query("st_lineage_hops", sql([*_CHAIN, "given", "taken"], """select c.event_id, p.p.id as parent_id, h.hops from c left join tp p using (event_id) join th h using (event_id)""").replace("select c.event_id, p.p.id", """, tp as (
+    select event_id, arg_min(struct_pack(id := pid, ts := pts), pos) as p from (
+      select t.event_id, t.pos, t.ts_us, arg_max(g.event_id, (g.ts_us, g.txid, g.event_id)) as pid, max(g.ts_us) as pts
+      from taken t join given g on g.address = t.address and (g.ts_us, g.txid, g.event_id) < (t.ts_us, t.txid, t.event_id) group by 1, 2, 3)
+    where ts_us - pts <= 3600000000 group by 1),
+  th(event_id, hops) as (
+    select event_id, cast(1 as bigint) from c where event_id not in (select event_id from tp)
+    union all select tp.event_id, th.hops + 1 from th join tp on tp.p.id = th.event_id)
+select c.event_id, p.p.id"""))
+def st_lineage_hops(spark, sf_dir):
+    """Four batches; a tenth of the rows come eight minutes late, and raise what was linked before."""
+    path = folder(spark)
+    jobs.lineage_stream(arrivals(spark, sf_dir, 4, 480_000_000), f"{path}/lineage", f"{path}/log").awaitTermination()
+    return jobs.lineage_result(spark, f"{path}/lineage").select("event_id", "parent_id", "hops")
+
+
 @query("st_first_of_txid", sql(_CHAIN, "select event_id, txid from c"))
 def st_first_of_txid(spark, sf_dir):
     """Every row comes twice; one of each id passes."""
