@@ -7,7 +7,7 @@ as their inner product is (|q|^2 + |x|^2 - d(q, x)^2) / 2, that bounds it from a
 
 1. Rows and queries are dealt by their nearest pivot, and by hash, into blocks (pivots with few rows
    share one); of each block the range of its distances to every pivot is kept.
-2. Each query meets one block near it: its k-th best score there is a first threshold.
+2. Each query meets one block near it: its k-th best score there is a first threshold, and the pair is done.
 3. Pairs of a query block and a row block whose ranges are so far apart that no score can reach the
    least threshold of the block's queries are dropped whole; they are never sent anywhere.
 4. In a remaining pair, queries that cannot reach their own threshold are left out; the others take rows
@@ -202,8 +202,10 @@ def search(
         return pa.table({"query_id": q_ids[i], "vec_id": c_ids[j], "score": s})
 
     by = ["query_id", "vec", "dist", "floor"]
-    near = asks.withColumn("rb", _block(row_blocks, "query_id")).withColumn("floor", F.lit(float("-inf")))
+    asks = asks.withColumn("home", _block(row_blocks, "query_id"))
+    near = asks.withColumn("rb", F.col("home")).withColumn("floor", F.lit(float("-inf")))
     first = near.select("rb", *by).groupBy("rb").cogroup(rows.select(F.col("rb").alias("to_rb"), "vec_id", "vec", "dist").groupBy("to_rb")).applyInArrow(meet, OUT)
+    first = checkpoint(first)
     floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
     asks = asks.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     asks = checkpoint(asks.withColumn("qb", _block(_blocks(asks, query_block), "query_id")))
@@ -216,12 +218,12 @@ def search(
     bound = (F.col("norm") + F.col("r_norm") - apart * apart) / 2 + 1e-6 * (1 + F.col("norm") + F.col("r_norm"))
     pairs = checkpoint(ours.join(theirs, "rb").where(bound >= F.col("floor")).select("qb", "rb"))
     met = (
-        asks.select("qb", *by).join(pairs, "qb").groupBy("qb", "rb")
+        asks.select("qb", "home", *by).join(pairs, "qb").where("home <> rb").groupBy("qb", "rb")
         .cogroup(rows.select("rb", "vec_id", "vec", "dist").join(pairs, "rb").withColumnsRenamed({"qb": "to_qb", "rb": "to_rb"}).groupBy("to_qb", "to_rb"))
         .applyInArrow(meet, OUT)
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.unionByName(met).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
