@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from txsieve.operators import alerts
-from txsieve.plans import feeds, queries
+from txsieve.plans import feeds, queries, rough
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["val_rules", "val_manifest", "src_csv", "src_xml", "snk_export_csv", "st_ingest", "st_entity_state", "st_lineage", "st_windowed_counts", "x_related_entities", "x_graph_evidence"]
+NAMES = ["val_rules", "val_manifest", "src_csv", "src_xml", "snk_export_csv", "st_ingest", "st_entity_state", "st_lineage", "st_lineage_hops", "st_late_rows", "st_windowed_counts", "b_node_attributes", "b_observed_ports", "x_related_entities", "x_graph_evidence"]
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,8 @@ def plain(rows):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, db, name):
-    made = (feeds.QUERIES | queries.QUERIES)[name](spark, DATA)
-    want = db.sql((feeds.ORACLE | queries.ORACLE)[name])
+    made = (feeds.QUERIES | queries.QUERIES | rough.QUERIES)[name](spark, DATA)
+    want = db.sql((feeds.ORACLE | queries.ORACLE | rough.ORACLE)[name])
     columns = sorted(made.columns)
     assert columns == sorted(want.columns)
     got = plain(made.select(*columns).collect())

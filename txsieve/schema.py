@@ -59,37 +59,73 @@ GROUPS = {
     ),
 }
 FEATURES = list(dict.fromkeys(name for names in GROUPS.values() for name in names))
-#: Unit and range of each feature: low, high, and whether low itself is out. Fixed values.
-_UNITS = {
-    "count": "input_count output_count tx_count_5m tx_count_1h tx_count_24h unique_ips unique_addresses_per_ip unique_asns unique_countries "
-    "country_count src_port_frequency dst_port_frequency endpoint_recurrence unique_addresses_per_ip_24h endpoint_recurrence_24h "
-    "entity_tx_count unique_counterparties fan_in_degree fan_out_degree",
-    "count from 0": "history_count ip_reuse_count ip_reuse_count_24h address_reuse_in_tx",
-    "BTC": "total_input_amount total_output_amount fee amount_mean amount_std volume_5m volume_1h volume_24h entity_volume "
-    "historical_median_amount historical_MAD_amount",
-    "seconds": "mean_interarrival median_interarrival entity_age_seconds",
-    "ratio": "input_output_count_ratio amount_cv burst_score velocity_ratio activity_change",
-    "ratio from 1": "input_output_amount_ratio",
-    "ratio to 1": "fee_ratio round_amount_ratio fan_in_ratio fan_out_ratio field_completeness network_metadata_completeness",
-    "ratio to 2": "bipartite_density",
-    "ratio above 0": "equal_output_ratio",
-    "index above 0": "output_concentration asn_concentration",
-    "score": "baseline_deviation",
-    "score to 1": "baseline_stability",
-    "binary": "is_peeling_structure is_consolidation_structure is_dispersion_structure is_equal_split_structure timestamp_valid amount_data_completeness",
-}
 _INF = float("inf")
-
-
-def _range(kind: str) -> tuple[float, float, bool]:
-    word = kind.split()[0]
-    low = 1.0 if kind in ("count", "ratio from 1") else 0.0
-    high = 2.0 if kind.endswith("to 2") else 1.0 if kind.endswith(("to 1", "above 0")) or word == "binary" else _INF
-    return low, high, kind.endswith("above 0")
-
-
+#: Feature, unit, low, high, and whether low itself is out.
+_RANGES = (
+    ("input_count", "count", 1.0, _INF, False),
+    ("output_count", "count", 1.0, _INF, False),
+    ("total_input_amount", "BTC", 0.0, _INF, False),
+    ("total_output_amount", "BTC", 0.0, _INF, False),
+    ("fee", "BTC", 0.0, _INF, False),
+    ("fee_ratio", "ratio", 0.0, 1.0, False),
+    ("input_output_count_ratio", "ratio", 0.0, _INF, False),
+    ("input_output_amount_ratio", "ratio", 1.0, _INF, False),
+    ("amount_mean", "BTC", 0.0, _INF, False),
+    ("amount_std", "BTC", 0.0, _INF, False),
+    ("amount_cv", "ratio", 0.0, _INF, False),
+    ("output_concentration", "index", 0.0, 1.0, True),
+    ("equal_output_ratio", "ratio", 0.0, 1.0, True),
+    ("round_amount_ratio", "ratio", 0.0, 1.0, False),
+    ("fan_in_ratio", "ratio", 0.0, 1.0, False),
+    ("fan_out_ratio", "ratio", 0.0, 1.0, False),
+    ("tx_count_5m", "count", 1.0, _INF, False),
+    ("tx_count_1h", "count", 1.0, _INF, False),
+    ("tx_count_24h", "count", 1.0, _INF, False),
+    ("volume_5m", "BTC", 0.0, _INF, False),
+    ("volume_1h", "BTC", 0.0, _INF, False),
+    ("volume_24h", "BTC", 0.0, _INF, False),
+    ("mean_interarrival", "seconds", 0.0, _INF, False),
+    ("median_interarrival", "seconds", 0.0, _INF, False),
+    ("burst_score", "ratio", 0.0, _INF, False),
+    ("velocity_ratio", "ratio", 0.0, _INF, False),
+    ("history_count", "count", 0.0, _INF, False),
+    ("baseline_stability", "score", 0.0, 1.0, False),
+    ("unique_ips", "count", 1.0, _INF, False),
+    ("unique_addresses_per_ip", "count", 1.0, _INF, False),
+    ("ip_reuse_count", "count", 0.0, _INF, False),
+    ("unique_asns", "count", 1.0, _INF, False),
+    ("asn_concentration", "index", 0.0, 1.0, True),
+    ("unique_countries", "count", 1.0, _INF, False),
+    ("country_count", "count", 1.0, _INF, False),
+    ("src_port_frequency", "count", 1.0, _INF, False),
+    ("dst_port_frequency", "count", 1.0, _INF, False),
+    ("endpoint_recurrence", "count", 1.0, _INF, False),
+    ("ip_reuse_count_24h", "count", 0.0, _INF, False),
+    ("unique_addresses_per_ip_24h", "count", 1.0, _INF, False),
+    ("endpoint_recurrence_24h", "count", 1.0, _INF, False),
+    ("entity_tx_count", "count", 1.0, _INF, False),
+    ("entity_volume", "BTC", 0.0, _INF, False),
+    ("entity_age_seconds", "seconds", 0.0, _INF, False),
+    ("unique_counterparties", "count", 1.0, _INF, False),
+    ("historical_median_amount", "BTC", 0.0, _INF, False),
+    ("historical_MAD_amount", "BTC", 0.0, _INF, False),
+    ("baseline_deviation", "score", 0.0, _INF, False),
+    ("activity_change", "ratio", 0.0, _INF, False),
+    ("fan_in_degree", "count", 1.0, _INF, False),
+    ("fan_out_degree", "count", 1.0, _INF, False),
+    ("bipartite_density", "ratio", 0.0, 2.0, False),
+    ("address_reuse_in_tx", "count", 0.0, _INF, False),
+    ("is_peeling_structure", "binary", 0.0, 1.0, False),
+    ("is_consolidation_structure", "binary", 0.0, 1.0, False),
+    ("is_dispersion_structure", "binary", 0.0, 1.0, False),
+    ("is_equal_split_structure", "binary", 0.0, 1.0, False),
+    ("field_completeness", "ratio", 0.0, 1.0, False),
+    ("timestamp_valid", "binary", 0.0, 1.0, False),
+    ("network_metadata_completeness", "ratio", 0.0, 1.0, False),
+    ("amount_data_completeness", "binary", 0.0, 1.0, False),
+)
 #: feature -> (unit, low, high, low is out)
-RANGES = {name: (kind.split()[0], *_range(kind)) for kind, names in _UNITS.items() for name in names.split()}
+RANGES = {name: row for name, *row in _RANGES}
 
 #: What each feature is.
 DEFINITIONS = {
