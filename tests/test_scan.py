@@ -4,9 +4,10 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from txsieve.operators import features, graph, rolling, rows, scan
+from txsieve.operators import features, graph, graph_query, rolling, rows, scan
 from txsieve.sources import validate
 from txsieve.streaming import jobs
 
@@ -114,3 +115,28 @@ def test_lineage_helpers(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("z", "y")], "event_id string, parent_id string")
     assert {(x.event_id, x.root, x.steps) for x in rolling.chains(links).collect()} == {("b", "a", 1), ("c", "a", 2), ("d", "a", 3), ("z", "y", 1)}
     assert rows.with_order(frame(spark, [tx(0)])).count() == 1
+
+
+def test_heavy_transactions_are_not_paired(spark):
+    """A transaction of 10,000 addresses, heavy ones that overlap, and light ones, against sets."""
+    r = random.Random(12)
+    of = {"big": {f"b{i}" for i in range(10_000)}, "h1": {f"a{i}" for i in range(100)}, "h2": {f"a{i}" for i in range(50, 150)} | {"b1"}}
+    of |= {f"l{i}": {f"a{r.randrange(200)}" for _ in range(r.randrange(1, 6))} | ({f"b{r.randrange(5)}"} if i % 7 == 0 else set()) for i in range(150)}
+    others = {}
+    for members in of.values():
+        for a in members:
+            others.setdefault(a, set()).update(members)
+    money = spark.createDataFrame([(t, a) for t, m in of.items() for a in m], "txid string, address string")
+    got = {x.node_id: x.n for x in graph_query.co_addresses(money).collect()}
+    assert {a: got.get(a, 0) for a in others} == {a: len(o) - 1 for a, o in others.items()}
+
+
+def test_subgraph_of_a_transaction(spark):
+    nodes, edges = graph.build(frame(spark, [tx(i, 10.0 * i, ins=("a", "b"), outs=(f"o{i}",)) for i in range(4)]))
+    evidence = spark.createDataFrame([("t001", 0.5), ("t002", 0.1)], "txid string, graph_support_score double")
+    near, inside, found = graph_query.transaction_subgraph(nodes, edges, evidence, "t001", 1)
+    ids, kept = [x.node_id for x in near.collect()], [x.edge_id for x in inside.collect()]
+    assert ids == sorted(ids) and kept == sorted(kept) and {"t001", "a", "b", "o1", "t000"} <= set(ids) and "o3" not in ids
+    assert [x.txid for x in found.collect()] == ["t001"]
+    with pytest.raises(ValueError, match="hops"):
+        graph_query.transaction_subgraph(nodes, edges, evidence, "t001", 6)

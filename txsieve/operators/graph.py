@@ -172,8 +172,9 @@ def nodes_of(tx: DataFrame, member: DataFrame) -> DataFrame:
     return nodes.groupBy("node_id").agg(F.min_by("node_type", "at").alias("node_type"), *[F.max(a).alias(a) for a in ATTRIBUTES])
 
 
-def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX_LINKS, clique: int = CLIQUE) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of canonical transactions."""
+def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX_LINKS, clique: int = CLIQUE, write=None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of canonical transactions. ``write``: what writes a named table, if not cut()."""
+    write = write or (lambda _, df: cut(df))
     tx = cut(cleaned(df))
     pairs = cut(common_input_pairs(tx, clique))
     member = cut(clusters(tx))
@@ -188,4 +189,4 @@ def build(df: DataFrame, window_seconds: float = WINDOW_SECONDS, most: int = MAX
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
-    return cut(nodes_of(tx, member)), cut(all_edges)
+    return write("nodes", nodes_of(tx, member)), write("edges", all_edges)

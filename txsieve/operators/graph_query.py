@@ -10,6 +10,9 @@ from txsieve.functions.session import cut
 
 from .components import components
 
+#: Transactions of more addresses are not paired.
+LIGHT = 64
+
 
 def get_node(nodes: DataFrame, node_id: str) -> DataFrame:
     """The node itself, or else the network or country of that name."""
@@ -47,6 +50,14 @@ def subgraph(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 2) ->
     return nodes.join(ids, "node_id", "left_semi"), inside
 
 
+def transaction_subgraph(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, txid: str, hops: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges within one to five hops of a transaction, each sorted by id, and its evidence."""
+    if not 1 <= hops <= 5:
+        raise ValueError("hops must be 1 to 5")
+    near, inside = subgraph(nodes, edges, txid, hops)
+    return near.orderBy("node_id"), inside.orderBy("edge_id"), evidence.where(F.col("txid") == txid)
+
+
 def transactions_of_addresses(edges: DataFrame) -> DataFrame:
     """(address, as_input, as_output, all): sorted txids."""
     e = edges.where(F.col("edge_type").isin("INPUT_TO", "OUTPUT_TO"))
@@ -101,12 +112,34 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("component_size")), "component")
 
 
+def co_addresses(money: DataFrame, light: int = LIGHT) -> DataFrame:
+    """(node_id, n): the other addresses that share a transaction with an address, of distinct (txid, address) rows.
+
+    Transactions of up to ``light`` addresses give pairs. Heavier ones are never paired: addresses that lie in the same
+    heavy transactions have the same union of them, which is counted once, for one address of each such set
+    (two 64-bit sums and a count stand for it). Pairs of light transactions add to it where no heavy one holds both.
+    """
+    sizes = money.groupBy("txid").agg(F.count(F.lit(1)).alias("k"))
+    sized = cut(money.join(sizes, "txid"))
+    few, heavy = sized.where(F.col("k") <= light).drop("k"), sized.where(F.col("k") > light).drop("k")
+    pairs = few.join(few.select("txid", F.col("address").alias("other")), "txid").where("address <> other").select("address", "other").distinct()
+    h = F.xxhash64(F.lit(1), "txid")
+    sets = cut(heavy.groupBy("address").agg(F.sum(h.cast("decimal(38, 0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "txid")).alias("b"), F.count(F.lit(1)).alias("m")))
+    first = sets.groupBy("a", "b", "m").agg(F.min("address").alias("address"))
+    unions = first.join(heavy, "address").select("a", "b", "m", "txid").join(heavy.select("txid", F.col("address").alias("member")), "txid")
+    unions = unions.groupBy("a", "b", "m").agg((F.count_distinct("member") - 1).alias("n"))
+    together = pairs.join(heavy, "address").join(heavy.select("txid", F.col("address").alias("other")), ["txid", "other"]).select("address", "other").distinct()
+    apart = pairs.join(together, ["address", "other"], "left_anti").groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+    both = sets.join(unions, ["a", "b", "m"]).select("address", "n").unionByName(apart)
+    return both.groupBy(F.col("address").alias("node_id")).agg(F.sum("n").alias("n"))
+
+
 def counterparties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, unique_counterparties): addresses of a transaction, co-addresses of an address,
     transactions of an IP, neighbours of anything else."""
     money = edges.where(F.col("edge_type").isin("INPUT_TO", "OUTPUT_TO")).select(F.col("source_id").alias("txid"), F.col("target_id").alias("address")).distinct()
     of_tx = money.groupBy(F.col("txid").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    of_address = money.join(money.select("txid", F.col("address").alias("other")), "txid").where("address <> other").groupBy(F.col("address").alias("node_id")).agg(F.count_distinct("other").alias("n"))
+    of_address = co_addresses(money)
     of_ip = edges.where("edge_type = 'OBSERVED_WITH'").groupBy(F.col("target_id").alias("node_id")).agg(F.count_distinct("source_id").alias("n"))
     rest = both_ways(edges).groupBy("node_id").agg(F.count_distinct("other").alias("n"))
     out = None

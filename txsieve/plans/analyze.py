@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from txsieve.functions.session import cut, prepare
@@ -30,25 +31,45 @@ class Config:
     with_forest: bool = True
 
 
+class Meter:
+    """Rows and times of a run's stages, counted while their tables are written: nothing is read again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.stages = spark, []
+
+    def cut(self, name: str, df: DataFrame) -> DataFrame:
+        seen, began = Observation(), time.monotonic()
+        out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        self.stages.append((name, seen.get["n"], time.monotonic() - began))
+        return out
+
+    def table(self) -> DataFrame:
+        """stage, n_rows, seconds, rows_per_second, in the order of the run."""
+        rows = [(i, name, n, s, n / max(s, 1e-9)) for i, (name, n, s) in enumerate(self.stages)]
+        return self.spark.createDataFrame(rows, "place int, stage string, n_rows long, seconds double, rows_per_second double")
+
+
 def analyze(transactions: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
-    """features, detections, nodes, edges, graph_evidence, investigations, alerts and summary."""
+    """features, detections, nodes, edges, graph_evidence, investigations, alerts, summary and metrics."""
     cfg = config or Config()
-    prepare(transactions.sparkSession)
-    feats = cut(features.with_features(transactions, cfg.lineage_ttl_seconds))
+    spark = prepare(transactions.sparkSession)
+    meter = Meter(spark)
+    feats = meter.cut("features", features.with_features(transactions, cfg.lineage_ttl_seconds))
     scored = feats
     if cfg.with_forest:
         ml = forest.anomaly_scores(feats, FEATURES, cfg.trees, seed=cfg.seed, threshold=cfg.threshold)
         scored = feats.join(ml.select("event_id", "isolation_forest_score"), "event_id", "left")
-    records = cut(detectors.detection_records(scored, cfg.threshold))
-    nodes, edges = graph.build(transactions, cfg.window_seconds, cfg.max_links, cfg.clique)
+    records = meter.cut("detections", detectors.detection_records(scored, cfg.threshold))
+    nodes, edges = graph.build(transactions, cfg.window_seconds, cfg.max_links, cfg.clique, meter.cut)
     tx = cut(graph.cleaned(transactions))
-    evidence = cut(graph_query.graph_evidence(tx, nodes, edges))
-    found = cut(fusion.investigations(records.join(evidence.select(*EVIDENCE), "txid", "left")))
+    evidence = meter.cut("graph_evidence", graph_query.graph_evidence(tx, nodes, edges))
+    found = meter.cut("investigations", fusion.investigations(records.join(evidence.select(*EVIDENCE), "txid", "left")))
     ranked = alerts.rank(found)
     shown = alerts.filter_tier(ranked, cfg.tier) if cfg.top_k is None else alerts.top_k(ranked, cfg.top_k, cfg.tier)
     return {
         "features": feats, "detections": records, "nodes": nodes, "edges": edges, "graph_evidence": evidence, "investigations": found, "alerts": shown,
         "summary": summary(transactions, shown, nodes, edges), "fingerprint": fingerprint(transactions),
+        "metrics": meter.table(),
     }
 
 

@@ -557,6 +557,25 @@ def i_run_summary(spark, sf_dir):
     return analysis(spark, sf_dir)["summary"]
 
 
+@query("i_run_metrics", fsql("select 'features' as stage, (select count(*) from c) as n_rows union all select 'detections', (select count(*) from c) union all select 'nodes', (select count(*) from conn) "
+  "union all select 'edges', (select count(*) from edge) union all select 'graph_evidence', (select count(distinct txid) from c) union all select 'investigations', (select count(*) from inv)"))
+def i_run_metrics(spark, sf_dir):
+    """Seconds and rates are measured too; only counts are alike in every run."""
+    return analysis(spark, sf_dir)["metrics"].select("stage", "n_rows")
+
+
+_NEAR = "(select other as id from ends where node_id = (select min(source_id) from inp) union select min(source_id) from inp)"
+
+
+@query("i_transaction_subgraph", xsql(f"""select 'node' as kind, id from {_NEAR} union all select 'edge', edge_id from edge where source_id in {_NEAR} and target_id in {_NEAR}
+  union all select 'evidence', min(source_id) from inp"""))
+def i_transaction_subgraph(spark, sf_dir):
+    nodes, edges = graph_of(spark, sf_dir)
+    near, inside, found = graph_query.transaction_subgraph(nodes, edges, analysis(spark, sf_dir)["graph_evidence"], hub_tx(edges), 1)
+    named = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return named(near, "node", "node_id").unionByName(named(inside, "edge", "edge_id")).unionByName(named(found, "evidence", "txid"))
+
+
 @query("p_alert_search", fsql(f"select {_ALERT_SQL} from inv where list_contains(triggers, 'network_cluster')"))
 def p_alert_search(spark, sf_dir):
     return _alert(explore.alert_search(analysis(spark, sf_dir)["alerts"], "ALL", "network_cluster", "tx_"))
