@@ -145,3 +145,29 @@ def test_shared_tables_follow_the_files(spark, tmp_path):
     spark.range(4).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     queries.shared("x", spark, str(tmp_path), make)
     assert len(made) == 2
+
+
+def test_uploads_are_checked(spark, tmp_path):
+    def put(name, data):
+        (tmp_path / name).write_bytes(data)
+        return str(tmp_path / name)
+
+    validate.check_upload(spark, put("ok.csv", f"{HEAD}\n{GOOD}\n".encode()))
+    for name, data, why in (
+        ("a.txt", b"txid,timestamp\n1,2\n", "only CSV"), ("b.csv", b" \n\n", "empty"), ("c.csv", b"txid,timestamp\n\xff\xfe,2\n", "UTF-8"),
+        ("d.csv", b"txid,fee\n1,2\n", "timestamp"), ("e.csv", b"txid,timestamp\n", "no rows"), ("f.csv", b",,\n1,2,3\n", "header"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            validate.check_upload(spark, put(name, data))
+
+
+def test_small_helpers(spark, tmp_path):
+    checked = validate.canonicalize(spark.createDataFrame([("e1", "t1", "1.5"), ("e2", "", "2")], "event_id string, txid string, fee string"))
+    files.write_quarantine(validate.quarantined(checked), str(tmp_path / "q"))
+    files.write_quarantine(validate.quarantined(checked), str(tmp_path / "q"))
+    kept = spark.read.json(str(tmp_path / "q"))
+    assert kept.count() == 2 * validate.quarantined(checked).count() and set(kept.columns) == {"batch_id", "raw_data", "error_reason", "timestamp"}
+    nested = spark.createDataFrame([("a", [1.5, 2.0]), ("b", [])], "txid string, xs array<double>")
+    files.export_json(nested, str(tmp_path / "j"))
+    assert {r.txid: list(r.xs) for r in spark.read.schema(nested.schema).json(str(tmp_path / "j")).collect()} == {"a": [1.5, 2.0], "b": []}
+    assert files.select_canonical(checked).columns == ["txid", "src_ip", "fee"]

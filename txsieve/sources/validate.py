@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,24 @@ def check_source(raw: DataFrame, required=("txid", "timestamp")) -> None:
         raise ValueError("the source has no rows")
 
 
+def check_upload(spark: SparkSession, path: str) -> None:
+    """A CSV source has the extension, some text, valid UTF-8, a header with the required columns, and a row.
+
+    One pass over the lines; only counts come to the driver.
+    """
+    if not path.lower().rstrip("/").endswith(".csv"):
+        raise ValueError("only CSV sources are taken")
+    found = spark.read.text(path).agg(F.count_if(F.trim("value") != "").alias("lines"), F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
+    if found.bad:
+        raise ValueError(f"{found.bad} lines are not valid UTF-8")
+    if not found.lines:
+        raise ValueError("the source is empty")
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    if not any(c.strip() and not c.startswith("_c") for c in raw.columns):
+        raise ValueError("the source has no header")
+    check_source(raw)
+
+
 def first_per_txid(df: DataFrame) -> DataFrame:
     """The first row of each txid in order; blank txids are left out."""
     w = Window.partitionBy("txid").orderBy("timestamp", "event_id")
