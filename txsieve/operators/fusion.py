@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txsieve.functions.scalars import clamp_01, combine, ratio, round_up4
+from txsieve.schema import SCORING_VERSION
 
 from .detectors import CATEGORY, FAMILY, SCORED, evidence_of
 
@@ -56,5 +57,5 @@ def investigations(records: DataFrame, use_flags: bool = False) -> DataFrame:
     explained = F.when(t > 0, ratio(F.size(F.filter("evidence", lambda x: F.coalesce(x.reason, F.lit("")) != "")).cast("double"), F.size("evidence").cast("double"))).otherwise(1.0)
     confidence = clamp_01(0.25 * clamp_01(data) + 0.30 * clamp_01(agree) + 0.20 * clamp_01(stable) + 0.15 * clamp_01(support) + 0.10 * clamp_01(explained))
     return df.withColumns({"confidence_score": round_up4(confidence), "risk_level": risk_level(F.col("risk_score"))}).select(
-        "event_id", "txid", "ts_us", "risk_score", "confidence_score", "risk_level", *[f"component_{k}" for k in WEIGHTS], "triggers", "categories", "signal_count", "cross_category", "evidence"
+        "event_id", "txid", "ts_us", "risk_score", "confidence_score", "risk_level", *[f"component_{k}" for k in WEIGHTS], "triggers", "categories", "signal_count", "cross_category", "evidence", F.lit(SCORING_VERSION).alias("scoring_version")
     )

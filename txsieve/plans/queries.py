@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txsieve.functions.session import cut, prepare
 from txsieve.operators import detectors, features, rolling, rows
-from txsieve.schema import FEATURES, RANGES, registry
+from txsieve.schema import FEATURES, RANGES, SCORING_VERSION, registry
 
 from . import fixture, oracle, scores_sql
 from .oracle import sql
@@ -521,17 +521,17 @@ def _texts(*columns: str):
 
 
 def _alert(df):
-    return df.select("alert_id", "txid", "rank", "risk_level", *[rnd(c, 4).alias(c) for c in ("priority_score", *_SCORES, "evidence_strength")], *_texts("triggers"))
+    return df.select("alert_id", "txid", "rank", "risk_level", *[rnd(c, 4).alias(c) for c in ("priority_score", *_SCORES, "evidence_strength")], *_texts("triggers"), "scoring_version")
 
 
-_ALERT_SQL = "'ALT_' || substr(txid, 1, 16) || '_' || case when rank < 10000 then lpad(cast(rank as varchar), 4, '0') else cast(rank as varchar) end as alert_id, txid, rank, risk_level, " + _r(["priority_score", *_SCORES, "evidence_strength"], 4) + ", array_to_string(triggers, ',') as triggers"
+_ALERT_SQL = "'ALT_' || substr(txid, 1, 16) || '_' || case when rank < 10000 then lpad(cast(rank as varchar), 4, '0') else cast(rank as varchar) end as alert_id, txid, rank, risk_level, " + _r(["priority_score", *_SCORES, "evidence_strength"], 4) + f", array_to_string(triggers, ',') as triggers, '{SCORING_VERSION}' as scoring_version"
 
 
-@query("u_investigations", fsql(f"select event_id, txid, ts_us, {_r([*_SCORES], 4)}, risk_level, " + _r({"component_graph": "c_graph", "component_temporal": "c_temporal", "component_network": "c_network"}, 3) + f", {_TEXTS}, signal_count, cast(n_evidence as integer) as n_evidence from inv"))
+@query("u_investigations", fsql(f"select event_id, txid, ts_us, {_r([*_SCORES], 4)}, risk_level, " + _r({"component_graph": "c_graph", "component_temporal": "c_temporal", "component_network": "c_network"}, 3) + f", {_TEXTS}, signal_count, cast(n_evidence as integer) as n_evidence, '{SCORING_VERSION}' as scoring_version from inv"))
 def u_investigations(spark, sf_dir):
     df = analysis(spark, sf_dir)["investigations"]
     parts = [rnd(f"component_{k}", 3).alias(f"component_{k}") for k in ("graph", "temporal", "network")]
-    return df.select(*KEYS, *[rnd(c, 4).alias(c) for c in _SCORES], "risk_level", *parts, *_texts("triggers", "categories"), "signal_count", F.size("evidence").alias("n_evidence"))
+    return df.select(*KEYS, *[rnd(c, 4).alias(c) for c in _SCORES], "risk_level", *parts, *_texts("triggers", "categories"), "signal_count", F.size("evidence").alias("n_evidence"), "scoring_version")
 
 
 @query("a_ranked_alerts", fsql(f"select {_ALERT_SQL} from inv"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 FEATURE_SCHEMA_VERSION = "1.0"
+#: Of the weights and formulas behind risk and confidence; investigations and alerts carry it.
+SCORING_VERSION = "1.0"
 
 CANONICAL = T.StructType(
     [
