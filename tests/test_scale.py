@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from txsieve.functions.session import cut
-from txsieve.operators import graph
+from txsieve.functions.session import cut, prepare
+from txsieve.operators import features, graph, rolling
+from txsieve.plans import fixture
 
-LINKS_MOVE = 2_000_000
+SF = "/root/testdata/sf0.001"
+LINKS_MOVE, SCANS = 2_000_000, 100
 
 
 def shuffled(spark) -> int:
@@ -27,3 +29,21 @@ def test_temporal_links_move_numbers_once(spark):
     assert links.count() == sum(min(5, i) if i > 40 else 0 for i in range(4000)) + links.where("ts_us <= 400000").count()
     assert links.where("size(shared_addresses) + size(shared_ips) = 0").isEmpty()
     assert moved < LINKS_MOVE, moved
+
+
+def test_scans_do_not_multiply_the_plan(spark):
+    df = fixture.transactions(prepare(spark), SF)
+    plan = features.with_features(df)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") < SCANS, plan.count("FileScan")
+
+
+def test_links_are_followed_across_ranges(spark):
+    """A chain of 5,000 rows, a fork in it and a pair: roots and steps hold however the ranges cut it."""
+    rows = [(f"e{i}", f"e{i - 1}", i - 1) for i in range(1, 5000)] + [("f1", "e10", 10), ("f2", "f1", 11), ("y", "x", 3)]
+    links = spark.createDataFrame(rows, "event_id string, parent_id string, parent_ts long")
+    expected = {(f"e{i}", "e0", i) for i in range(1, 5000)} | {("f1", "e0", 11), ("f2", "e0", 12), ("y", "x", 1)}
+    near = rolling._followed(links, 700)
+    assert near.select("up").distinct().count() <= 20
+    assert {tuple(r) for r in rolling.chains(links).collect()} == expected
+    far = rolling._jumped(cut(near), 64)
+    assert far.where("event_id = 'e4999' and root = 'e0' and steps = 4999").count() == 1
