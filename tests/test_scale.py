@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from txsieve.functions.session import cut, prepare
-from txsieve.operators import features, graph, rolling
+from txsieve.operators import features, graph, graph_query, rolling
 from txsieve.plans import fixture
 
 SF = "/root/testdata/sf0.001"
-LINKS_MOVE, SCANS = 2_000_000, 100
+LINKS_MOVE, SCANS, DENSITY_MOVES = 2_000_000, 100, 1_000_000
 
 
 def shuffled(spark) -> int:
@@ -47,3 +47,26 @@ def test_links_are_followed_across_ranges(spark):
     assert {tuple(r) for r in rolling.chains(links).collect()} == expected
     far = rolling._jumped(cut(near), 64)
     assert far.where("event_id = 'e4999' and root = 'e0' and steps = 4999").count() == 1
+
+
+def test_density_lays_out_no_wedges(spark):
+    """500 transactions with links to the eight before and five of 20 addresses, paired in a hub: as by brute force."""
+    made = [("T", f"t{i - d}", f"t{i}") for i in range(500) for d in range(1, 9) if i >= d]
+    made += [(kind, f"t{i}", f"a{(i * 3 + k) % 20}") for i in range(500) for k in range(5) for kind in ("I", "O") if kind == "I" or k < 2]
+    made += [("P", "a0", f"a{k}") for k in range(1, 20)]
+    rows = [(f"{kind}:{a}->{b}", a, b, kind, None) for kind, a, b in made]
+    edges = cut(spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, edge_type string, amount double"))
+    roots = cut(spark.createDataFrame([(f"t{i}",) for i in range(500)], "node_id string"))
+    near = {f"t{i}": {f"t{i}"} for i in range(500)}
+    for _, a, b in made:
+        for x, y in ((a, b), (b, a)):
+            if x in near:
+                near[x].add(y)
+    expected = {t: round(sum(a in m and b in m for _, a, b in made) / (len(m) * (len(m) - 1)), 6) for t, m in near.items()}
+    before = shuffled(spark)
+    got = {r.node_id: r.local_density for r in graph_query.local_density(edges, roots).collect()}
+    moved = shuffled(spark) - before
+    assert got == expected
+    assert moved < DENSITY_MOVES, moved
+    for light in (1, 9, 18, 21):
+        assert {r.node_id: r.local_density for r in graph_query.local_density(edges, roots, light).collect()} == expected
