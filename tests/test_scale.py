@@ -1,10 +1,15 @@
 """What jobs move and how deep their plans are: neither may grow faster than the input."""
 
+import time
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from txsieve.functions.session import cut, prepare
 from txsieve.operators import features, graph, graph_query, rolling
 from txsieve.plans import fixture
+from txsieve.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 LINKS_MOVE, SCANS, DENSITY_MOVES = 2_000_000, 100, 1_000_000
@@ -70,3 +75,38 @@ def test_density_lays_out_no_wedges(spark):
     assert moved < DENSITY_MOVES, moved
     for light in (1, 9, 18, 21):
         assert {r.node_id: r.local_density for r in graph_query.local_density(edges, roots, light).collect()} == expected
+
+
+class Held(dict):
+    """A map or value state in memory."""
+
+    exists = lambda self: "v" in self
+    get = lambda self, *a: dict.get(self, *a) if a else self["v"]
+    update = lambda self, v: self.__setitem__("v", v)
+    iterator = lambda self: iter(list(self.items()))
+    getValue, removeKey, updateValue = dict.__getitem__, dict.__delitem__, dict.__setitem__
+
+
+def test_rolling_state_of_a_dense_key():
+    """20,000 rows in one bucket, then rows between them, as by brute force; a row's work does not grow with its bucket."""
+
+    def emit(within, n):
+        return float(within(jobs.H1)[0] - 1), round(within(jobs.D1)[1], 3)
+
+    state = jobs.Rolling(600_000_000, emit, ["event_id", "txid", "ts_us", "ip", "n", "amount", "later_rows", "late"])
+    state.totals, state.rows, state.life, state.handle = Held(), Held(), Held(), SimpleNamespace(registerTimer=lambda _: None, deleteTimer=lambda _: None)
+    timer = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    batch = lambda times: pd.DataFrame({"event_id": [str(t) for t in times], "txid": [str(t) for t in times], "ts_us": times, "amount": [1.5] * len(times)})
+    start = 7200 * 1_000_000
+    first = [start + 10_000 * i for i in range(20_000)]
+    began = time.monotonic()
+    list(state.handleInputRows(("k",), iter([batch(first)]), timer))
+    second = [start + 10_000 * i + 5 for i in range(0, 20_000, 500)] + [start + 400_000_000 + i for i in range(5)]
+    got = pd.concat(list(state.handleInputRows(("k",), iter([batch(second)]), timer)))
+    took = time.monotonic() - began
+    seen = list(first)
+    for r, t in zip(got.itertuples(index=False), second, strict=True):
+        seen.append(t)
+        upto = sum(x <= t for x in seen)
+        assert (r.n, r.amount, r.later_rows) == (upto - 1, upto * 1.5, len(seen) - upto)
+    assert took < 8, took
