@@ -6,8 +6,10 @@ import random
 import pyarrow as pa
 
 from txsieve.functions.session import cut, drop, prepare
+from txsieve.operators import graph
 from txsieve.operators.components import components, forest
 
+from .test_engine import frame, tx
 
 
 def folder(spark):
@@ -36,3 +38,10 @@ def test_cut_sweeps_what_it_shuffled_and_drop_deletes_its_own(spark, tmp_path):
     spark.range(5).write.parquet(f"{tmp_path}/given")
     drop(mine, spark.read.parquet(f"{tmp_path}/given"))
     assert not os.path.exists(path) and os.path.exists(f"{tmp_path}/given")
+
+
+def test_repeated_addresses_add_up_and_others_are_not_shuffled(spark):
+    t = cut(graph.cleaned(frame(spark, [tx(0, 0, ins=("a", "b", "a"), outs=("c",)), tx(1, 1, ins=("d",), outs=("e", "e", "f"), amounts=[1.0, 2.0, 4.0])])))
+    got = {r.edge_id: (r.amount, r.idx) for side in ("ins", "outs") for r in graph.address_edges(t, side).collect()}
+    assert got["OUTPUT_TO:t001->e"] == (3.0, 0) and got["OUTPUT_TO:t001->f"] == (4.0, 2) and got["INPUT_TO:t000->b"][1] == 1 and len(got) == 6
+    assert "Union" in graph.address_edges(t, "ins")._jdf.queryExecution().optimizedPlan().toString()
