@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 
 from txsieve.functions.session import cut, drop, prepare
-from txsieve.operators import graph
+from txsieve.operators import graph, graph_query
 from txsieve.operators.components import components, forest
 
 from .test_engine import frame, tx
@@ -45,3 +45,16 @@ def test_repeated_addresses_add_up_and_others_are_not_shuffled(spark):
     got = {r.edge_id: (r.amount, r.idx) for side in ("ins", "outs") for r in graph.address_edges(t, side).collect()}
     assert got["OUTPUT_TO:t001->e"] == (3.0, 0) and got["OUTPUT_TO:t001->f"] == (4.0, 2) and got["INPUT_TO:t000->b"][1] == 1 and len(got) == 6
     assert "Union" in graph.address_edges(t, "ins")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counterparties_of_asked_nodes(spark):
+    items = [tx(i, 10.0 * i, ins=("a", f"b{i % 3}"), outs=(f"c{i % 2}", "a")) for i in range(8)] + [tx(9, 99, ins=("z",), outs=("t000",))]
+    t = cut(graph.cleaned(frame(spark, items)))
+    nodes, edges = graph.build(frame(spark, items), tx=t)
+    everyone = {r.node_id: r.unique_counterparties for r in graph_query.counterparties(nodes, edges).collect()}
+    pairs = cut(graph_query.neighbours(edges))
+    for ids in (["t001", "t009"], ["t000", "a", "c1"], ["10.0.0.1", "AS1"]):
+        roots = nodes.where(nodes.node_id.isin(ids)).select("node_id")
+        assert {r.node_id: r.unique_counterparties for r in graph_query.counterparties(nodes, edges, roots, pairs).collect()} == {i: everyone[i] for i in ids}
+    plain = {r.node_id: r[1:] for r in graph_query.degrees(edges).collect()}
+    assert {r.node_id: r[1:] for r in graph_query.degrees(edges, pairs).collect()} == plain
