@@ -6,8 +6,9 @@ import random
 import pyarrow as pa
 
 from txsieve.functions.session import cut, drop, prepare
-from txsieve.operators import graph, graph_query
+from txsieve.operators import features, graph, graph_query
 from txsieve.operators.components import components, forest
+from txsieve.operators.scan import scan
 
 from .test_engine import frame, tx
 
@@ -58,3 +59,17 @@ def test_counterparties_of_asked_nodes(spark):
         assert {r.node_id: r.unique_counterparties for r in graph_query.counterparties(nodes, edges, roots, pairs).collect()} == {i: everyone[i] for i in ids}
     plain = {r.node_id: r[1:] for r in graph_query.degrees(edges).collect()}
     assert {r.node_id: r[1:] for r in graph_query.degrees(edges, pairs).collect()} == plain
+
+
+def test_scan_carries_are_merged(spark):
+    df = spark.range(20).selectExpr("id as ts_us", "string(id) as txid", "string(id) as event_id", "id % 3 as k", "int(id div 7) as part")
+    out = scan(df, ["k"], before={"last": "ts_us"})
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_features_are_not_written_before_the_join(spark):
+    before = set(os.listdir(folder(spark))) if os.path.isdir(folder(spark)) else set()
+    got = features.with_features(frame(spark, [tx(0, 0), tx(1, 5)]))
+    assert got.columns[0] == "event_id" and got.count() == 2
+    for name in set(os.listdir(folder(spark))) - before:
+        assert "amount_cv" not in spark.read.parquet(f"{folder(spark)}/{name}").columns
