@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 
 from txsieve.functions.session import cut, drop, prepare
-from txsieve.operators import features, graph, graph_query
+from txsieve.operators import evaluation, features, graph, graph_query
 from txsieve.operators.components import components, forest
 from txsieve.operators.scan import scan
 
@@ -73,3 +73,11 @@ def test_row_features_are_not_written_before_the_join(spark):
     assert got.columns[0] == "event_id" and got.count() == 2
     for name in set(os.listdir(folder(spark))) - before:
         assert "amount_cv" not in spark.read.parquet(f"{folder(spark)}/{name}").columns
+
+
+def test_align_reads_txids_only_and_still_finds_leaks(spark):
+    records = spark.createDataFrame([("t1", 0.5, "x"), ("t1", 0.1, "y"), ("t3", 0.2, "z")], "txid string, score double, scenario string")
+    labels = spark.createDataFrame([("t1", True), ("t2", False)], "txid string, is_benign boolean")
+    row = evaluation.align(records, labels)[1].first().asDict()
+    assert row == {"records": 3, "labels": 2, "duplicate_records": 1, "duplicate_labels": 0, "missing_labels": 1, "extra_labels": 1, "aligned": 2, "leaked_columns": 1}
+    assert not {"input_addresses", "burst_score"} & set(evaluation.READ)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txsieve.functions.session import cut
+
 from .detectors import SCORED
 
 CATEGORIES = ("structural_score", "temporal_score", "network_score", "ml_anomaly_score")
@@ -18,18 +20,23 @@ THRESHOLDS = (0.25, 0.50, 0.75)
 
 def align(records: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with their labels, and one row of counts: duplicates, missing and extra labels, leaked columns."""
+    joined = records.join(labels, "txid")
+    leaked = [c for c in records.columns if c in FORBIDDEN]
+    records, labels = cut(records.select("txid")), labels.select("txid")  # all that is counted
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.lit(1).alias("_k"))
     twice = lambda df, name: n(df.groupBy("txid").count().where("count > 1"), name)
-    joined = records.join(labels, "txid")
     counts = [
         n(records, "records"), n(labels, "labels"), twice(records, "duplicate_records"), twice(labels, "duplicate_labels"),
-        n(records.join(labels, "txid", "left_anti"), "missing_labels"), n(labels.join(records, "txid", "left_anti"), "extra_labels"), n(joined, "aligned"),
+        n(records.join(labels, "txid", "left_anti"), "missing_labels"), n(labels.join(records, "txid", "left_anti"), "extra_labels"), n(records.join(labels, "txid"), "aligned"),
     ]
-    leaked = [c for c in records.columns if c in FORBIDDEN]
     report = reduce(lambda a, b: a.join(b, "_k"), counts).drop("_k").withColumn("leaked_columns", F.lit(len(leaked)).cast("long"))
     return joined, report
 
 
+#: What evaluation reads of a record and its label.
+READ = ("event_id", "txid", *CATEGORIES, *[f"{d}_triggered" for d in SCORED], "overall_score", "is_benign", "scenario")
+
+
 def overall_score(df: DataFrame) -> DataFrame:
     return df.withColumn("overall_score", F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in CATEGORIES]))
 
