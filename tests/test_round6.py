@@ -65,6 +65,7 @@ def stand_in(run, table, needs):
     ("name", "needless"),
     [
         ("p_alert_kpis", {"alerts"}), ("p_risk_distribution", {"alerts"}), ("i_run_summary", {"alerts"}), ("i_run_metrics", {"alerts"}), ("p_node_risk", {"alerts"}),
+        ("i_transaction_subgraph", {"features", "detections", "graph_evidence", "alerts"}),
     ],
 )
 def test_queries_make_only_what_they_read(spark, empty_tables, monkeypatch, name, needless):
