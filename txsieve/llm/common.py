@@ -6,10 +6,13 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txsieve.functions.session import SWEEP
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TEXTS_A_BATCH = 2000
 
@@ -37,6 +40,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def swept(spark: SparkSession):
+    """Statements whose shuffle files go when they end; otherwise these wait for the driver's garbage collection."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,10 +62,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: their size is known to the optimiser."""
+    """The rows, written as Parquet to the shared folder and read again: their size is known to the optimiser.
+
+    What was shuffled for them is deleted once they are written: nothing else reads it.
+    """
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
