@@ -62,3 +62,19 @@ def test_network_scans_do_not_repeat_temporal_ones(spark):
     df = rolling.with_temporal(slim, parts)
     plan = rolling.with_network(df, parts, slim)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_r__v24") <= df._jdf.queryExecution().optimizedPlan().toString().count("_r__v24")
+
+
+def test_lineage_computes_rows_once(spark):
+    tx = rows.with_order(fixture.transactions(spark, "/root/testdata/sf0.001"))
+    plan = rolling.parents(tx)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    # outputs and their amounts are fields of the gathered lines: no lambda maps a row's lines
+    outputs = tx.select("output_addresses", "output_amounts")
+    assert "lambdafunction" not in outputs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parents_of_both_lists(spark):
+    data = [("e1", "t1", 10, ["a"], ["b", "b", ""]), ("e2", "t2", 20, ["x", "b"], ["x"]), ("e3", "t3", 20, ["x"], None), ("e4", "t4", 30, None, ["b"]), ("e5", "t5", 30, ["", "b"], [])]
+    df = spark.createDataFrame(data, "event_id string, txid string, ts_us long, input_addresses array<string>, output_addresses array<string>")
+    got = {(r.event_id, r.parent_id, r.parent_ts) for r in rolling.parents(df).collect()}
+    assert got == {("e2", "e1", 10), ("e3", "e2", 20), ("e5", "e4", 30)}
